@@ -22,10 +22,20 @@ def running_totals(
     `key` must be unique in df, so rows per range are bounded by the distinct keys
     and stay balanced however the original rows were skewed.
     """
-    fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    if ranges & (ranges - 1):
+        raise ValueError("ranges must be a power of two")
+    listed = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    fractions = F.expr(f"array({listed})")
     cuts = df.agg(F.percentile_approx(key, fractions, 10_000)).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length() - 1))])
+    # Binary search among the cuts. The coalesce makes the range provably non-null, so
+    # no derived null test is pushed below the aggregation that made the keys distinct.
+    place = F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: at + F.when(F.element_at("_cuts", at + step) < F.col(key), step).otherwise(0),
+    )
     ranged = df.withColumn("_cuts", cuts).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda b: b < F.col(key)))
+        "_range", F.coalesce(place, F.lit(0))
     ).drop("_cuts")
 
     order = F.col("_range").desc() if descending else F.col("_range").asc()
