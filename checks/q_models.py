@@ -17,13 +17,18 @@ from .registry import query
 TREES = 20  # boosting rounds and forest size of the registered runs
 
 
+def wide_table(fx):
+    """The terrain table, written once: sampling then reads plain columns, not a stencil."""
+    return through_table(q_raster.terrain(fx), "terrain")
+
+
 def rain_key(samples):
     return with_rain_key(samples, "seed").drop("seed")
 
 
 def sample_matrix(fx, strict=False):
     return training.training_matrix(
-        q_matrix.positives(fx), SIKKIM, q_raster.terrain(fx), fx.landcover, META, fx.rain_daily, rain_key, strict
+        q_matrix.positives(fx), SIKKIM, wide_table(fx), fx.landcover, META, fx.rain_daily, rain_key, strict
     )
 
 
@@ -85,7 +90,7 @@ def raster_box(fx):
 
 
 def fused(fx):
-    wide = q_raster.terrain(fx).join(fx.sql(SUSCEPTIBILITY), ["row_idx", "col_idx"])
+    wide = wide_table(fx).join(fx.sql(SUSCEPTIBILITY), ["row_idx", "col_idx"])
     return flagship.fused_cells(raster_box(fx), wide, META, state_rain(fx), step=META.res)
 
 
@@ -125,7 +130,7 @@ def training_table(fx):
     """
     points = fx.sql("""SELECT CAST(o_orderkey AS STRING) AS sample_id, o_orderkey AS seed, 28.1e0 - CAST((o_orderkey*7919) % 780 AS DOUBLE)/1e3 - 0.01e0 AS latitude, 88e0 + CAST((o_orderkey*104729) % 990 AS DOUBLE)/1e3 AS longitude,
       CAST(o_orderdate AS TIMESTAMP_NTZ) AS event_date, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS target FROM {orders}""")
-    placed = raster.raster_sample(rain_key(points), q_raster.terrain(fx), META).drop("status", "reasons")
+    placed = raster.raster_sample(rain_key(points), wide_table(fx), META).drop("status", "reasons")
     covered = raster.landcover_sample(placed, fx.landcover, META)
     full = rainfall.event_rainfall_join(covered, fx.rain_daily)
     ready = models.clean_for_training(matrix.cast_features(full))
@@ -149,7 +154,7 @@ def primary_model(spark, sf_dir):
 
 
 def grid_inputs(fx):
-    return grid.cell_features(raster_box(fx), q_raster.terrain(fx), META, state_rain(fx), step=META.res)
+    return grid.cell_features(raster_box(fx), wide_table(fx), META, state_rain(fx), step=META.res)
 
 
 @query("grid_score")
@@ -166,7 +171,7 @@ def point_score(fx):
     resolved = aoi.point_in_aoi(
         fx.events.select("event_id", "latitude", "longitude"), fx.pilots.select("state", "min_lat", "max_lat", "min_lon", "max_lon"), fx.state_aliases, "event_id"
     ).withColumnsRenamed({"status": "state_status", "reasons": "state_reasons"})
-    sampled = raster.raster_sample(resolved, q_raster.terrain(fx), META)
+    sampled = raster.raster_sample(resolved, wide_table(fx), META)
     covered = raster.landcover_sample(sampled, fx.landcover, META)
     wet = rainfall.aoi_rain_broadcast(covered, state_rain(fx))
     why = F.concat(

@@ -74,14 +74,32 @@ def average_precision(scored: DataFrame, score: str = "score", target: str = "ta
     )
 
 
-def all_metrics(scored: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    """The six reported numbers as one row."""
-    ap = average_precision(scored, score, target)
-    auc = roc_auc(scored, score, target)
-    return binary_metrics(scored, score=score, target=target).select(
-        ap.select("pr_auc").scalar().alias("pr_auc"),
-        auc.select("roc_auc").scalar().alias("roc_auc"),
-        "precision", "recall", "f1", "false_alarm_rate",
+def all_metrics(scored: DataFrame, score: str = "score", target: str = "target",
+                threshold: float = vocab.DECISION_THRESHOLD) -> DataFrame:
+    """The six reported numbers as one row, all from one pass over the score counts."""
+    counts = _by_score(scored, score, target)
+    placed = prefix.running_totals(counts, "score", ["pos", "neg"], descending=True)
+    pos, neg = F.col("pos"), F.col("neg")
+    seen_pos = F.col("before_pos") + pos
+    seen = seen_pos + F.col("before_neg") + neg
+    hit = F.col("score") >= threshold
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = placed.agg(
+        total(F.when(hit, pos)).alias("tp"), total(F.when(hit, neg)).alias("fp"),
+        total(F.when(~hit, pos)).alias("fn"), total(F.when(~hit, neg)).alias("tn"),
+        F.sum(pos * (seen_pos / seen)).alias("weighted"),
+        F.sum(neg.cast("decimal(38,0)") * (2 * F.col("before_pos") + pos)).cast("double").alias("pairs2"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    both = (tp + fn > 0) & (fp + tn > 0)
+    ratio = lambda a, b: F.when(both, rounded(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)).otherwise(0.0)
+    return sums.select(
+        ratio(F.col("weighted"), tp + fn).alias("pr_auc"),
+        ratio(F.col("pairs2"), F.lit(2.0) * (tp + fn).cast("double") * (fp + tn)).alias("roc_auc"),
+        ratio(tp, tp + fp).alias("precision"),
+        ratio(tp, tp + fn).alias("recall"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        ratio(fp, fp + tn).alias("false_alarm_rate"),
     )
 
 

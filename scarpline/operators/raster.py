@@ -42,8 +42,8 @@ def require_cell_size(value) -> float:
 def mask_nodata(c: Column | str, nodata: float = vocab.NODATA) -> Column:
     """Null for nodata (within float tolerance) and non-finite values; never filled."""
     value = col(c)
-    close = F.abs(value - nodata) <= 1e-8 + 1e-5 * abs(nodata)
-    return F.when(is_finite(value) & ~close, value)
+    near = 1e-8 + 1e-5 * abs(nodata)
+    return F.when(is_finite(value) & (F.abs(value - nodata) > near), value)
 
 
 def dem_mosaic(tiles: DataFrame, value: str = "elevation", order: str = "tile_order") -> DataFrame:
@@ -194,8 +194,11 @@ def raster_sample(points: DataFrame, wide: DataFrame, meta: RasterMeta,
         (~covered, "point is outside the raster"),
         *[(covered & F.col(n).isNull(), f"{n} is nodata or not finite") for n in names],
     )
-    out = joined.withColumn("reasons", why)
-    ok = F.size("reasons") == 0
+    ok = covered
+    for n in names:
+        ok = ok & F.col(n).isNotNull()
+    out = joined.withColumns({"_ok": ok, "reasons": why})
+    ok = F.col("_ok")
     return out.select(
         *points.columns,
         *[F.when(ok, F.col(n)).alias(n) for n in names],
