@@ -82,9 +82,10 @@ def state_rain(fx):
 
 def raster_box(fx):
     """The DEM's own extent as one box, so the grid grows with the raster."""
-    m = fx.dem.agg(F.max("row_idx").alias("r"), F.max("col_idx").alias("c"))
+    # The state is aggregated, not a literal, so later joins on it stay equi-joins.
+    m = fx.dem.agg(F.max("row_idx").alias("r"), F.max("col_idx").alias("c"), F.max(F.lit("Sikkim")).alias("state"))
     return m.select(
-        F.lit("Sikkim").alias("state"), (F.lit(META.north) - (F.col("r") + 1) * META.res).alias("min_lat"), F.lit(META.north).alias("max_lat"),
+        "state", (F.lit(META.north) - (F.col("r") + 1) * META.res).alias("min_lat"), F.lit(META.north).alias("max_lat"),
         F.lit(META.west).alias("min_lon"), (F.lit(META.west) + (F.col("c") + 1) * META.res).alias("max_lon"),
     )
 

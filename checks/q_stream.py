@@ -89,7 +89,10 @@ def stream_run_upgrade(fx):
     return slots.run_available(state.run_upgrade(seen, slots.LATE_DELAY), "upgrade").drop("previous_rank")
 
 
-@query("stream_latest")
+# One batch: the newest slot per area, aged from a clock that has not passed it yet.
+@query("stream_latest", oracle("""
+SELECT aoi, strftime(slot, '%Y-%m-%d %H:%M:%S') AS observed_at, mm AS latest_mm, 0e0 AS age_minutes, 'NEAR_REAL_TIME' AS freshness, false AS is_stale FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY slot DESC, mm DESC) AS rn FROM (
+ SELECT CAST(user_id % 4 AS INT) AS aoi, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, value * 0.5e0 AS mm FROM events)) WHERE rn = 1"""))
 def stream_latest(fx):
     state.use_rocksdb(fx.spark)
     seen = rates(fx).select("aoi", F.window("ts", "30 minutes")["start"].alias("slot"), (F.col("rate") * 0.5).alias("mm"))

@@ -67,12 +67,9 @@ def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
     Works on counts per distinct value, so memory does not grow with the rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    placed = running_totals(counts, value, ["n"])
     total = counts.agg(F.sum("n")).scalar()
-    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
-    covers = lambda k: (F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n"))
-    return placed.agg(
-        (
-            (F.max(F.when(covers(low), F.col(value))) + F.max(F.when(covers(high), F.col(value)))) / 2
-        ).alias(name)
-    )
+    placed = running_totals(counts, value, ["n"]).withColumn("total", total)
+    covers = lambda rank: (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
+    middle = lambda rank: F.max(F.when(covers(rank), F.col(value)))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return placed.agg(((middle(low) + middle(high)) / 2).alias(name))

@@ -1,7 +1,7 @@
 """Operators with their own state: the best run per slot and the latest per area.
 
-The only Python on the workers. Both receive pre-aggregated rows, so a busy area sends
-at most one row per slot and source to its key.
+The only Python on the workers. Arrow batches are reduced before the shuffle, so a busy
+area sends one row per batch (and slot) to its key, not all its readings.
 """
 
 from __future__ import annotations
@@ -25,6 +25,18 @@ def use_rocksdb(spark: SparkSession) -> None:
 UPGRADE_SCHEMA = "aoi INT, slot TIMESTAMP, source_kind STRING, source_rank INT, mm DOUBLE, previous_rank INT"
 
 
+def best_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side combine: the best row per area and slot of each batch."""
+    for frame in batches:
+        yield frame.sort_values(["source_rank", "mm"]).drop_duplicates(["aoi", "slot"])
+
+
+def newest_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side combine: the newest row per area of each batch."""
+    for frame in batches:
+        yield frame.sort_values(["slot", "mm"]).drop_duplicates(["aoi"], keep="last")
+
+
 class BestRun(StatefulProcessor):
     """Keeps the best-ranked observation of an (area, slot); emits only improvements."""
 
@@ -67,8 +79,9 @@ def run_upgrade(observations: DataFrame, delay: str) -> DataFrame:
     """
     rank = F.create_map(*[F.lit(v) for kv in vocab.LIVE_SOURCE_RANK.items() for v in kv])
     ranked = observations.withColumn("source_rank", F.element_at(rank, F.col("source_kind")))
+    combined = ranked.where("source_rank IS NOT NULL").mapInPandas(best_per_batch, ranked.schema)
     return (
-        ranked.where("source_rank IS NOT NULL").withWatermark("slot", delay)
+        combined.withWatermark("slot", delay)
         .groupBy("aoi", "slot")
         .transformWithStateInPandas(
             statefulProcessor=BestRun(), outputStructType=UPGRADE_SCHEMA,
@@ -102,7 +115,7 @@ class Latest(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest = None
         for frame in rows:
-            top = frame.loc[frame["slot"].idxmax()]
+            top = frame.sort_values(["slot", "mm"]).iloc[-1]
             seen = (int(pd.Timestamp(top["slot"]).timestamp() * 1000), float(top["mm"]))
             newest = seen if newest is None or seen > newest else newest
         known = self.last.get() if self.last.exists() else None
@@ -127,9 +140,10 @@ class Latest(StatefulProcessor):
 
 
 def latest(observations: DataFrame, delay: str) -> DataFrame:
-    """observations: aoi, slot, mm, at most one row per area and slot."""
+    """observations: aoi, slot, mm."""
+    combined = observations.mapInPandas(newest_per_batch, observations.schema)
     return (
-        observations.withWatermark("slot", delay).groupBy("aoi")
+        combined.withWatermark("slot", delay).groupBy("aoi")
         .transformWithStateInPandas(
             statefulProcessor=Latest(), outputStructType=LATEST_SCHEMA,
             outputMode="append", timeMode="eventTime",
