@@ -63,9 +63,9 @@ def event_boxes(fx):
 
 
 @query("tile_cover", oracle("""
-SELECT t.state, t.step, t.tile_lat, t.tile_lon, CAST(t.tile_lat BETWEEN c_lat AND c_lat + 1 AND t.tile_lon BETWEEN c_lon AND c_lon + 1 AS INT) AS central,
+SELECT DISTINCT t.state, t.step, t.tile_lat, t.tile_lon, CAST(t.tile_lat BETWEEN c_lat AND c_lat + 1 AND t.tile_lon BETWEEN c_lon AND c_lon + 1 AS INT) AS central,
  (CASE WHEN tile_lat >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(tile_lat) AS STRING), 2, '0') || (CASE WHEN tile_lon >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(tile_lon) AS STRING), 3, '0') AS tile
-FROM (SELECT DISTINCT b.state, s.step, CAST(floor((b.min_lat + b.max_lat) / 2e0) AS INT) AS c_lat, CAST(floor((b.min_lon + b.max_lon) / 2e0) AS INT) AS c_lon,
+FROM (SELECT b.state, s.step, CAST(floor((b.min_lat + b.max_lat) / 2e0) AS INT) AS c_lat, CAST(floor((b.min_lon + b.max_lon) / 2e0) AS INT) AS c_lon,
    CAST(la.v AS INT) AS tile_lat, CAST(lo.v AS INT) AS tile_lon
   FROM boxes b, (VALUES (1), (3)) s(step), (SELECT unnest(range(-90, 91)) AS v) la, (SELECT unnest(range(-180, 181)) AS v) lo
   WHERE la.v % s.step = 0 AND lo.v % s.step = 0 AND la.v BETWEEN floor(b.min_lat / s.step) * s.step AND floor(b.max_lat / s.step) * s.step
