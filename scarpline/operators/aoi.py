@@ -90,6 +90,30 @@ def admin_boxes(aoi: DataFrame) -> DataFrame:
     return aoi.where("kind = 'admin'").drop("kind")
 
 
+def with_candidates(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points with the sorted states whose box contains them, one row per point.
+
+    The boxes of a tile travel as one small array, so each point meets one row and the
+    containment test runs in place: no growth of the points and no shuffle to fold them
+    back. The array is bounded by the boxes that overlap a one-degree tile.
+    """
+    packed = tile_cover(boxes.select("state", *geo.EDGES)).groupBy("tile_lat", "tile_lon").agg(
+        F.collect_list(F.struct("state", *geo.EDGES)).alias("_boxes")
+    )
+    keyed = points.withColumns({
+        "tile_lat": F.floor("latitude").cast("int"), "tile_lon": F.floor("longitude").cast("int"),
+    })
+    def holds(b):
+        return F.col("latitude").between(b["min_lat"], b["max_lat"]) & F.col("longitude").between(
+            b["min_lon"], b["max_lon"]
+        )
+    names = F.transform(F.filter("_boxes", holds), lambda b: b["state"])
+    found = F.coalesce(F.array_sort(F.array_distinct(names)), F.array().cast("array<string>"))
+    return keyed.join(packed, ["tile_lat", "tile_lon"], "left").select(
+        *points.columns, found.alias("candidates")
+    )
+
+
 def point_in_aoi(
     points: DataFrame, boxes: DataFrame, aliases: DataFrame, key: str,
     requested: str | None = None,
@@ -97,14 +121,10 @@ def point_in_aoi(
     """Resolve every point to one state, OUTSIDE, AMBIGUOUS or INVALID.
 
     Overlapping boxes are never resolved silently; a requested state must exist and
-    contain the point. Candidates per point are bounded by the number of boxes.
+    contain the point.
     """
     keep = [key, "latitude", "longitude"] + ([requested] if requested else [])
-    hits = (
-        match_boxes(points.select(keep), boxes)
-        .groupBy(keep)
-        .agg(F.array_sort(F.collect_set("state")).alias("candidates"))
-    )
+    hits = with_candidates(points.select(keep), boxes)
     if requested:
         asked = F.regexp_replace(F.lower(F.trim(F.col(requested))), "-", " ")
         hits = hits.withColumn("alias", F.nullif(asked, F.lit(""))).join(
@@ -168,18 +188,23 @@ def state_for_bounds(bounds: DataFrame, boxes: DataFrame, tol: float = 1e-9) ->
         high = F.floor((F.col(edge) + tol) * scale + 0.5)
         return F.array_distinct(F.array(low, high))
 
-    b = boxes.select("state", geo.box_struct().alias("box"), *geo.EDGES)
-    for e in geo.EDGES:
-        b = b.withColumn(f"k_{e}", F.explode(keys(e))).drop(e)
-    q = bounds.withColumns({f"k_{e}": F.floor(F.col(e) * scale + 0.5) for e in geo.EDGES})
-    joined = q.join(b, [f"k_{e}" for e in geo.EDGES], "left")
-    same = F.lit(True)
+    keyed = boxes.select("state", *geo.EDGES, *[keys(e).alias(f"_k_{e}") for e in geo.EDGES])
     for e in geo.EDGES:
-        same = same & (F.abs(F.col(e) - F.col(f"box.{e}")) <= tol)
-    return (
-        joined.groupBy(bounds.columns)
-        .agg(F.min(F.when(same, F.col("state"))).alias("state"))
-        .withColumn("state", F.coalesce("state", F.lit("UNMATCHED_PILOT_AOI")))
+        keyed = keyed.withColumn(f"_k_{e}", F.explode(f"_k_{e}"))
+    names = [f"_k_{e}" for e in geo.EDGES]
+    # Boxes that agree on all four keys: as good as identical, so a handful at most.
+    packed = keyed.groupBy(names).agg(F.collect_list(F.struct("state", *geo.EDGES)).alias("_boxes"))
+
+    def same(b):
+        equal = F.lit(True)
+        for e in geo.EDGES:
+            equal = equal & (F.abs(F.col(e) - b[e]) <= tol)
+        return equal
+
+    q = bounds.withColumns({f"_k_{e}": F.floor(F.col(e) * scale + 0.5) for e in geo.EDGES})
+    state = F.array_min(F.transform(F.filter("_boxes", same), lambda b: b["state"]))
+    return q.join(packed, names, "left").select(
+        *bounds.columns, F.coalesce(state, F.lit("UNMATCHED_PILOT_AOI")).alias("state")
     )
 
 
