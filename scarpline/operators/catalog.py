@@ -8,22 +8,30 @@ from .. import vocab
 from ..functions.numbers import blank_to_null, col, rounded
 from . import aoi as aoi_ops
 
-DATE_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-    "MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy",
+# Shape of a date text -> its pattern; ISO shapes go through the cast, which is fastest.
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+OTHER_SHAPES = [
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} [AP]M$", "MM/dd/yyyy hh:mm:ss a"),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}(:\d{2})?$", "MM/dd/yyyy HH:mm[:ss]"),
+    (r"^\d{2}-[A-Z][a-z]{2}-\d{4}$", "dd-MMM-yyyy"),
 ]
 
 
-def parse_date(c: Column | str, formats=None) -> Column:
-    """Timestamp of a mixed-format text; blank, 'nan' and anything else become null."""
-    text = blank_to_null(c)
-    known = F.when(F.lower(text) != "nan", text)
-    return F.coalesce(
-        *[
-            F.try_to_timestamp(known, F.lit(f)).cast("timestamp_ntz")
-            for f in (formats or DATE_FORMATS)
-        ]
-    )
+def parse_date(c: Column | str) -> Column:
+    """Timestamp of a mixed-format text; blank, 'nan' and anything else become null.
+
+    The shape picks one parser, so no row pays for failed attempts.
+    """
+    text = F.trim(col(c))
+    shaped = lambda shape: F.rlike(text, F.lit(shape))
+    chain = F.when(shaped(ISO_SHAPE), text.try_cast("timestamp_ntz"))
+    for shape, pattern in OTHER_SHAPES:
+        chain = chain.when(
+            shaped(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+        )
+    return chain
 
 
 def has_date_text(c: Column | str) -> Column:
