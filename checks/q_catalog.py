@@ -213,11 +213,13 @@ def top_values(fx):
     return catalog.top_values(fx.events, ["event_date", "landslide_trigger", "location_accuracy"])
 
 
-@query("feature_ranking", oracle(f"""
-SELECT feature, {rnd('avg(abs(CAST(v AS DOUBLE)))', 6)} AS importance FROM (SELECT unnest({vocab.MODEL_FEATURES!r}) AS feature, unnest(embedding[1:11]) AS v FROM embeddings) GROUP BY feature"""))
-def feature_ranking(fx):
-    vectors = fx.table("embeddings").select(F.slice("embedding", 1, 11).alias("contributions"))
-    misaligned = fx.table("embeddings").select(F.slice("embedding", 1, 5).alias("contributions"))
-    return evaluate.feature_ranking(vectors.union(misaligned), vocab.MODEL_FEATURES)
+DIMS = [f"dim_{i}" for i in range(64)]
 
 
+@query("feature_ranking", oracle(f"""
+SELECT feature, {rnd('avg(abs(CAST(v AS DOUBLE)))', 6)} AS importance FROM (SELECT unnest({DIMS!r}) AS feature, unnest(embedding) AS v FROM embeddings) GROUP BY feature"""))
+def feature_ranking(fx):
+    """Whole vectors as contributions; rows one element too long are not aligned and drop out."""
+    vectors = fx.table("embeddings").select(F.col("embedding").alias("contributions"))
+    misaligned = vectors.select(F.array_append("contributions", F.lit(9.0).cast("float")).alias("contributions"))
+    return evaluate.feature_ranking(vectors.union(misaligned), DIMS)

@@ -67,10 +67,9 @@ WHERE a.kind = 'pilot' AND la.v BETWEEN round_even((a.min_lat + 89.95e0) * 10e0,
 
 
 @query("precip_grid_scan", oracle("""
-SELECT g.lat_idx, g.lon_idx, strftime(g.day, '%Y-%m-%d') AS day, g.precip, c.state FROM fx_precip_grid g JOIN cells c USING (lat_idx, lon_idx) WHERE g.day >= DATE '1995-01-01' AND g.day < DATE '1996-01-01'""", "fx_precip_grid", cells=GRID_CELLS))
+SELECT g.lat_idx, g.lon_idx, strftime(g.day, '%Y-%m-%d') AS day, g.precip, c.state FROM fx_precip_grid g JOIN cells c USING (lat_idx, lon_idx)""", "fx_precip_grid", cells=GRID_CELLS))
 def precip_grid_scan(fx):
-    year = fx.precip_grid.where("day >= DATE '1995-01-01' AND day < DATE '1996-01-01'")
-    return rainfall.precip_grid_scan(year, fx.pilots)
+    return rainfall.precip_grid_scan(fx.precip_grid, fx.pilots)
 
 
 VALID = "isfinite(precip) AND precip > -100"
@@ -280,3 +279,41 @@ def granule_listing(fx):
     return rain_documents.granule_listing(listings, ["aoi", "run"], F.col("run"))
 
 
+
+
+# --- live records -------------------------------------------------------------------------
+
+# Early is gappy, Late older, the fallback hourly; area 3 has only the fallback, area 9 nothing.
+LIVE = """
+SELECT aoi, 'IMERG_HHR_EARLY' AS source_kind, slot, mm FROM {s} WHERE aoi IN (0, 1) AND NOT (aoi = 1 AND slot_no % 5 = 2)
+UNION ALL SELECT aoi, 'IMERG_HHR_LATE', slot, mm FROM {s} WHERE aoi IN (1, 2) AND slot_no < 880
+UNION ALL SELECT aoi, 'OPEN_METEO_FALLBACK', slot, mm * 2 FROM {s} WHERE slot_no % 2 = 0"""
+LIVE_RUN = """
+SELECT *, CASE source_kind WHEN 'IMERG_HHR_EARLY' THEN 1 WHEN 'IMERG_HHR_LATE' THEN 2 ELSE 3 END AS rank, CASE source_kind WHEN 'OPEN_METEO_FALLBACK' THEN 60 ELSE 30 END AS step FROM lv WHERE slot <= TIMESTAMP '2024-01-20 12:10:00'"""
+LIVE_BACK = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi, source_kind ORDER BY slot DESC) - 1 AS back, max(slot) OVER (PARTITION BY aoi, source_kind) AS anchor FROM lr) WHERE slot = anchor - to_minutes(step * back) AND back < 12"""
+
+
+def live_total(h):
+    need = f"({h} * 60 // step)"
+    return (f"CASE WHEN n >= {need} THEN {rnd(f's{h} / 1e6', 4)} END AS accum_{h}h_mm, CASE WHEN anchor IS NULL THEN 'no observation was retrieved, so no accumulation exists' WHEN n < {need} THEN 'incomplete window: ' || CAST(n AS STRING) || ' of ' || CAST({need} AS STRING) "
+            f"|| ' contiguous ' || CAST(step AS STRING) || '-minute intervals, so a {h} h total would be partial' END AS accum_{h}h_reason")
+
+
+LIVE_SUM = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY rank) AS rn FROM (SELECT aoi, source_kind, rank, step, anchor, count(*) AS n, max(mm) FILTER (WHERE back = 0) AS last_mm,
+ CAST(sum(CAST(round_even(mm * 1e6, 0) AS BIGINT)) FILTER (WHERE back < 180 // step) AS DOUBLE) AS s3, CAST(sum(CAST(round_even(mm * 1e6, 0) AS BIGINT)) FILTER (WHERE back < 360 // step) AS DOUBLE) AS s6 FROM lb GROUP BY ALL)) WHERE rn = 1"""
+
+
+@query("live_records", oracle(f"""
+SELECT aoi, source_kind, strftime(anchor, '%Y-%m-%d %H:%M:%S') AS observed_at, n AS intervals, {rnd('last_mm', 4)} AS latest_mm, CAST(step AS INT) AS interval_minutes, {live_total(3)}, {live_total(6)}, age AS age_minutes,
+ CASE WHEN age > 360 THEN 'STALE' WHEN age <= 90 THEN 'NEAR_REAL_TIME' WHEN age IS NOT NULL THEN 'RECENT' END AS freshness_label, age > 360 AS is_stale, CASE WHEN anchor IS NULL THEN 'UNAVAILABLE' WHEN rank = 3 THEN 'FALLBACK' ELSE 'REAL' END AS data_quality_status,
+ CASE WHEN anchor IS NULL THEN 'no satellite slot and no fallback observation' END AS unavailable_reason
+FROM (SELECT a.aoi, s.* EXCLUDE (aoi), {rnd("CAST(date_diff('second', s.anchor, TIMESTAMP '2024-01-20 12:10:00') AS DOUBLE) / 60e0", 1)} AS age FROM (VALUES (0), (1), (2), (3), (9)) AS a(aoi) LEFT JOIN ls s ON s.aoi = a.aoi)""",
+    "fx_slots", sn="SELECT *, date_diff('minute', TIMESTAMP '2024-01-01', slot) // 30 AS slot_no FROM fx_slots", lv=LIVE.format(s="sn"), lr=LIVE_RUN, lb=LIVE_BACK, ls=LIVE_SUM))
+def live_records(fx):
+    from scarpline.plans import live
+
+    numbered = fx.slots.withColumn("slot_no", F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ '2024-01-01 00:00:00', slot) div 30"))
+    areas = fx.spark.sql("SELECT * FROM VALUES (0), (1), (2), (3), (9) AS t(aoi)")
+    return live.live_records(areas, fx.sql(LIVE, s=numbered), now())

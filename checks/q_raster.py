@@ -118,11 +118,11 @@ SELECT e.event_id, CASE WHEN ok THEN t.elevation END AS elevation, CASE WHEN ok
  CASE WHEN ok THEN 'REAL' ELSE 'UNAVAILABLE' END AS status,
  CASE WHEN t.row_idx IS NULL THEN 'point is outside the raster' ELSE concat_ws('; ', CASE WHEN t.elevation IS NULL THEN 'elevation is nodata or not finite' END, CASE WHEN t.slope IS NULL THEN 'slope is nodata or not finite' END,
   CASE WHEN t.aspect IS NULL THEN 'aspect is nodata or not finite' END, CASE WHEN t.roughness IS NULL THEN 'roughness is nodata or not finite' END, CASE WHEN t.tpi IS NULL THEN 'tpi is nodata or not finite' END) END AS reasons
-FROM (SELECT event_id, %s AS r, %s AS c FROM fx_events WHERE latitude > 26) e LEFT JOIN (SELECT *, elevation IS NOT NULL AND slope IS NOT NULL AND aspect IS NOT NULL AND roughness IS NOT NULL AND tpi IS NOT NULL AS ok FROM t) t ON t.row_idx = e.r AND t.col_idx = e.c""" % (SAMPLE_ROW, SAMPLE_COL),
+FROM (SELECT event_id, %s AS r, %s AS c FROM fx_events) e LEFT JOIN (SELECT *, elevation IS NOT NULL AND slope IS NOT NULL AND aspect IS NOT NULL AND roughness IS NOT NULL AND tpi IS NOT NULL AS ok FROM t) t ON t.row_idx = e.r AND t.col_idx = e.c""" % (SAMPLE_ROW, SAMPLE_COL),
     "fx_events", "fx_dem", **terrain_ctes(HOLED.format(dem="fx_dem"))))
 def raster_sample(fx):
     wide = terrain(fx, fx.sql(HOLED, dem=fx.dem))
-    points = fx.events.where("latitude > 26").select("event_id", "latitude", "longitude")
+    points = fx.events.select("event_id", "latitude", "longitude")
     return raster.raster_sample(points, wide, META).drop("latitude", "longitude")
 
 

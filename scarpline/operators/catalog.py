@@ -99,18 +99,18 @@ def source_preference(snapshot: DataFrame, catalog: DataFrame, states: DataFrame
     both = snapshot.withColumn("priority", F.lit(1)).unionByName(
         catalog.withColumn("priority", F.lit(2)), allowMissingColumns=True
     )
-    best = both.groupBy("state").agg(F.min("priority").alias("best"))
-    chosen = (
-        states.select("state").join(best, "state", "left")
-        .join(both, "state", "left")
-        .where(F.col("best").isNull() | (F.col("priority") == F.col("best")))
+    best = (
+        both.groupBy("state").agg(F.min("priority").alias("best"))
+        .join(states.select("state"), "state")
     )
-    source = (
-        F.when(F.col("best") == 1, vocab.SNAPSHOT_SOURCE)
-        .when(F.col("best") == 2, vocab.CATALOG_SOURCE)
-        .otherwise("NONE")
+    # Inner join with one row per state: the small side can be broadcast, and a state
+    # holding most rows is split; an outer join from the dimension could do neither.
+    chosen = both.join(best, "state").where(F.col("priority") == F.col("best"))
+    empty = states.select("state").join(best, "state", "left_anti")
+    name = F.when(F.col("best") == 1, vocab.SNAPSHOT_SOURCE).otherwise(vocab.CATALOG_SOURCE)
+    return chosen.withColumn("source", name).drop("priority", "best").unionByName(
+        empty.withColumn("source", F.lit("NONE")), allowMissingColumns=True
     )
-    return chosen.withColumn("source", source).drop("priority", "best")
 
 
 def uncertainty_summary(events: DataFrame, by: list[str] = ()) -> DataFrame:

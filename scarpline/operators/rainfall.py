@@ -276,14 +276,18 @@ def probe_window_asof(
 
 
 def source_ladder(
-    requests: DataFrame, primary: DataFrame, fallback: DataFrame, ids: list[str],
+    requests: DataFrame, primary: DataFrame, fallback: DataFrame | None, ids: list[str],
     run_type: str = "Early",
 ) -> DataFrame:
     """First source with a complete window wins; every attempt is recorded.
 
     primary and fallback carry ids, the features, rain_status and rain_reasons. A
-    fallback is always labelled; with neither, there is no number at all.
+    fallback is always labelled; without one its attempt reads DISABLED. With neither
+    source there is no number at all.
     """
+    disabled = fallback is None
+    if disabled:
+        fallback = primary.where(F.lit(False))
     def side(df, tag):
         return df.select(
             *ids,
@@ -305,10 +309,15 @@ def source_ladder(
 
     first = attempt(vocab.SOURCE_IMERG, p_ok, "p_r")
     second = attempt(vocab.SOURCE_FALLBACK, f_ok, "f_r")
+    if disabled:
+        second = F.struct(
+            F.lit(vocab.SOURCE_FALLBACK).alias("source_kind"), F.lit("DISABLED").alias("status"),
+            F.lit("the fallback is disabled").alias("reason"),
+        )
     pick = lambda a, b: F.when(p_ok, a).when(f_ok, b)
     attempts = F.when(p_ok, F.array(first)).otherwise(F.array(first, second))
     failed = F.transform(
-        F.filter(attempts, lambda a: a["status"] == "FAILED"),
+        F.filter(attempts, lambda a: a["reason"].isNotNull()),
         lambda a: F.concat_ws(": ", a["source_kind"], a["reason"]),
     )
     return j.select(

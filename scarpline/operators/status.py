@@ -34,7 +34,8 @@ def availability(states: DataFrame, files: DataFrame) -> DataFrame:
 def artifact_plan(states: DataFrame, required: list[str], files: DataFrame) -> DataFrame:
     """What each state still has to build: nothing, the derivatives, or DEM and all."""
     wanted = states.select("state", F.explode(text_list(required)).alias("feature"))
-    present = files.where(F.col("length") > 0).select("state", "feature")
+    # Distinct first: many files of one kind shrink to one row per task before the join.
+    present = files.where(F.col("length") > 0).select("state", "feature").distinct()
     missing = (
         wanted.join(present, ["state", "feature"], "left_anti")
         .groupBy("state").agg(F.array_sort(F.collect_set("feature")).alias("missing"))
