@@ -96,9 +96,9 @@ def lag_label(days: Column | str) -> Column:
     d = col(days)
     return F.when(
         d.isNotNull(),
-        F.when(d <= 0, "same day")
-        .when(d == 1, "1 day behind the requested date")
-        .otherwise(F.concat(d.cast("string"), F.lit(" days behind the requested date"))),
+        F.when(d <= 0, vocab.LAG_SAME_DAY)
+        .when(d == 1, vocab.LAG_ONE_DAY)
+        .otherwise(F.format_string(vocab.LAG_MANY_DAYS, d)),
     )
 
 

@@ -71,12 +71,7 @@ def status_tone(value: Column | str) -> Column:
     """Tone of a free-text status; the negative words are tested first."""
     text = F.upper(F.coalesce(col(value), F.lit("")))
     return when_chain(
-        [
-            (text.rlike(r"MISSING|UNAVAILABLE|FAIL|ERROR|ABSENT|NONE|NOT[_ ]|INVALID|INCOMPLETE"), "bad"),
-            (text.rlike(r"READY|COMPLETE|AVAILABLE|PRESENT|VALID|TRAINED|PASS|REAL|OK\b"), "good"),
-            (text.rlike(r"PROXY|DERIVED|PARTIAL|PENDING|LIMITED|LOW"), "partial"),
-        ],
-        F.lit("neutral"),
+        [(text.rlike(pattern), tone) for tone, pattern in vocab.TONE_PATTERNS], F.lit("neutral")
     )
 
 
@@ -122,25 +117,24 @@ def source_label(source, source_kind, quality, is_fallback) -> Column:
             (
                 F.coalesce(col(is_fallback), F.lit(False)),
                 F.format_string(
-                    "FALLBACK antecedent rainfall from %s (data_quality_status=%s; NOT an "
-                    "official live IMERG observation)",
-                    F.coalesce(s, F.lit("Open-Meteo ERA5 archive")),
+                    vocab.LABEL_FALLBACK,
+                    F.coalesce(s, F.lit(vocab.FALLBACK_SERIES)),
                     F.coalesce(q, F.lit("FALLBACK")),
                 ),
             ),
             (
                 F.coalesce(k == vocab.SOURCE_IMERG, F.lit(False)) | (k.isNull() & s.isNotNull()),
-                F.format_string("real %s antecedent rainfall", F.coalesce(s, F.lit("IMERG"))),
+                F.format_string(vocab.LABEL_SATELLITE, F.coalesce(s, F.lit(vocab.SOURCE_IMERG))),
             ),
             (
                 k.isNotNull(),
                 F.format_string(
-                    "antecedent rainfall from %s (data_quality_status=%s)",
+                    vocab.LABEL_OTHER,
                     F.coalesce(s, k), F.coalesce(q, F.lit("UNKNOWN")),
                 ),
             ),
         ],
-        F.lit("antecedent rainfall of UNREPORTED provenance"),
+        F.lit(vocab.LABEL_UNREPORTED),
     )
 
 

@@ -204,7 +204,7 @@ def state_for_bounds(bounds: DataFrame, boxes: DataFrame, tol: float = 1e-9) ->
     q = bounds.withColumns({f"_k_{e}": F.floor(F.col(e) * scale + 0.5) for e in geo.EDGES})
     state = F.array_min(F.transform(F.filter("_boxes", same), lambda b: b["state"]))
     return q.join(packed, names, "left").select(
-        *bounds.columns, F.coalesce(state, F.lit("UNMATCHED_PILOT_AOI")).alias("state")
+        *bounds.columns, F.coalesce(state, F.lit(vocab.UNMATCHED_AOI)).alias("state")
     )
 
 

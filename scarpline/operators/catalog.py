@@ -211,9 +211,7 @@ def label_gate(events: DataFrame, by: list[str] = (), minimum: int = vocab.MIN_D
     ok = F.col("independent_events") >= minimum
     return out.withColumns({
         "use_temporal_ml": ok,
-        "recommended_approach": F.when(ok, "Option A: Temporal ML").otherwise(
-            "Option C: Static ML + IMERG Thresholds"
-        ),
+        "recommended_approach": F.when(ok, vocab.GATE_OPTION_A).otherwise(vocab.GATE_OPTION_C),
     })
 
 

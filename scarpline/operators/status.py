@@ -9,7 +9,7 @@ from ..functions import provenance as prov
 from ..functions.numbers import col, reasons, text_list
 from .aoi import state_id
 
-MISSING = "Missing (Requires Download)"
+MISSING, AVAILABLE = vocab.FILE_MISSING, vocab.FILE_AVAILABLE
 
 
 def availability(states: DataFrame, files: DataFrame) -> DataFrame:
@@ -24,10 +24,10 @@ def availability(states: DataFrame, files: DataFrame) -> DataFrame:
     has = lambda c, n: F.coalesce(F.col(c) > n, F.lit(False))
     return states.select("state").join(largest, "state", "left").select(
         "state",
-        F.when(has("_dem", 1000), "Available").otherwise(MISSING).alias("dem_status"),
-        F.when(has("_exposure", 100), "Available").otherwise(MISSING).alias("exposure_status"),
-        F.when(has("_rainfall", 0), "Authenticated (Satellite IMERG)")
-        .otherwise("Unavailable (NASA Earthdata auth missing)").alias("rainfall_status"),
+        F.when(has("_dem", vocab.MIN_DEM_BYTES), AVAILABLE).otherwise(MISSING).alias("dem_status"),
+        F.when(has("_exposure", vocab.MIN_EXPOSURE_BYTES), AVAILABLE).otherwise(MISSING).alias("exposure_status"),
+        F.when(has("_rainfall", 0), vocab.RAIN_AUTHENTICATED)
+        .otherwise(vocab.RAIN_UNAVAILABLE).alias("rainfall_status"),
     )
 
 
@@ -68,16 +68,16 @@ def status_decision(df: DataFrame, minimum_events: int = vocab.MIN_DATES_TEMPORA
     """
     pilot = F.coalesce("is_pilot", F.lit(False))
     complete = F.coalesce("evidence_complete", F.lit(False))
-    gap = lambda c: ~pilot & (F.coalesce(c, F.lit("")) != "Available")
+    gap = lambda c: ~pilot & (F.coalesce(c, F.lit("")) != AVAILABLE)
     usable = F.coalesce("usable_events", F.lit(0))
     no_dem, no_osm = gap("dem_status"), gap("exposure_status")
     no_rain = ~pilot & rainfall_unavailable("rainfall_status")
     few = ~pilot & (usable < minimum_events)
     blockers = reasons(
-        (no_dem, "Missing DEM Data"),
-        (no_osm, "Missing OSM Exposure Data"),
-        (no_rain, "Missing Earthdata Credentials for IMERG"),
-        (few, F.format_string(f"Insufficient usable landslide events (%d < {minimum_events})", usable)),
+        (no_dem, vocab.BLOCKER_DEM),
+        (no_osm, vocab.BLOCKER_OSM),
+        (no_rain, vocab.BLOCKER_RAIN),
+        (few, F.format_string(vocab.BLOCKER_EVENTS.format(minimum=minimum_events), usable)),
         (pilot & ~complete, evidence_blocker("evidence_missing")),
     )
     overall = (
@@ -100,7 +100,7 @@ def status_decision(df: DataFrame, minimum_events: int = vocab.MIN_DATES_TEMPORA
 
 def evidence_blocker(missing: str) -> Column:
     listed = F.array_join(F.coalesce(F.col(missing), F.array(F.lit("model"))), ", ")
-    return F.concat(F.lit("Missing Persisted Validation Evidence ("), listed, F.lit(")"))
+    return F.concat(F.lit(vocab.BLOCKER_EVIDENCE + " ("), listed, F.lit(")"))
 
 
 # --- evidence documents --------------------------------------------------------------
@@ -232,9 +232,7 @@ def evidence_downgrade(reports: DataFrame, evidence: DataFrame, key: str = "stat
     )
 
 
-OWNED_BLOCKERS = [
-    "Missing DEM Data", "Missing OSM Exposure Data", "Missing Persisted Validation Evidence",
-]
+OWNED_BLOCKERS = [vocab.BLOCKER_DEM, vocab.BLOCKER_OSM, vocab.BLOCKER_EVIDENCE]
 
 
 def evidence_refresh(reports: DataFrame, artifacts: DataFrame, key: str = "state") -> DataFrame:
@@ -246,20 +244,20 @@ def evidence_refresh(reports: DataFrame, artifacts: DataFrame, key: str = "state
     j = reports.join(artifacts, key, "left")
     complete = F.coalesce("evidence_complete", F.lit(False))
     dem = (
-        F.when(F.col("dem_available"), "Available").when(~F.col("dem_available"), MISSING)
+        F.when(F.col("dem_available"), AVAILABLE).when(~F.col("dem_available"), MISSING)
         .otherwise(F.col("dem_status"))
     )
-    osm = F.when(F.coalesce("exposure_available", F.lit(False)), "Available").otherwise(MISSING)
+    osm = F.when(F.coalesce("exposure_available", F.lit(False)), AVAILABLE).otherwise(MISSING)
     j = j.withColumns({"dem_status": dem, "exposure_status": osm})
-    data_ready = (F.col("dem_status") == "Available") & (F.col("exposure_status") == "Available")
+    data_ready = (F.col("dem_status") == AVAILABLE) & (F.col("exposure_status") == AVAILABLE)
     kept = F.filter(
         F.coalesce("blocking_reasons", F.array().cast("array<string>")),
         lambda b: ~(b.startswith(OWNED_BLOCKERS[0]) | b.startswith(OWNED_BLOCKERS[1])
                     | b.startswith(OWNED_BLOCKERS[2])),
     )
     raised = reasons(
-        (F.col("dem_status") != "Available", OWNED_BLOCKERS[0]),
-        (F.col("exposure_status") != "Available", OWNED_BLOCKERS[1]),
+        (F.col("dem_status") != AVAILABLE, OWNED_BLOCKERS[0]),
+        (F.col("exposure_status") != AVAILABLE, OWNED_BLOCKERS[1]),
         (~complete, evidence_blocker("evidence_missing")),
     )
     return j.withColumns({
