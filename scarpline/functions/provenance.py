@@ -26,32 +26,27 @@ def input_record(name, status, value, source=None, reason=None) -> Column:
     )
 
 
-def blocking_inputs(inputs: Column | str, mode: str) -> Column:
-    """Names of required inputs that are not usable, in the mode's order."""
-    required = vocab.REQUIRED_INPUTS[mode]
-    usable = F.transform(
-        F.filter(col(inputs), lambda x: x["status"].isin(vocab.USABLE_STATUSES)),
-        lambda x: x["name"],
-    )
-    return F.filter(text_list(required), lambda n: ~F.array_contains(usable, n))
+def _blocked(inputs: str, name: str) -> Column:
+    usable = F.col(f"{inputs}.{name}.status").isin(vocab.USABLE_STATUSES)
+    return ~F.coalesce(usable, F.lit(False))
+
+
+def blocking_inputs(inputs: str, mode: str) -> Column:
+    """Names of required inputs that are not usable, in the mode's order.
+
+    inputs: a struct column of records keyed by input name.
+    """
+    return reasons(*[(_blocked(inputs, n), n) for n in vocab.REQUIRED_INPUTS[mode]])
 
 
-def blocking_reasons(inputs: Column | str, mode: str) -> Column:
+def blocking_reasons(inputs: str, mode: str) -> Column:
     """'<input>: <reason>' of every blocking input, without repeats."""
-    blocked = blocking_inputs(inputs, mode)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                blocked,
-                lambda n: F.flatten(
-                    F.transform(
-                        F.filter(col(inputs), lambda x: x["name"] == n),
-                        lambda x: F.transform(x["reasons"], lambda r: F.concat(n, F.lit(": "), r)),
-                    )
-                ),
-            )
-        )
-    )
+    def told(name):
+        texts = F.transform(F.col(f"{inputs}.{name}.reasons"), lambda r: F.concat(F.lit(f"{name}: "), r))
+        return F.when(_blocked(inputs, name), texts)
+
+    listed = [told(n) for n in vocab.REQUIRED_INPUTS[mode]]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*listed))))
 
 
 def missing_names(present: Column | str, required: list[str]) -> Column:

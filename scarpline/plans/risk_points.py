@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import vocab
 from ..functions import provenance as prov, risk
 
 
@@ -31,21 +32,19 @@ def rainfall_record(mm: str = "mm_now", live: str = "has_real_rainfall") -> Colu
 
 
 def input_records(points: DataFrame) -> DataFrame:
-    """Points with an `inputs` array of normalised records."""
+    """Points with an `inputs` struct of normalised records, one per input."""
     forecast = F.when(_depth_ok("mm_forecast"), "REAL").otherwise("UNAVAILABLE")
-    return points.withColumn(
-        "inputs",
-        F.array(
-            _record("susceptibility", _known("susceptibility"), "susceptibility", "no usable model score"),
-            _record("slope_deg", _known("slope"), "slope", "no terrain sample"),
-            rainfall_record(),
-            _record("forecast_rainfall_mm", forecast, "mm_forecast", "no usable forecast"),
-            _record(
-                "exposure_score", F.lit("UNAVAILABLE"), F.lit(None).cast("double"),
-                "no validated mapping from assets to a score",
-            ),
+    records = {
+        "susceptibility": _record("susceptibility", _known("susceptibility"), "susceptibility", "no usable model score"),
+        "slope_deg": _record("slope_deg", _known("slope"), "slope", "no terrain sample"),
+        "current_rainfall_mm": rainfall_record(),
+        "forecast_rainfall_mm": _record("forecast_rainfall_mm", forecast, "mm_forecast", "no usable forecast"),
+        "exposure_score": _record(
+            "exposure_score", F.lit("UNAVAILABLE"), F.lit(None).cast("double"),
+            "no validated mapping from assets to a score",
         ),
-    )
+    }
+    return points.withColumn("inputs", F.struct(*[c.alias(n) for n, c in records.items()]))
 
 
 def gate(df: DataFrame, mode: str) -> DataFrame:
@@ -56,17 +55,13 @@ def gate(df: DataFrame, mode: str) -> DataFrame:
     }).withColumn("usable", F.size("blocking_inputs") == 0)
 
 
-def _status_of(name: str) -> Column:
-    return F.filter("inputs", lambda x: x["name"] == name)[0]["status"]
-
-
 def risk_of(records: DataFrame, mode: str) -> DataFrame:
     """Fused risk of one mode. The current mode asserts no forecast at all."""
     forecast = F.col("mm_forecast") if mode == "forecast" else F.lit(None).cast("double")
     ready = gate(records, mode).withColumns({
         "_forecast": forecast,
-        "_dem": _status_of("slope_deg").isin("REAL", "DERIVED_PROXY"),
-        "_rain": _status_of("current_rainfall_mm") == "REAL",
+        "_dem": F.col("inputs.slope_deg.status").isin(vocab.USABLE_STATUSES),
+        "_rain": F.col("inputs.current_rainfall_mm.status") == "REAL",
     })
     fused = risk.with_fused_risk(ready, mm_forecast="_forecast", real_dem="_dem", real_rain="_rain")
     numbers = ["final_risk_score", "warning_level", "confidence"]

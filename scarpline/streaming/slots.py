@@ -9,6 +9,7 @@ from ..functions import clock, risk
 from ..functions.numbers import is_finite, rounded
 from ..session import scratch_path
 
+PARTITIONS = "spark.sql.shuffle.partitions"
 LATE_DELAY = f"{vocab.LATE_LATENCY_MINUTES} minutes"
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -93,17 +94,28 @@ def alert_cells(alerts: DataFrame, cells: DataFrame, key: str = "aoi") -> DataFr
     return alerts.join(cells, key)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, name: str, mode: str = "append", state_partitions: int | None = None,
+) -> DataFrame:
     """Run a stream over everything there is into a Parquet table and read it back.
 
     Checkpoint and table lie in the shared folder, so a restart resumes exactly once.
+    State is partitioned for the life of a checkpoint and never re-planned at run time,
+    so by default it gets no more partitions than there are cores.
     """
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    run = (
+    writer = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
+    setting = spark.conf.get(PARTITIONS)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(PARTITIONS, str(state_partitions or min(int(setting), cores)))
+    try:
+        run = writer.start()
+    finally:
+        spark.conf.set(PARTITIONS, setting)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
