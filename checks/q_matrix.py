@@ -187,8 +187,8 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_custke
 
 
 @query("model_decision", oracle(f"""
-SELECT *, CASE WHEN justification_reasons <> '' THEN '{vocab.OPTION_C}' ELSE '{vocab.OPTION_A}' END AS final_recommendation FROM (SELECT *, concat_ws('; ', CASE WHEN coalesce(pct_low_accuracy, 0) > 50 THEN 'high spatial uncertainty' END, CASE WHEN independent_events < 100 THEN 'limited temporal sample size' END,
- CASE WHEN coalesce(far, 1) > 0.25 OR coalesce(pr_auc, 0) < 0.5 THEN 'temporal validation instability' END) AS justification_reasons FROM d)""", d=DECISION.format(customer="customer")))
+SELECT *, CASE WHEN justification_reasons <> '' THEN '{vocab.OPTION_C}' ELSE '{vocab.OPTION_A}' END AS final_recommendation FROM (SELECT *, concat_ws('; ', CASE WHEN coalesce(pct_low_accuracy, 0) > 50 THEN 'high spatial uncertainty: ' || printf('%.1f', pct_low_accuracy) || '% of events at 5 km or worse' END, CASE WHEN independent_events < 100 THEN 'limited temporal sample size: ' || CAST(independent_events AS STRING) || ' independent dates' END,
+ CASE WHEN coalesce(far, 1) > 0.25 OR coalesce(pr_auc, 0) < 0.5 THEN 'temporal validation instability: false-alarm rate ' || printf('%.2f', coalesce(far, 1e0)) || ', PR-AUC ' || printf('%.2f', coalesce(pr_auc, 0e0)) END) AS justification_reasons FROM d)""", d=DECISION.format(customer="customer")))
 def model_decision(fx):
     return evaluate.model_decision(fx.sql(DECISION))
 

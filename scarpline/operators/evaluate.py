@@ -113,9 +113,11 @@ def model_decision(evidence: DataFrame) -> DataFrame:
     low = F.coalesce("pct_low_accuracy", F.lit(0.0))
     n = F.coalesce("independent_events", F.lit(0))
     why = reasons(
-        (low > 50.0, "high spatial uncertainty"),
-        (n < vocab.MIN_DATES_DECISION, "limited temporal sample size"),
-        ((far > 0.25) | (area < 0.50), "temporal validation instability"),
+        (low > 50.0, F.format_string("high spatial uncertainty: %.1f%% of events at 5 km or worse", low)),
+        (n < vocab.MIN_DATES_DECISION,
+         F.format_string("limited temporal sample size: %d independent dates", n)),
+        ((far > 0.25) | (area < 0.50),
+         F.format_string("temporal validation instability: false-alarm rate %.2f, PR-AUC %.2f", far, area)),
     )
     return evidence.withColumn("justification_reasons", why).withColumn(
         "final_recommendation",

@@ -30,6 +30,17 @@ class RasterMeta:
         return F.floor((col(lon) - F.lit(self.west)) / self.res).cast("int")
 
 
+    def window(self, box: dict) -> tuple[int, int, int, int]:
+        """First and last row and column whose cells meet a box."""
+        near = lambda v: round(v / self.res, 9)
+        return (
+            max(0, math.floor(near(self.north - box["max_lat"]))),
+            math.ceil(near(self.north - box["min_lat"])) - 1,
+            max(0, math.floor(near(box["min_lon"] - self.west))),
+            math.ceil(near(box["max_lon"] - self.west)) - 1,
+        )
+
+
 def require_cell_size(value) -> float:
     """A cell size must be given, and be a finite positive number of metres."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
@@ -46,8 +57,14 @@ def mask_nodata(c: Column | str, nodata: float = vocab.NODATA) -> Column:
     return F.when(is_finite(value) & (F.abs(value - nodata) > near), value)
 
 
+def crop(cells: DataFrame, meta: RasterMeta, box: dict) -> DataFrame:
+    """Cells that meet a box, as literal index ranges that reach the scan."""
+    r0, r1, c0, c1 = meta.window(box)
+    return cells.where(F.col("row_idx").between(r0, r1) & F.col("col_idx").between(c0, c1))
+
+
 def dem_mosaic(tiles: DataFrame, value: str = "elevation", order: str = "tile_order") -> DataFrame:
-    """Merge overlapping tiles, the first tile winning per cell."""
+    """Merge overlapping tiles, the first tile winning per cell. Crop before merging."""
     return tiles.groupBy("row_idx", "col_idx").agg(F.min_by(value, order).alias(value))
 
 

@@ -72,7 +72,8 @@ def grid_summary(cells: DataFrame, by: list[str], probability: str = "probabilit
     ).drop("_micro")
 
 
-def class_counts_map(cells_summary: DataFrame) -> Column:
+def class_counts_map() -> Column:
+    """The class counts of a grid_summary row as one map, zero classes included."""
     classes = [name for name, _ in vocab.WARNING_LEVELS]
     return F.map_from_arrays(
         F.array(*map(F.lit, classes)), F.array(*[F.col(f"n_{c.lower()}") for c in classes])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab
+from ..functions import provenance as prov
 from ..operators.matrix import cast_features
+from ..plans import grid
 
 FEATURE_PROPERTIES = ["cell_id", "status", "probability", "risk_class", "exceeds_decision_threshold"]
 
@@ -38,6 +40,30 @@ def write_geojson(cells: DataFrame, path: str) -> None:
     geojson_lines(cells).write.text(path)
 
 
+def map_header(summary: DataFrame, rain: DataFrame, target_day: str, step_deg: float) -> DataFrame:
+    """One record per state to go with the features: what was computed, from which rain.
+
+    summary: grid_summary by state; rain: one row per state from the source ladder. The
+    daily series and the feature values are left out of the rainfall view.
+    """
+    counts = grid.class_counts_map()
+    j = summary.join(rain, "state", "left")
+    label = prov.source_label("source", "source_kind", "data_quality_status", "is_fallback")
+    shown = [c for c in prov.RAIN_VIEW_FIELDS if c in rain.columns]
+    return j.select(
+        F.lit("FeatureCollection").alias("type"), "state",
+        F.lit(target_day).alias("target_date"),
+        F.concat(F.lit("susceptibility model + "), label).alias("generated_from"),
+        F.lit(vocab.DECISION_THRESHOLD).alias("decision_threshold"),
+        F.struct(F.lit(float(step_deg)).alias("step_deg"), F.col("cells_total").alias("cell_count")).alias("grid"),
+        F.struct(*shown).alias("rainfall"),
+        F.struct(
+            "cells_total", "cells_scored", "cells_unavailable", counts.alias("risk_class_counts"),
+            "cells_exceeding_threshold", "max_probability", "mean_probability",
+        ).alias("summary"),
+    )
+
+
 GEOJSON_SCHEMA = (
     "type STRING, id STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<DOUBLE>>, "
     "properties STRUCT<cell_id: STRING, status: STRING, probability: DOUBLE, risk_class: STRING, "

@@ -445,6 +445,23 @@ def test_map_needs_coordinates(spark):
         documents.geojson_lines(spark.createDataFrame([("a", None, 88.0, "OK", 0.1, "LOW", False)], cell)).collect()
 
 
+def test_map_header_names_the_series_really_used(spark):
+    from scarpline.plans import grid
+
+    cells = spark.createDataFrame([("Sikkim", "OK", 0.9), ("Sikkim", "UNAVAILABLE", None), ("Assam", "UNAVAILABLE", None)], "state string, status string, probability double")
+    rain = spark.createDataFrame([("Sikkim", vocab.FALLBACK_LABEL, vocab.SOURCE_FALLBACK, True, "FALLBACK")], "state string, source string, source_kind string, is_fallback boolean, data_quality_status string")
+    rows = {r.state: r for r in documents.map_header(grid.grid_summary(cells, ["state"]), rain, "2024-01-20", 0.05).collect()}
+    assert rows["Sikkim"].generated_from.startswith("susceptibility model + FALLBACK")
+    assert rows["Sikkim"].summary.risk_class_counts == {"EXTREME": 1, "HIGH": 0, "MEDIUM": 0, "LOW": 0}
+    assert "UNREPORTED" in rows["Assam"].generated_from and rows["Assam"].summary.mean_probability is None
+
+
+def test_crop_window():
+    box = dict(zip(geo.EDGES, vocab.PILOT_BOXES[0][1:]))
+    assert raster.RasterMeta(88.0, 28.1, 0.02).window(box) == (0, 54, 0, 44)
+    assert raster.RasterMeta(87.0, 29.0, 0.5).window(box) == (1, 3, 2, 3)
+
+
 def test_manifest_entries_need_both(spark):
     df = spark.sql("SELECT map('a', named_struct('bytes', 5L, 'sha256', repeat('a', 64)), 'b', named_struct('bytes', 0L, 'sha256', repeat('a', 64)), 'c', named_struct('bytes', 5L, 'sha256', 'zz')) AS artifacts")
     assert [r.name for r in documents.manifest_entries(df).collect()] == ["a"]
