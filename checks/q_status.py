@@ -212,9 +212,7 @@ def file_integrity(fx):
     lines = fx.rain_daily.select("cell_id", F.to_json(F.struct("day", "mm")).alias("value"))
     lines.repartition("cell_id").sortWithinPartitions("cell_id", "value").write.partitionBy("cell_id").text(path)
     # Spark names the file; the folder is the stable name.
-    raw = fx.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.regexp_extract("path", r"(cell_id=\d+)", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256")
-    ).where("name <> ''")
+    raw = documents.file_inventory(fx.spark, path, r"(cell_id=\d+)")
     n = F.regexp_extract("name", r"(\d+)$", 1).cast("int") % 6
     manifest = raw.where(n != 1).select(
         "name", (F.col("length") + F.when(n == 2, 1).otherwise(0)).alias("length"), F.when(n == 3, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha256")).alias("sha256")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
-from ..functions import landcover
+from ..functions import geo, landcover
 from ..functions.numbers import col, is_finite, reasons
 
 BLOCK = 256  # cells per block side: halo overhead 4/BLOCK, at most (BLOCK+2)^2 rows a block
@@ -193,6 +193,13 @@ def terrain(cells: DataFrame, cell_size, block: int = BLOCK) -> DataFrame:
     )
 
 
+def terrain_of(cells: DataFrame, meta: RasterMeta, block: int = BLOCK) -> DataFrame:
+    """Terrain with the cell size taken from the raster itself: degrees at its mean latitude."""
+    rows = cells.agg(F.max("row_idx") + 1).scalar()
+    mean_lat = F.lit(meta.north) - rows * (meta.res / 2)
+    return terrain(cells, geo.mean_cell_metres(meta.res, mean_lat), block)
+
+
 def raster_sample(points: DataFrame, wide: DataFrame, meta: RasterMeta,
                   names=tuple(vocab.TERRAIN_FEATURES)) -> DataFrame:
     """Nearest-cell values at points from one wide cell table; all names must be usable.

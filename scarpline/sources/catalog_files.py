@@ -19,12 +19,14 @@ def _all_text(columns) -> str:
     return ", ".join(f"`{c}` STRING" for c in columns)
 
 
-def read_catalog(spark: SparkSession, path: str, columns=tuple(CATALOG_COLUMNS)) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, columns=tuple(CATALOG_COLUMNS),
+                 multi_line: bool = False) -> DataFrame:
     """A catalogue CSV with header, every column as text, coerced and filtered.
 
-    The file's own header order is used, so columns may be missing or extra.
+    The file's own header order is used, so columns may be missing or extra. Files with
+    line breaks inside quotes need multi_line, at the price of one task per file.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return catalog.coerce_catalog(
         raw.select(*[c for c in raw.columns if c in columns]),
         keep=["event_id", "admin_division_name", "country_name"],

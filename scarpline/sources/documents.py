@@ -119,12 +119,16 @@ def append_run_records(records: DataFrame, path: str) -> None:
 
 # --- file integrity -------------------------------------------------------------------------
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """name, length and sha256 of every file below a folder."""
+def file_inventory(spark: SparkSession, path: str, pattern: str = r"([^/]+)$") -> DataFrame:
+    """name, length and sha256 of every file below a folder whose path has a name.
+
+    The pattern's first group is the name: the file's own by default, or for instance
+    the partition folder of a table, whose files have generated names.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")
-    )
+        F.regexp_extract("path", pattern, 1).alias("name"), "length", F.sha2("content", 256).alias("sha256")
+    ).where("name <> ''")
 
 
 def manifest_entries(manifest: DataFrame) -> DataFrame:

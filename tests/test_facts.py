@@ -99,6 +99,13 @@ def test_catalog_csv(spark, tmp_path):
     assert [(r.event_title, r.fatality_count, r.event_date) for r in rows] == [("a, b", 2, "2015-06-01"), (None, None, None)]
 
 
+def test_catalog_csv_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "events.csv"
+    path.write_text('latitude,longitude,event_date,event_title\n27.5,88.5,2015-06-01,"said ""slide""\nthen rain"\n')
+    row = catalog_files.read_catalog(spark, str(path), multi_line=True).first()
+    assert row.event_title == 'said "slide"\nthen rain'
+
+
 def test_snapshot_label_is_recomputed(spark, tmp_path):
     (tmp_path / "s.json").write_text("""{"state": "Sikkim", "count": 9, "events": [
       {"latitude": 27.5, "longitude": 88.5, "event_date": "2015-06-01", "location_accuracy": "25km", "spatial_uncertainty": "precise_lt_5km"},
@@ -157,6 +164,24 @@ def test_segment_clipping(spark):
     assert all(r.want == r.got for r in df.withColumn("got", geo.segment_meets_box("x1", "y1", "x2", "y2")).collect())
 
 
+def test_random_segments(spark):
+    """Against the separating-axis test: box overlap, and corners on both sides of the line."""
+    import random
+
+    rng = random.Random(7)
+    rows = [tuple(rng.randrange(0, 9) / 2 for _ in range(4)) for _ in range(1500)]
+
+    def want(x1, y1, x2, y2, lo=1.0, hi=2.0):
+        if max(x1, x2) < lo or min(x1, x2) > hi or max(y1, y2) < lo or min(y1, y2) > hi:
+            return False
+        side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x in (lo, hi) for y in (lo, hi)]
+        return not (min(side) > 0 or max(side) < 0)
+
+    df = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double").withColumns({"min_lon": lit(1.0), "max_lon": lit(2.0), "min_lat": lit(1.0), "max_lat": lit(2.0)})
+    got = df.withColumn("got", geo.segment_meets_box("x1", "y1", "x2", "y2")).collect()
+    assert all(r.got == want(r.x1, r.y1, r.x2, r.y2) for r in got)
+
+
 def test_long_line_is_found_once_per_cell(spark):
     line = spark.createDataFrame([(1, "a", "road", [(88.0, 27.0), (88.45, 27.0), (88.45, 27.4)])], "osm_id long, asset_name string, asset_type string, coords array<struct<lon:double,lat:double>>")
     cells = spark.createDataFrame([("S", "hit", 0.9, 26.9, 27.1, 88.2, 88.6), ("S", "edge", 0.6, 26.9, 27.1, 88.2, 88.6), ("S", "off", 0.9, 27.5, 27.6, 88.0, 88.6)], "state string, cell_id string, hazard double, min_lat double, max_lat double, min_lon double, max_lon double")
@@ -175,6 +200,14 @@ def test_plane_has_its_slope(spark):
     assert t.aspect == pytest.approx(270.0)
 
 
+def test_cell_size_follows_the_latitude(spark):
+    cells = dem(spark, [[0.0, 10.0, 20.0]] * 4)
+    meta = raster.RasterMeta(88.0, 60.2, 0.1)
+    metres = 0.1 * 111000.0 * math.cos(math.radians(60.0))
+    got = raster.terrain_of(cells, meta).where("row_idx = 1 AND col_idx = 1").first()
+    assert got.slope == pytest.approx(math.degrees(math.atan(10.0 / metres)))
+
+
 def test_flat_cell_and_border(spark):
     rows = raster.terrain(dem(spark, [[5.0] * 4] * 4), 30.0).collect()
     assert len(rows) == 16 and all(r.aspect == 270.0 and r.slope == 0.0 and r.roughness == 0.0 for r in rows)
