@@ -50,6 +50,14 @@ def exposure_join(
         .withColumn("_bx", spread(F.least("lon1", "lon2"), F.greatest("lon1", "lon2")))
     )
     touching = geo.segment_meets_box("lon1", "lat1", "lon2", "lat2")
+    # A long diagonal spans many buckets but crosses few: the same test drops the rest.
+    # The margin keeps a bucket whose edge was rounded; the exact test comes after.
+    margin = 1e-9
+    edges = {
+        "min_lat": F.col("_by") * bucket_deg - margin, "max_lat": (F.col("_by") + 1) * bucket_deg + margin,
+        "min_lon": F.col("_bx") * bucket_deg - margin, "max_lon": (F.col("_bx") + 1) * bucket_deg + margin,
+    }
+    keyed = keyed.withColumns(edges).where(touching).drop(*edges)
     # A long asset meets a cell through several buckets and segments: one row remains.
     return (
         keyed.join(hot, ["_by", "_bx"]).where(touching)

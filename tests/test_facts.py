@@ -500,6 +500,20 @@ def test_manifest_entries_need_both(spark):
     assert [r.name for r in documents.manifest_entries(df).collect()] == ["a"]
 
 
+def test_bucket_size_does_not_show(spark):
+    import random
+
+    rng = random.Random(3)
+    point = lambda: (88.0 + rng.randrange(0, 90) / 100, 27.0 + rng.randrange(0, 110) / 100)
+    rows = [(i, "a", "road", [point() for _ in range(1 + i % 4)]) for i in range(120)]
+    lines = exposure.segments(spark.createDataFrame(rows, "osm_id long, asset_name string, asset_type string, coords array<struct<lon:double,lat:double>>"))
+    boxes = aoi.pilot_boxes(aoi.aoi_dimension(spark)).where("state = 'Sikkim'")
+    cells = aoi.grid_build(boxes).select("state", "cell_id", lit(0.9).alias("hazard"), "bbox.*")
+    found = lambda size: sorted((r.osm_id, r.cell_id) for r in exposure.exposure_join(cells, lines, size).collect())
+    whole = found(50.0)
+    assert whole and found(0.1) == whole and found(0.03) == whole
+
+
 def test_status_tone_tests_the_negative_first(spark):
     df = spark.createDataFrame([("Unavailable",), ("Available",), ("Not Trained",), (None,)], "s string")
     assert [r[0] for r in df.select(prov.status_tone("s")).collect()] == ["bad", "good", "bad", "neutral"]
