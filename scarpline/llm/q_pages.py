@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scarpline.session import scratch_path, through_table
 
-from . import warc
+from . import main_text, warc
 from .registry import query, read
 
 OP7 = r"""
@@ -26,6 +26,12 @@ FROM ranked
 """
 
 
+@query("op3_main_text")
+def op3(spark, sf_dir):
+    pages = main_text.with_main_text(read(spark, sf_dir, "pages"), html="html", out="text")
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op7_warc", OP7)
 def op7(spark, sf_dir):
     path = scratch_path(spark, "archives")
