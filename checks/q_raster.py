@@ -32,10 +32,13 @@ def landcover_mosaic(fx):
     return raster.landcover_mosaic(fx.sql(COVER_TILES, lc=fx.landcover))
 
 
-# Brute-force neighbourhood: border cells repeat themselves, holes and nodata spoil the stencil.
+# Brute-force neighbourhood: border cells repeat themselves; nodata and absent cells, at the borders,
+# at the corners of blocks and inside, spoil the stencil.
 HOLED = """
 SELECT row_idx, col_idx, CASE WHEN row_idx = 3 AND col_idx = 17 THEN -9999e0 WHEN row_idx = 2 AND col_idx = 30 THEN CAST('NaN' AS DOUBLE)
- WHEN col_idx BETWEEN 5 AND 9 THEN 500e0 ELSE elevation END AS elevation FROM {dem}"""
+ WHEN col_idx BETWEEN 5 AND 9 THEN 500e0 ELSE elevation END AS elevation FROM {dem}
+WHERE NOT (row_idx = 0 AND col_idx = 0) AND NOT (row_idx = 0 AND col_idx = 12) AND NOT (row_idx = 5 AND col_idx = 8) AND NOT (row_idx = 10 AND col_idx = 16)
+ AND NOT (row_idx = 15 AND col_idx IN (15, 31)) AND NOT (row_idx = 16 AND col_idx = 16)"""
 
 
 def _nine_sql():

@@ -70,6 +70,20 @@ def aoi_mean_precip(grid: DataFrame, boxes: DataFrame, keys: list[str]) -> DataF
     )
 
 
+REPEATED = "a day is reported more than once"
+
+
+def one_per_day(daily: DataFrame, key: str) -> DataFrame:
+    """(key, day, mm, repeated): a day that comes twice has no value, whatever the rows say.
+
+    Which of two reports is right cannot be known, and counting both would hide a
+    missing day.
+    """
+    days = daily.groupBy(key, "day").agg(F.count("*").alias("_n"), F.min("mm").alias("mm"))
+    repeated = F.col("_n") > 1
+    return days.select(key, "day", F.when(~repeated, F.col("mm")).alias("mm"), repeated.alias("repeated"))
+
+
 def _chunked(daily: DataFrame, key: str, days_before: int, chunk: int) -> DataFrame:
     """Copy the last days of a chunk into the next one, so windows stay within chunks."""
     day_no = F.unix_date("day")
@@ -84,13 +98,13 @@ def antecedent_features(
 ) -> DataFrame:
     """Features of the days before each day in the table; the day itself never counts.
 
-    Fewer than window_days observed days leave every number null with a reason. A
-    cell's history is cut into chunks with an overlap, so a long or very hot series
+    Fewer than window_days observed days leave every number null with a reason, and a
+    repeated day counts as none. There is one row per cell and day. A cell's history is cut into chunks with an overlap, so a long or very hot series
     is still many small window groups.
     """
     if window_days < 3:
         raise ValueError("window_days must be at least 3")
-    pieces = _chunked(daily, key, window_days, chunk)
+    pieces = _chunked(one_per_day(daily, key), key, window_days, chunk)
     w = Window.partitionBy(key, "_chunk").orderBy("_day_no")
     span = lambda n: w.rangeBetween(-n, -1)
     hundredths = F.rint(F.col("mm") * 100).cast("long")
@@ -100,6 +114,7 @@ def antecedent_features(
         "days_present": usable,
         "_1": total(1), "_3": total(3), "_7": total(7), "_14": total(window_days),
         "_m": F.max("mm").over(span(3)),
+        "_repeated": F.max("repeated").over(span(window_days)),
     }).where(F.col("_chunk") == F.floor(F.col("_day_no") / chunk))
     return _features(out, [key, "day"], window_days)
 
@@ -112,7 +127,8 @@ def _features(df: DataFrame, keep: list[str], window_days: int) -> DataFrame:
         *[F.when(ok, F.col(c)).alias(name) for name, c in pick.items()],
         F.when(ok, "REAL").otherwise("UNAVAILABLE").alias("rain_status"),
         reasons(
-            (~ok, F.format_string(f"%d of {window_days} antecedent days observed", "days_present"))
+            (~ok, F.format_string(f"%d of {window_days} antecedent days observed", "days_present")),
+            (F.coalesce("_repeated", F.lit(False)), REPEATED),
         ).alias("rain_reasons"),
     )
 
@@ -130,7 +146,7 @@ def antecedent_for(
     days = asked.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(window_days)))).withColumn(
         "day", F.date_sub(date, F.col("_k"))
     )
-    joined = days.join(daily.select(key, "day", "mm"), [key, "day"], "left")
+    joined = days.join(one_per_day(daily, key), [key, "day"], "left")
     good = is_finite("mm") & (F.col("mm") >= 0)
     hundredths = F.rint(F.col("mm") * 100).cast("long")
     total = lambda n: F.sum(F.when(good & (F.col("_k") <= n), hundredths)) / 100.0
@@ -139,6 +155,7 @@ def antecedent_for(
         total(1).alias("_1"), total(3).alias("_3"), total(7).alias("_7"),
         total(window_days).alias("_14"),
         F.max(F.when(good & (F.col("_k") <= 3), F.col("mm"))).alias("_m"),
+        F.max("repeated").alias("_repeated"),
     )
     return _features(grouped, [key, date], window_days)
 
@@ -156,9 +173,9 @@ def event_rainfall_join(
 
 def inclusive_accumulations(daily: DataFrame, key: str = "cell_id", windows=(1, 3, 7),
                             chunk: int = CHUNK_DAYS) -> DataFrame:
-    """Sums that include the day itself; null unless every day of the window is there."""
+    """Sums that include the day itself; null unless every day of the window is there once."""
     longest = max(windows)
-    pieces = _chunked(daily, key, longest - 1, chunk)
+    pieces = _chunked(one_per_day(daily, key), key, longest - 1, chunk)
     w = Window.partitionBy(key, "_chunk").orderBy("_day_no")
     hundredths = F.rint(F.col("mm") * 100).cast("long")
     sums = {}
@@ -175,18 +192,27 @@ def inclusive_accumulations(daily: DataFrame, key: str = "cell_id", windows=(1,
 
 
 def series_validate(daily: DataFrame, key: list[str], window_days: int = vocab.ANTECEDENT_DAYS) -> DataFrame:
-    """A window is valid only if complete, finite and not negative."""
-    stats = daily.groupBy(*key).agg(
+    """A window is valid only if complete, finite, not negative, and has no day twice.
+
+    Days are counted per key and day first, so a long key still sums in parts.
+    """
+    finite, below = F.count_if(~is_finite("mm")), F.count_if(is_finite("mm") & (F.col("mm") < 0))
+    per_day = daily.groupBy(*key, "day").agg(
+        F.count("*").alias("_n"), finite.alias("_f"), below.alias("_g")
+    )
+    stats = per_day.groupBy(*key).agg(
         F.count("*").alias("days"),
-        F.count_if(~is_finite("mm")).alias("non_finite"),
-        F.count_if(is_finite("mm") & (F.col("mm") < 0)).alias("negative"),
+        F.sum("_f").alias("non_finite"),
+        F.sum("_g").alias("negative"),
+        F.count_if(F.col("_n") > 1).alias("_repeated"),
     )
     why = reasons(
         (F.col("days") != window_days, F.format_string(f"%d of {window_days} days returned", "days")),
         (F.col("non_finite") > 0, "a day is missing or not finite"),
         (F.col("negative") > 0, "a day is negative"),
+        (F.col("_repeated") > 0, REPEATED),
     )
-    return stats.withColumn("reasons", why).withColumn(
+    return stats.withColumn("reasons", why).drop("_repeated").withColumn(
         "status", F.when(F.size("reasons") == 0, "VALID").otherwise("REFUSED")
     )
 
@@ -194,8 +220,7 @@ def series_validate(daily: DataFrame, key: list[str], window_days: int = vocab.A
 def forecast_accumulation(hourly: DataFrame, key: str, now, hours: int = 72) -> DataFrame:
     """Sum over the first `hours` future rows per key; all-null refuses, gaps add nothing.
 
-    The horizon is cut by row count. Future rows per key are first limited in time,
-    which is exact because hours are unique per key and at least an hour apart.
+    The horizon is cut by row count, whatever the times of the rows are.
     """
     w = Window.partitionBy(key).orderBy("time")
     ahead = hourly.where(F.col("time") > now).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= hours)
@@ -240,6 +265,7 @@ def probe_window_asof(
     )
     steps = F.when(F.col("plan.last") >= F.col("plan.first"), F.sequence("plan.first", "plan.last"))
     probed = asked.withColumn("_k", F.explode_outer(steps)).withColumn("day", F.date_sub("target_day", F.col("_k")))
+    daily = one_per_day(daily, key)
     observed = daily.where(is_finite("mm")).select(key, "day", F.lit(True).alias("_seen"))
     newest = probed.join(observed, [key, "day"], "left").groupBy(ids + ["plan"]).agg(
         F.max(F.when(F.col("_seen"), F.col("day"))).alias("observation_day")
@@ -247,12 +273,13 @@ def probe_window_asof(
     window = newest.withColumn(
         "_k", F.explode_outer(F.when(F.col("observation_day").isNotNull(), F.sequence(F.lit(0), F.lit(window_days - 1))))
     ).withColumn("day", F.date_sub("observation_day", F.col("_k")))
-    full = window.join(daily.select(key, "day", "mm"), [key, "day"], "left").groupBy(
+    full = window.join(daily, [key, "day"], "left").groupBy(
         ids + ["plan", "observation_day"]
     ).agg(
         F.count_if(is_finite("mm") & (F.col("mm") >= 0)).alias("days_present"),
         F.sum(F.rint(F.col("mm") * 100).cast("long")).alias("_sum"),
         F.max(F.when(F.col("_k") == 0, F.col("mm"))).alias("_first"),
+        F.max("repeated").alias("_repeated"),
     )
     complete = F.col("days_present") == window_days
     why = reasons(
@@ -261,6 +288,7 @@ def probe_window_asof(
          "no observation in the candidate days"),
         (F.col("observation_day").isNotNull() & ~complete,
          F.format_string(f"%d of {window_days} window days observed", "days_present")),
+        (F.coalesce("_repeated", F.lit(False)), REPEATED),
     )
     return full.withColumn("reasons", why).select(
         *ids,

@@ -76,14 +76,28 @@ def landcover_mosaic(tiles: DataFrame, order: str = "tile_order") -> DataFrame:
     return tiles.groupBy("row_idx", "col_idx").agg(F.min_by("code", rank).alias("code"))
 
 
+def extent(cells: DataFrame) -> Column:
+    """First and last row and column of a cell table: one scan, one row, one value."""
+    ends = {
+        f"{end}_{axis}": of(f"{axis}_idx")
+        for end, of in (("first", F.min), ("last", F.max)) for axis in ("row", "col")
+    }
+    return cells.agg(F.struct(*[v.alias(k) for k, v in ends.items()])).scalar()
+
+
 def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK,
                   nodata: float = vocab.NODATA) -> DataFrame:
     """Each cell with its 3x3 values nw..se; the raster's own border replicates.
 
-    Cells are cut into square blocks and only block borders are copied to the next
-    block, so one shuffle by block serves both window passes and no group exceeds
-    (block+2)^2 cells. `complete` is false when any of the nine is nodata or absent.
+    The border is the first and last row and column of the table. Beyond it a cell
+    repeats its neighbour; any other absent cell is a gap, and its value null. So the
+    result does not depend on `block`. Cells are cut into square blocks and only block
+    borders are copied to the next block, so one shuffle by block serves both window
+    passes and no group exceeds (block+2)^2 cells. `complete` is false when any of the
+    nine is nodata or absent.
     """
+    border = extent(cells)
+
     def homes(c):
         # The blocks that need this cell: its own, and a neighbour's if on the border.
         own = F.floor(F.col(c) / block)
@@ -103,18 +117,18 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
         "_w": F.lag(here).over(in_row), "_e": F.lead(here).over(in_row)
     })
 
-    def beside(neighbour, index, offset):
-        # No neighbour at all: the border, replicate. A gap: the value is absent.
-        gap = F.col(f"{neighbour}.i") != F.col(index) + offset
-        return F.when(F.col(neighbour).isNull(), F.col("z")).when(~gap, F.col(f"{neighbour}.z"))
+    def beside(neighbour, edge, offset):
+        # The border replicates, a gap stays absent.
+        found = F.col(f"{neighbour}.i") == F.col("col_idx") + offset
+        return F.when(F.col("col_idx") == border[edge], F.col("z")).when(found, F.col(f"{neighbour}.z"))
 
     band = step.select(
         "_br", "_bc", "row_idx", "col_idx", "z",
         F.struct(
             F.col("row_idx").alias("i"),
-            beside("_w", "col_idx", -1).alias("w"),
+            beside("_w", "first_col", -1).alias("w"),
             F.col("z").alias("c"),
-            beside("_e", "col_idx", 1).alias("e"),
+            beside("_e", "last_col", 1).alias("e"),
         ).alias("band"),
     )
     in_col = Window.partitionBy("_br", "_bc", "col_idx").orderBy("row_idx")
@@ -122,10 +136,10 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
         "_n": F.lag("band").over(in_col), "_s": F.lead("band").over(in_col)
     })
 
-    def above_below(neighbour, offset, part):
-        gap = F.col(f"{neighbour}.i") != F.col("row_idx") + offset
-        return F.when(F.col(neighbour).isNull(), F.col(f"band.{part}")).when(
-            ~gap, F.col(f"{neighbour}.{part}")
+    def above_below(neighbour, edge, offset, part):
+        found = F.col(f"{neighbour}.i") == F.col("row_idx") + offset
+        return F.when(F.col("row_idx") == border[edge], F.col(f"band.{part}")).when(
+            found, F.col(f"{neighbour}.{part}")
         )
 
     own_block = (F.col("_br") == F.floor(F.col("row_idx") / block)) & (
@@ -133,9 +147,9 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
     )
     out = nine.where(own_block).select(
         "row_idx", "col_idx", F.col("z").alias(value),
-        *[above_below("_n", -1, p).alias(f"n{p}") for p in "wce"],
+        *[above_below("_n", "first_row", -1, p).alias(f"n{p}") for p in "wce"],
         *[F.col(f"band.{p}").alias(f"c{p}") for p in "wce"],
-        *[above_below("_s", 1, p).alias(f"s{p}") for p in "wce"],
+        *[above_below("_s", "last_row", 1, p).alias(f"s{p}") for p in "wce"],
     )
     complete = F.lit(True)
     for name in NINE:
@@ -195,7 +209,7 @@ def terrain(cells: DataFrame, cell_size, block: int = BLOCK) -> DataFrame:
 
 def terrain_of(cells: DataFrame, meta: RasterMeta, block: int = BLOCK) -> DataFrame:
     """Terrain with the cell size taken from the raster itself: degrees at its mean latitude."""
-    rows = cells.agg(F.max("row_idx") + 1).scalar()
+    rows = cells.agg(F.min("row_idx") + F.max("row_idx") + 1).scalar()
     mean_lat = F.lit(meta.north) - rows * (meta.res / 2)
     return terrain(cells, geo.mean_cell_metres(meta.res, mean_lat), block)
 
