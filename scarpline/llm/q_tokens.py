@@ -20,7 +20,7 @@ def op2(spark, sf_dir):
 def op4(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_codec.with_decoded(piece_codec.with_piece_ids(docs, path), path)
+    coded = piece_codec.with_round_trip(docs, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
