@@ -32,6 +32,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Names of the vector, in order, with the least standard deviation of each.
 VECTOR = {"z_length": 0.15, "z_symbols": 0.3, "z_lines": 0.35, "z_repeats": 0.6, "z_capitals": 0.3}
 UNIT = 1000
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
 
 
 # ---------------------------------------------------------------- counts of a text

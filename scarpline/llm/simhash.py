@@ -8,7 +8,8 @@ Exact search without all pairs:
 * Equal fingerprints become one first, so exact copies cost nothing.
 * A vantage-point tree is fitted on a bounded sample of fingerprints: a node has a vantage
   point and the median distance to it; near ones go left, far ones right. The tree only
-  deals out work, so the sample cannot change the result.
+  deals out work, so the sample cannot change the result. Where links also bound the ratio
+  of sizes, a node may measure the distance in size instead, whichever copies less.
 * Each fingerprint lives in one leaf. By the triangle inequality only leaves whose ball or
   shell it can reach within `radius` hold its partners. It visits those behind its own, so
   each pair meets in exactly one leaf: the later one's home.
@@ -75,46 +76,83 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
 # ---------------------------------------------------------------- the tree
 
 
-def _bits(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+class Points:
+    """Fingerprints of one or more words of 64 bits, and the logarithm of a size."""
 
+    def __init__(self, bits: np.ndarray, size: np.ndarray):
+        self.bits, self.size = bits, size
 
-def _vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
-    """Of a few candidates, the one whose distances spread most, and the median distance."""
-    best = None
-    for v in rng.choice(points, min(12, len(points)), replace=False):
-        d = _bits(points, v)
-        m = int(np.median(d))
-        if m == d.max():
-            m -= 1
-        if (d <= m).any() and (best is None or d.std() > best[0]):
-            best = (d.std(), v, m)
-    return best and best[1:]
+    @classmethod
+    def of(cls, columns: list[np.ndarray], size: np.ndarray):
+        return cls(np.stack([c.view(np.uint64) for c in columns], axis=1), size)
+
+    def __len__(self):
+        return len(self.size)
+
+    def __getitem__(self, rows):
+        return Points(self.bits[rows], self.size[rows])
+
+    def away(self, v: np.ndarray | None) -> np.ndarray:
+        """Distance to a vantage point: in bits to a fingerprint, else in size to none."""
+        if v is None:
+            return self.size
+        return np.bitwise_count(self.bits ^ v).sum(axis=1, dtype=np.int16)
+
+
+class Reach:
+    """What links: at most `bits` differing bits, and sizes at most `size` apart (logarithms)."""
+
+    def __init__(self, bits: int, size: float = np.inf):
+        self.bits, self.size = bits, size
+
+    def along(self, v) -> float:
+        return self.size if v is None else self.bits
+
+    def split(self, points: Points, rng: np.random.Generator) -> tuple[np.ndarray | None, float, float] | None:
+        """(vantage, median distance, share of points that can reach both sides): of the size and
+        a few fingerprints as vantage points, the one with the least such share."""
+        tries = [points.bits[i] for i in rng.choice(len(points), min(12, len(points)), replace=False)]
+        if np.isfinite(self.size):
+            tries.append(None)
+        best = None
+        for v in tries:
+            d = points.away(v)
+            m = np.sort(d)[(len(d) - 1) // 2]
+            if m == d.max():
+                below = d[d < m]
+                if not len(below):
+                    continue
+                m = below.max()
+            both = float(((d <= m + self.along(v)) & (d > m - self.along(v))).mean())
+            if best is None or both < best[2]:
+                best = (v, m, both)
+        return best
 
 
 class Tree:
-    """Nodes (vantage, median distance, left, right); a negative child is leaf -child - 1."""
+    """Nodes (vantage, median distance, left, right); a negative child is leaf -child - 1. Where
+    most points would reach both sides, a split would only copy them: the node stays a leaf."""
 
-    def __init__(self, points: np.ndarray, leaves: int):
+    def __init__(self, points: Points, leaves: int, reach: Reach):
         rng = np.random.default_rng(SEED)
         self.nodes: list[list] = []
-        self.leaves = 0
+        self.leaves, self.reach = 0, reach
         self.root = self._grow(points, max(1, len(points) // max(1, leaves)), rng)
 
-    def _grow(self, points, least, rng) -> int:
-        split = _vantage(points, rng) if len(points) > 2 * least else None
-        if split is None:
+    def _grow(self, points: Points, least: int, rng) -> int:
+        split = self.reach.split(points, rng) if len(points) >= 2 * least and len(points) > 1 else None
+        if split is None or split[2] > 0.9:
             self.leaves += 1
             return -self.leaves
-        v, m = split
+        v, m, _ = split
         at = len(self.nodes)
         self.nodes.append([v, m, 0, 0])
-        near = _bits(points, v) <= m
+        near = points.away(v) <= m
         self.nodes[at][2] = self._grow(points[near], least, rng)
         self.nodes[at][3] = self._grow(points[~near], least, rng)
         return at
 
-    def visits(self, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def visits(self, points: Points) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(leaf, rows at home in it, rows that can reach it)."""
         todo = [(self.root, np.ones(len(points), bool), np.arange(len(points)))]
         while todo:
@@ -125,9 +163,9 @@ class Tree:
                 yield -at - 1, rows[home], rows
                 continue
             v, m, left, right = self.nodes[at]
-            d = _bits(points[rows], v).astype(np.int16)
-            for child, own, reach in ((left, d <= m, d <= m + radius), (right, d > m, d > m - radius)):
-                todo.append((child, (home & own)[reach], rows[reach]))
+            d, far = points[rows].away(v), self.reach.along(v)
+            for child, own, near in ((left, d <= m, d <= m + far), (right, d > m, d > m - far)):
+                todo.append((child, (home & own)[near], rows[near]))
 
 
 # ---------------------------------------------------------------- inside a task
@@ -151,46 +189,56 @@ class Groups:
                 self.root = self.root[self.root]
 
 
-def link_near(points: np.ndarray, members: np.ndarray, queries: np.ndarray, radius: int, groups: Groups) -> None:
-    """Link each query row to every member row within the radius: the tree, down to small sets."""
+def link_near(points: Points, members: np.ndarray, queries: np.ndarray, reach: Reach, groups: Groups) -> None:
+    """Link each query row to every member row within reach: the tree, down to small sets."""
     rng = np.random.default_rng(SEED)
     todo = [(members, queries)]
     while todo:
         m, q = todo.pop()
         if not len(m) or not len(q):
             continue
-        split = _vantage(points[m], rng) if len(m) > 256 else None
+        split = reach.split(points[m], rng) if len(m) > 256 else None
         if split:
-            v, cut = split
-            dm, dq = _bits(points[m], v).astype(np.int16), _bits(points[q], v).astype(np.int16)
-            near, far = q[dq <= cut + radius], q[dq > cut - radius]
+            v, cut, _ = split
+            far, dm, dq = reach.along(v), points[m].away(v), points[q].away(v)
+            near, beyond = q[dq <= cut + far], q[dq > cut - far]
             inner, outer = m[dm <= cut], m[dm > cut]
-            if len(inner) * len(near) + len(outer) * len(far) < 0.85 * len(m) * len(q):
-                todo += [(inner, near), (outer, far)]
+            if len(inner) * len(near) + len(outer) * len(beyond) < 0.85 * len(m) * len(q):
+                todo += [(inner, near), (outer, beyond)]
                 continue
-        step = max(1, (1 << 20) // len(m))
+        held, step = points[m], max(1, (1 << 20) // len(m))
         for i in range(0, len(q), step):
             block = q[i : i + step]
-            x, y = np.nonzero(_bits(points[block][:, None], points[m][None, :]) <= radius)
+            part, apart = points[block], 0
+            for k in range(held.bits.shape[1]):
+                apart = apart + np.bitwise_count(part.bits[:, k][:, None] ^ held.bits[:, k][None, :])
+            near = apart <= reach.bits
+            if np.isfinite(reach.size):
+                near &= np.abs(part.size[:, None] - held.size[None, :]) <= reach.size
+            x, y = np.nonzero(near)
             groups.link(block[x], m[y])
 
 
-def _cell(radius: int):
+def _points(table: pa.Table, lanes: list[str]) -> Points:
+    column = lambda c: table[c].to_numpy()
+    return Points.of([column(c) for c in lanes], column("size"))
+
+
+def _cell(reach: Reach, lanes: list[str]):
     """Rows of one cell -> spanning stars. Home rows of the first block meet those of the second
     (or each other, in a cell of one block); visitors meet the home rows."""
 
     def links(table: pa.Table) -> pa.Table:
-        points = table["fp"].to_numpy().view(np.uint64)
-        side, groups = table["side"].to_numpy(), Groups(table.num_rows)
+        points, side, groups = _points(table, lanes), table["side"].to_numpy(), Groups(table.num_rows)
         first, second, visiting = (np.flatnonzero(side == k) for k in (0, 1, 2))
         if len(second):
-            link_near(points, second, first, radius, groups)
+            link_near(points, second, first, reach, groups)
         elif table["i"][0].as_py() == table["j"][0].as_py():
-            link_near(points, first, first, radius, groups)
-        link_near(points, first, visiting, radius, groups)
+            link_near(points, first, first, reach, groups)
+        link_near(points, first, visiting, reach, groups)
         rows = np.flatnonzero(groups.root != np.arange(len(points)))
-        fps = points.view(np.int64)
-        return pa.table({"u": fps[rows], "v": fps[groups.root[rows]]})
+        node = table["node"].to_numpy()
+        return pa.table({"u": node[rows], "v": node[groups.root[rows]]})
 
     return links
 
@@ -198,24 +246,28 @@ def _cell(radius: int):
 # ---------------------------------------------------------------- the search
 
 
-def near_links(prints: DataFrame, radius: int = 3, leaf: int = 2048, sample: int = 65_536) -> DataFrame:
-    """Distinct fingerprints `fp` (a table) -> edges (u, v) that span the same components as all
-    pairs within `radius` bits. `leaf` is the size aimed at for a leaf and the largest block of
-    one; `sample` bounds the fingerprints the tree is fitted on (which the driver gets) and so
-    the leaves: sample / 16 at most."""
-    spark, n = prints.sparkSession, prints.count()
-    drawn = prints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))).limit(2 * sample)
-    points = np.sort(drawn.toArrow()["fp"].to_numpy()).view(np.uint64)
-    shared = spark.sparkContext.broadcast(Tree(points, max(1, min(n // leaf, sample // 16))))
+def near_links(nodes: DataFrame, lanes: list[str], radius: int, window: float = float("inf"), leaf: int = 16_384, sample: int = 65_536) -> DataFrame:
+    """Different points (a table of `node`, the `lanes` of their bits, and `size`) -> edges (u, v) of
+    nodes that span the same components as all pairs within `radius` bits and `window` of size.
+
+    `leaf` is the size aimed at for a leaf and the largest block of one. Large leaves are cheap,
+    since the tree goes on inside a task, while each halving of them multiplies the copies that
+    visit other leaves. `sample` bounds the points the tree is fitted on (which the driver gets)
+    and so the leaves: sample / 16 at most.
+    """
+    spark, n, reach = nodes.sparkSession, nodes.count(), Reach(radius, window)
+    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))).limit(2 * sample)
+    points = _points(drawn.select(*lanes, "size", "node").toArrow().sort_by("node"), lanes)
+    shared = spark.sparkContext.broadcast(Tree(points, max(1, min(n // leaf, sample // 16)), reach))
 
     @F.arrow_udf("struct<home:int, visits:array<int>>")
-    def place(fps: pa.Array) -> pa.Array:
-        at = fps.to_numpy(zero_copy_only=False).view(np.uint64)
+    def place(size: pa.Array, *columns: pa.Array) -> pa.Array:
+        at = Points.of([c.to_numpy(zero_copy_only=False) for c in columns], size.to_numpy(zero_copy_only=False))
         home, rows, leaves = np.zeros(len(at), np.int32), [], []
-        for k, own, reach in shared.value.visits(at, radius):
+        for k, own, near in shared.value.visits(at):
             home[own] = k
-            rows.append(reach)
-            leaves.append(np.full(len(reach), k, np.int32))
+            rows.append(near)
+            leaves.append(np.full(len(near), k, np.int32))
         rows, leaves = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, leaves))
         later = leaves > home[rows]
         rows, leaves = rows[later], leaves[later]
@@ -224,25 +276,27 @@ def near_links(prints: DataFrame, radius: int = 3, leaf: int = 2048, sample: int
         visits = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leaves[order], pa.int32()))
         return pa.StructArray.from_arrays([pa.array(home), visits], ["home", "visits"])
 
-    placed = through_table(prints.select("fp", place("fp").alias("p")).select("fp", "p.home", "p.visits"), "placed")
+    own = ["node", *lanes, "size"]
+    own = list(dict.fromkeys(own))
+    placed = through_table(nodes.select(*own, place("size", *lanes).alias("p")).select(*own, "p.home", "p.visits"), "placed")
     sizes = {r.home: r["count"] for r in placed.groupBy("home").count().collect()}  # one row per leaf
     blocks = {k: -(-c // leaf) for k, c in sizes.items() if c > leaf}
     count = F.lit(1)
     if blocks:
         count = F.coalesce(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))[F.col("at")], F.lit(1))
-    block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int")
-    home = placed.select("fp", F.col("home").alias("at")).withColumn("n", count).withColumn("b", block)
-    home = home.select("fp", "at", "b", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
-    home = home.select("fp", "at", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
-    away = placed.select("fp", F.explode("visits").alias("at")).withColumn("n", count)
-    away = away.select("fp", "at", F.explode(F.expr("sequence(0, n - 1)")).alias("i")).select("fp", "at", "i", F.col("i").alias("j"), F.lit(2).alias("side"))
-    return home.unionByName(away).groupBy("at", "i", "j").applyInArrow(_cell(radius), "u bigint, v bigint")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int")
+    home = placed.select(*own, F.col("home").alias("at")).withColumn("n", count).withColumn("b", block)
+    home = home.select(*own, "at", "b", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
+    home = home.select(*own, "at", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
+    away = placed.select(*own, F.explode("visits").alias("at")).withColumn("n", count)
+    away = away.select(*own, "at", F.explode(F.expr("sequence(0, n - 1)")).alias("i")).select(*own, "at", "i", F.col("i").alias("j"), F.lit(2).alias("side"))
+    return home.unionByName(away).groupBy("at", "i", "j").applyInArrow(_cell(reach, lanes), "u bigint, v bigint")
 
 
 def fingerprint_roots(prints: DataFrame, radius: int = 3, **options) -> DataFrame:
     """Fingerprints `fp` -> (fp, root) for those that have a link to a different one."""
-    distinct = through_table(prints.select("fp").distinct(), "prints")
-    return components(near_links(distinct, radius, **options)).select(F.col("node").alias("fp"), "root")
+    distinct = through_table(prints.select("fp").distinct().select("fp", F.col("fp").alias("node"), F.lit(0.0).alias("size")), "prints")
+    return components(near_links(distinct, ["fp"], radius, **options)).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, **options) -> DataFrame:
@@ -260,3 +314,27 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
     known = by_print.join(roots.join(least, "root").select("fp", "least"), "fp", "left")
     known = known.select("fp", F.coalesce("least", "low").alias("component_id"))
     return prints.join(known, "fp").select(F.col(id), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(
+    df: DataFrame, id: str = "doc_id", text: str = "text", words: tuple[int, ...] = (3, 5), radius: int = 21, ratio: float = 0.8, **options
+) -> DataFrame:
+    """The rows of `df` of which each component keeps one: that of the smallest id, of equal ids or
+    of none the first. Rows are written once with their fingerprints, so that each has a place.
+
+    Texts link when their fingerprints, of 64 bits for each shingle length of `words`, differ in
+    `radius` bits at most together, and the shorter has `ratio` of the longer's words at least.
+    Five-word shingles that share 0.8 of their union differ in about 10 of 64 bits and their
+    three-word shingles in 8; unrelated texts in 64 of 128, and in 21 never in practice.
+    """
+    lanes = [f"__fp{k}" for k in words]
+    table = df.withColumns({"__size": F.log(F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("double")), "__row": F.monotonically_increasing_id()})
+    for lane, k in zip(lanes, words, strict=True):
+        table = with_fingerprint(table, text, lane, k)
+    table = through_table(table, "rows")
+    at = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__row").alias("row"))
+    points = through_table(table.groupBy(*lanes, "__size").agg(F.min(at).alias("at")).select(*lanes, F.col("__size").alias("size"), "at", F.col("at.row").alias("node")), "points")
+    links = near_links(points.drop("at"), lanes, radius, float(-np.log(ratio)) + 1e-9, **options)
+    roots = through_table(components(links), "roots")
+    first = points.select("node", "at").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("at").alias("at"))
+    return table.join(first.select(F.col("at.row").alias("__row")), "__row", "left_semi").select(*df.columns)
