@@ -4,42 +4,61 @@ from pyspark.sql import functions as F
 
 from scarpline import vocab
 from scarpline.functions import risk
-from scarpline.operators import evaluate, exposure, matrix
+from scarpline.operators import aoi, catalog, evaluate, exposure, matrix
 from scarpline.plans import grid
+from scarpline.session import scratch_path, through_table
 from scarpline.sources import documents, osm
 
 from . import q_catalog
-from .fixtures import SIKKIM, oracle, rnd
+from .fixtures import oracle, rnd
 from .registry import query
 
-BOX = q_catalog.BOX
-POSITIVES = f"SELECT event_id, latitude, longitude, trim(event_date) AS event_date FROM first WHERE {BOX}"
-# Every attempt of every positive against every positive, in attempt order.
+POSITIVES = """
+SELECT a.state, e.event_id, e.latitude, e.longitude, trim(e.event_date) AS event_date FROM first e JOIN fx_aoi a ON e.latitude BETWEEN a.min_lat AND a.max_lat AND e.longitude BETWEEN a.min_lon AND a.max_lon WHERE a.kind = 'pilot'"""
+
+
+def place_sql(axis):
+    prime, by_seed, by_attempt, again = matrix.AXES[axis]
+    mixed = f"(((p.event_id % {prime}) * {by_seed} + a.k * {by_attempt} + 12345) % {prime})"
+    return f"b.min_{axis} + CAST(({mixed} * {again} + 6789) % {prime} AS DOUBLE) / {prime}e0 * (b.max_{axis} - b.min_{axis})"
+
+
+# Every attempt of every positive against every positive near it, in attempt order.
+CANDIDATES = f"""
+SELECT p.state, p.event_id AS positive_id, CAST(a.k AS INT) AS attempt, {place_sql('lat')} AS latitude, {place_sql('lon')} AS longitude, p.event_date
+FROM pos p JOIN fx_aoi b ON b.state = p.state AND b.kind = 'pilot', (SELECT unnest(range(0, 150)) AS k) a"""
 NEGATIVES = """
-SELECT positive_id, attempt, latitude, longitude, event_date FROM (SELECT *, row_number() OVER (PARTITION BY positive_id ORDER BY attempt) AS rn FROM (
- SELECT p.event_id AS positive_id, a.k AS attempt, 27e0 + CAST(((p.event_id % 1000003 * 151 + a.k) * 7368787 + 12345) % 1000003 AS DOUBLE) / 1000003e0 * (28.1e0 - 27e0) AS latitude,
-  88e0 + CAST(((p.event_id % 1000003 * 151 + a.k) * 15485863 + 12345) % 1000003 AS DOUBLE) / 1000003e0 * (88.9e0 - 88e0) AS longitude, p.event_date
- FROM pos p, (SELECT CAST(unnest(range(0, 150)) AS INT) AS k) a) c
- WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE abs(q.latitude - c.latitude) < 0.06 AND sqrt((q.latitude - c.latitude) * (q.latitude - c.latitude) + (q.longitude - c.longitude) * (q.longitude - c.longitude)) < 0.05e0)) WHERE rn <= 3"""
+SELECT state, positive_id, attempt, latitude, longitude, event_date FROM (SELECT c.*, row_number() OVER (PARTITION BY state, positive_id ORDER BY attempt) AS rn FROM cand c
+ ANTI JOIN (SELECT c.state, c.positive_id, c.attempt FROM cand c JOIN (SELECT DISTINCT state, latitude, longitude, floor(latitude / 0.05e0) + i AS br, floor(longitude / 0.05e0) + j AS bc FROM pos, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) q
+  ON q.state = c.state AND q.br = floor(c.latitude / 0.05e0) AND q.bc = floor(c.longitude / 0.05e0)
+  WHERE sqrt((q.latitude - c.latitude) * (q.latitude - c.latitude) + (q.longitude - c.longitude) * (q.longitude - c.longitude)) < 0.05e0) n USING (state, positive_id, attempt)) WHERE rn <= 3"""
+NEGATIVE_CTES = dict(first=q_catalog.FIRST, pos=POSITIVES, cand=CANDIDATES, neg=NEGATIVES)
 
 
 def positives(fx):
-    return fx.sikkim_events.select("event_id", "latitude", "longitude", F.trim("event_date").alias("event_date"))
+    """The de-duplicated events of every pilot state, written once."""
+    inside = aoi.match_boxes(catalog.event_dedup(fx.events, "event_id"), fx.pilots.select("state", *matrix.BOX), "inner")
+    return through_table(inside.select("state", "event_id", "latitude", "longitude", F.trim("event_date").alias("event_date")), "positives")
 
 
-def negatives(fx):
-    return matrix.buffered_negatives(positives(fx), SIKKIM)
+@query("buffered_negatives", oracle("SELECT * FROM neg", "fx_events", **NEGATIVE_CTES))
+def buffered_negatives(fx):
+    return matrix.buffered_negatives(positives(fx), fx.pilots)
 
 
-@query("buffered_negatives", oracle("SELECT * FROM neg", "fx_events", first=q_catalog.FIRST, pos=POSITIVES, neg=NEGATIVES))
-def buffered_negatives(fx):
-    return negatives(fx)
+@query("negatives_report", oracle("""
+SELECT p.state, count(*) AS positives, 3 * count(*) AS wanted, CAST(sum(coalesce(n, 0)) AS BIGINT) AS accepted, CAST(sum(CASE WHEN n = 3 THEN last + 1 ELSE 150 END) AS BIGINT) AS attempted, count(*) FILTER (WHERE coalesce(n, 0) < 3) AS positives_short
+FROM pos p LEFT JOIN (SELECT state, positive_id, count(*) AS n, max(attempt) AS last FROM neg GROUP BY ALL) g ON g.state = p.state AND g.positive_id = p.event_id GROUP BY p.state""", "fx_events", **NEGATIVE_CTES))
+def negatives_report(fx):
+    pos = positives(fx)
+    return matrix.negatives_report(pos, matrix.buffered_negatives(pos, fx.pilots))
 
 
 @query("pos_neg_union", oracle("""
-SELECT target, count(*) AS n, count(event_id) AS with_event, min(event_date) AS first_date FROM (SELECT event_id, event_date, 1 AS target FROM pos UNION ALL SELECT NULL, event_date, 0 FROM neg) GROUP BY target""", "fx_events", first=q_catalog.FIRST, pos=POSITIVES, neg=NEGATIVES))
+SELECT target, count(*) AS n, count(event_id) AS with_event, min(event_date) AS first_date FROM (SELECT event_id, event_date, 1 AS target FROM pos UNION ALL SELECT NULL, event_date, 0 FROM neg) GROUP BY target""", "fx_events", **NEGATIVE_CTES))
 def pos_neg_union(fx):
-    both = matrix.pos_neg_union(positives(fx), negatives(fx).drop("positive_id", "attempt"))
+    pos = positives(fx)
+    both = matrix.pos_neg_union(pos, matrix.buffered_negatives(pos, fx.pilots).drop("positive_id", "attempt"))
     return both.groupBy("target").agg(F.count("*").alias("n"), F.count("event_id").alias("with_event"), F.min("event_date").alias("first_date"))
 
 
@@ -52,7 +71,6 @@ SELECT DISTINCT a.osm_id, a.asset_type, c.cell_id FROM cells c, fx_assets a WHER
 SELECT 'r' || lpad(CAST(i AS STRING), 2, '0') || 'c' || lpad(CAST(j AS STRING), 2, '0') AS cell_id, CAST((i * 7 + j * 13) % 10 AS DOUBLE) / 10e0 AS hazard, {rnd('27e0 + i * h', 6)} AS min_lat, {rnd('27e0 + i * h + h', 6)} AS max_lat, {rnd('88e0 + j * w', 6)} AS min_lon, {rnd('88e0 + j * w + w', 6)} AS max_lon
 FROM (SELECT unnest(range(0, 22)) AS i), (SELECT unnest(range(0, 18)) AS j), (SELECT (28.1e0 - 27e0) / 22 AS h, (88.9e0 - 88e0) / 18 AS w)"""))
 def exposure_join(fx):
-    from scarpline.operators import aoi
 
     cells = aoi.grid_build(fx.pilots.where("state = 'Sikkim'")).select(
         "state", "cell_id", (F.pmod(F.col("row") * 7 + F.col("col") * 13, F.lit(10)).cast("double") / 10.0).alias("hazard"), "bbox.*"
@@ -207,20 +225,20 @@ def grid_summary(fx):
     return grid.grid_summary(fx.sql(GRIDDED, scores=fx.scores), ["state"])
 
 
+MADE = {"elevation": "elevation", "slope": "slope", "aspect": "elevation / 7", "roughness": "slope / 3", "tpi": "elevation / 9", "rain_1d": "slope / 11", "rain_3d": "slope / 13", "rain_7d": "slope / 17", "antecedent_rain_14d": "slope / 19", "rain_intensity_max_3d": "slope / 23"}
+
+
 @query("feature_report", oracle(f"""
-SELECT id, {rnd('elevation', 4)} AS f_elevation, {rnd('slope', 4)} AS f_slope, {rnd('elevation / 7', 4)} AS f_aspect, {rnd('slope / 3', 4)} AS f_roughness, {rnd('elevation / 9', 4)} AS f_tpi, land_cover_class AS f_land_cover_class, {rnd('slope / 11', 4)} AS f_rain_1d,
- {rnd('slope / 13', 4)} AS f_rain_3d, {rnd('slope / 17', 4)} AS f_rain_7d, {rnd('slope / 19', 4)} AS f_antecedent_rain_14d, {rnd('slope / 23', 4)} AS f_rain_intensity_max_3d FROM b WHERE isfinite(elevation) AND isfinite(slope)""", b=ROWS.format(lineitem="lineitem")))
+SELECT id, land_cover_class AS f_land_cover_class, {', '.join(f"CASE WHEN isfinite({e}) THEN {rnd(e, 4)} END AS f_{n}" for n, e in MADE.items())} FROM b""", b=ROWS.format(lineitem="lineitem")))
 def feature_report(fx):
-    rows = fx.sql(ROWS).where("elevation < 1e300 AND slope < 1e300")
-    made = {"aspect": "elevation / 7", "roughness": "slope / 3", "tpi": "elevation / 9", "rain_1d": "slope / 11", "rain_3d": "slope / 13", "rain_7d": "slope / 17", "antecedent_rain_14d": "slope / 19", "rain_intensity_max_3d": "slope / 23"}
-    return rows.withColumns({n: F.expr(e) for n, e in made.items()}).select("id", grid.feature_report().alias("f"))
+    made = {n: F.expr(e) for n, e in MADE.items() if n != e}
+    return fx.sql(ROWS).withColumns(made).select("id", grid.feature_report().alias("f"))
 
 
 @query("geojson_sink", oracle("""
 SELECT 'c' || CAST(event_id AS STRING) AS id, longitude, latitude, CASE WHEN event_id % 9 = 0 THEN 'UNAVAILABLE' ELSE 'OK' END AS status, CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 1000 AS DOUBLE) / 1e3 END AS probability,
  CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 1000 >= 850 THEN 'EXTREME' WHEN event_id % 1000 >= 650 THEN 'HIGH' WHEN event_id % 1000 >= 400 THEN 'MEDIUM' ELSE 'LOW' END END AS risk_class, CASE WHEN event_id % 9 <> 0 THEN event_id % 1000 >= 500 END AS exceeds FROM fx_events""", "fx_events"))
 def geojson_sink(fx):
-    from scarpline.session import scratch_path
 
     p = F.expr("CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 1000 AS DOUBLE) / 1e3 END")
     cells = fx.events.select(

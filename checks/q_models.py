@@ -1,7 +1,5 @@
 """Training matrix, models, grid and point scores, and the flagship question."""
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from scarpline import vocab
@@ -11,10 +9,10 @@ from scarpline.session import scratch_path, through_table
 from scarpline.sources import documents
 
 from . import q_catalog, q_matrix, q_raster, q_rain
-from .fixtures import META, SIKKIM, oracle, rnd, with_rain_key
+from .fixtures import META, oracle, rnd, with_rain_key
 from .registry import query
 
-TREES = 20  # boosting rounds and forest size of the registered runs
+TREES = 100  # boosting rounds and forest size
 
 
 def wide_table(fx):
@@ -28,22 +26,22 @@ def rain_key(samples):
 
 def sample_matrix(fx, strict=False):
     return training.training_matrix(
-        q_matrix.positives(fx), SIKKIM, wide_table(fx), fx.landcover, META, fx.rain_daily, rain_key, strict
+        q_matrix.positives(fx), fx.pilots, wide_table(fx), fx.landcover, META, fx.rain_daily, rain_key, strict
     )
 
 
 SAMPLES = """
-SELECT 'p' || CAST(event_id AS STRING) AS sample_id, 1 AS target, event_id AS seed, latitude, longitude, event_date FROM pos
-UNION ALL SELECT 'n' || CAST(positive_id AS STRING) || '-' || CAST(attempt AS STRING), 0, positive_id + attempt, latitude, longitude, event_date FROM neg"""
+SELECT 'p-' || state || '-' || CAST(event_id AS STRING) AS sample_id, state, 1 AS target, event_id AS seed, latitude, longitude, event_date FROM pos
+UNION ALL SELECT 'n-' || state || '-' || CAST(positive_id AS STRING) || '-' || CAST(attempt AS STRING), state, 0, positive_id + attempt, latitude, longitude, event_date FROM neg"""
 KEYED = "SELECT *, CAST(seed % 30 AS INT) AS cell_id, DATE '2024-01-15' + CAST(seed % 14 AS INT) AS target_day FROM samples"
 TERRAIN_OK = "t.elevation IS NOT NULL AND t.slope IS NOT NULL"
 F32 = lambda e, n: f"CAST({e} AS FLOAT) AS {n}"
 MATRIX = f"""
-SELECT s.sample_id, CAST(s.target AS BIGINT) AS target, s.latitude, s.longitude, s.event_date, {', '.join(F32(f'CASE WHEN {TERRAIN_OK} THEN t.{n} END', n) for n in vocab.TERRAIN_FEATURES)},
+SELECT s.sample_id, s.state, CAST(s.target AS BIGINT) AS target, s.latitude, s.longitude, s.event_date, {', '.join(F32(f'CASE WHEN {TERRAIN_OK} THEN t.{n} END', n) for n in vocab.TERRAIN_FEATURES)},
  CAST({q_raster.GROUP.replace('code', 'l.code')} AS INT) AS land_cover_class, {', '.join(F32('w.' + n, n) for n in vocab.RAIN_FEATURES)}, CASE WHEN {TERRAIN_OK} THEN 'REAL' ELSE 'UNAVAILABLE' END AS terrain_status, w.rain_status
 FROM keyed s LEFT JOIN t ON t.row_idx = {q_raster.SAMPLE_ROW} AND t.col_idx = {q_raster.SAMPLE_COL} LEFT JOIN fx_landcover l ON l.row_idx = {q_raster.SAMPLE_ROW} AND l.col_idx = {q_raster.SAMPLE_COL}
 LEFT JOIN w ON w.cell_id = s.cell_id AND w.target_day = s.target_day"""
-MATRIX_CTES = dict(first=q_catalog.FIRST, pos=q_matrix.POSITIVES, neg=q_matrix.NEGATIVES, samples=SAMPLES, keyed=KEYED, **q_raster.terrain_ctes(), w=q_rain.window_sql("keyed"), m=MATRIX)
+MATRIX_CTES = dict(**q_matrix.NEGATIVE_CTES, samples=SAMPLES, keyed=KEYED, **q_raster.terrain_ctes(), w=q_rain.window_sql("keyed"), m=MATRIX)
 MATRIX_VIEWS = ("fx_events", "fx_dem", "fx_landcover", "fx_rain_daily")
 
 
@@ -130,12 +128,13 @@ def training_table(fx):
     its cell, labelled by its status; rows without complete inputs are dropped.
     """
     points = fx.sql("""SELECT CAST(o_orderkey AS STRING) AS sample_id, o_orderkey AS seed, 28.1e0 - CAST((o_orderkey*7919) % 780 AS DOUBLE)/1e3 - 0.01e0 AS latitude, 88e0 + CAST((o_orderkey*104729) % 990 AS DOUBLE)/1e3 AS longitude,
-      CAST(o_orderdate AS TIMESTAMP_NTZ) AS event_date, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS target FROM {orders}""")
+      CAST(o_orderdate AS TIMESTAMP_NTZ) AS event_date, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS target,
+      CASE o_orderkey % 4 WHEN 0 THEN 'Sikkim' WHEN 1 THEN 'Assam' WHEN 2 THEN 'Meghalaya' ELSE 'Arunachal Pradesh' END AS state FROM {orders}""")
     placed = raster.raster_sample(rain_key(points), wide_table(fx), META).drop("status", "reasons")
     covered = raster.landcover_sample(placed, fx.landcover, META)
     full = rainfall.event_rainfall_join(covered, fx.rain_daily)
     ready = models.clean_for_training(matrix.cast_features(full))
-    return through_table(ready.select("sample_id", "target", "latitude", "event_date", *vocab.MODEL_FEATURES), "training")
+    return through_table(ready.select("sample_id", "state", "target", "latitude", "event_date", *vocab.MODEL_FEATURES), "training")
 
 
 @query("train_baselines")
@@ -146,12 +145,9 @@ def train_baselines(fx):
     return models.train_baselines(data, splits, trees=TREES)
 
 
-@cache
-def primary_model(spark, sf_dir):
-    """The boosted model all scoring queries of one folder share."""
-    from .fixtures import Inputs
-
-    return models.fit(models.PRIMARY, training_table(Inputs(spark, sf_dir)), vocab.MODEL_FEATURES, TREES)
+def primary_model(fx):
+    """The boosted model, fitted by the query that scores with it."""
+    return models.fit(models.PRIMARY, training_table(fx), vocab.MODEL_FEATURES, TREES)
 
 
 def grid_inputs(fx):
@@ -160,7 +156,7 @@ def grid_inputs(fx):
 
 @query("grid_score")
 def grid_score(fx):
-    scored = models.grid_score(primary_model(fx.spark, fx.sf_dir), matrix.cast_features(grid_inputs(fx)))
+    scored = models.grid_score(primary_model(fx), matrix.cast_features(grid_inputs(fx)))
     return grid.with_classes(scored).select(
         "state", "cell_id", "latitude", "longitude", "status", "susceptibility_probability", "risk_class", "exceeds_decision_threshold", "reasons"
     )
@@ -181,8 +177,8 @@ def point_score(fx):
         F.coalesce("rain_reasons", F.array(F.lit("no rainfall for this area"))),
     )
     ready = wet.withColumn("reasons", why).withColumn("status", F.when(F.size("reasons") == 0, "OK").otherwise("UNAVAILABLE"))
-    model = primary_model(fx.spark, fx.sf_dir)
-    scored = models.point_score({s: model for s in ("Sikkim", "Assam")}, matrix.cast_features(ready))
+    fitted = models.fit_by_state("Logistic Regression", training_table(fx), [b[0] for b in vocab.PILOT_BOXES], vocab.MODEL_FEATURES)
+    scored = models.point_score(fitted, matrix.cast_features(ready))
     return grid.with_classes(scored).select("event_id", "state", "state_status", "status", "susceptibility_probability", "risk_class", "reasons")
 
 
@@ -191,7 +187,7 @@ def feature_attribution(fx):
     data = training_table(fx)
     linear = models.fit("Logistic Regression", data, vocab.MODEL_FEATURES)
     return models.feature_attribution(fx.spark, linear, data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("linear")).unionByName(
-        models.feature_attribution(fx.spark, primary_model(fx.spark, fx.sf_dir), data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("trees"))
+        models.feature_attribution(fx.spark, primary_model(fx), data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("trees"))
     ).unionByName(models.feature_attribution(fx.spark, None, data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("none")))
 
 
@@ -199,7 +195,7 @@ def feature_attribution(fx):
 def scenario_compare(fx):
     """Low and high rain over the same cells: what moved, and that nothing else did."""
     cells = matrix.cast_features(models.scenario_cells(grid_inputs(fx)))
-    scored = models.grid_score(primary_model(fx.spark, fx.sf_dir), cells)
+    scored = models.grid_score(primary_model(fx), cells)
     summary = grid.grid_summary(scored, ["scenario"])
     static = [c for c in ("cell_id", "status", *vocab.STATIC_FEATURES)]
     part = lambda n: scored.where(F.col("scenario") == n).select(*static)

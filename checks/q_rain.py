@@ -39,6 +39,20 @@ def antecedent_features(fx):
     return rainfall.antecedent_features(fx.rain_daily, chunk=16)
 
 
+# Every fifth cell reports one day twice and lacks the day after: neither counts as observed.
+DOUBLED = """
+SELECT cell_id, day, mm FROM {d} WHERE NOT (cell_id % 5 = 0 AND day = DATE '2024-01-09') UNION ALL SELECT cell_id, day, mm + 1e0 FROM {d} WHERE cell_id % 5 = 0 AND day = DATE '2024-01-08'"""
+ONCE = "SELECT cell_id, day, CASE WHEN count(*) = 1 THEN min(mm) END AS mm, count(*) > 1 AS twice FROM doubled GROUP BY cell_id, day"
+
+
+@query("repeated_days", oracle(
+    f"SELECT w.cell_id, strftime(w.day, '%Y-%m-%d') AS day, {', '.join('w.' + c for c in FEATURE_COLUMNS[:-1])}, coalesce(bool_or(o.twice), false) AS repeated FROM w LEFT JOIN once o ON o.cell_id = w.cell_id AND date_diff('day', o.day, w.day) BETWEEN 1 AND 14 GROUP BY ALL",
+    "fx_rain_daily", doubled=DOUBLED.format(d="fx_rain_daily"), once=ONCE, w=window_sql("once", date="day", source="once")))
+def repeated_days(fx):
+    rows = rainfall.antecedent_features(fx.sql(DOUBLED, d=fx.rain_daily), chunk=16)
+    return rows.select("cell_id", "day", *FEATURE_COLUMNS[:-1], F.array_contains("rain_reasons", rainfall.REPEATED).alias("repeated"))
+
+
 def inclusive(n):
     return f"CASE WHEN count(mm) FILTER (WHERE k < {n}) = {n} THEN {rnd(f'CAST(sum({CENTS}) FILTER (WHERE k < {n}) AS DOUBLE) / 1e2', 4)} END AS accumulation_{n}d_mm"
 

@@ -82,11 +82,10 @@ KIND = "CASE WHEN user_id % 10 < 3 THEN 'IMERG_HHR_LATE' WHEN user_id % 10 < 6 T
 SELECT aoi, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, source_kind, source_rank, mm FROM (SELECT *, row_number() OVER (PARTITION BY aoi, slot ORDER BY source_rank, mm) AS rn FROM (
  SELECT CAST(user_id % 4 AS INT) AS aoi, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, {KIND} AS source_kind, value * 0.5e0 AS mm, CAST(CASE {KIND} WHEN 'IMERG_HHR_EARLY' THEN 1 WHEN 'IMERG_HHR_LATE' THEN 2 ELSE 3 END AS INT) AS source_rank FROM events WHERE user_id % 10 < 9)) WHERE rn = 1"""))
 def stream_run_upgrade(fx):
-    state.use_rocksdb(fx.spark)
     seen = rates(fx).select(
         "aoi", F.window("ts", "30 minutes")["start"].alias("slot"), F.expr(KIND).alias("source_kind"), (F.col("rate") * 0.5).alias("mm")
     )
-    return slots.run_available(state.run_upgrade(seen, slots.LATE_DELAY), "upgrade").drop("previous_rank")
+    return slots.run_available(state.run_upgrade(seen, slots.LATE_DELAY), "upgrade", settings=state.SETTINGS).drop("previous_rank")
 
 
 # One batch: the newest slot per area, aged from a clock that has not passed it yet.
@@ -94,6 +93,5 @@ def stream_run_upgrade(fx):
 SELECT aoi, strftime(slot, '%Y-%m-%d %H:%M:%S') AS observed_at, mm AS latest_mm, 0e0 AS age_minutes, 'NEAR_REAL_TIME' AS freshness, false AS is_stale FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY slot DESC, mm DESC) AS rn FROM (
  SELECT CAST(user_id % 4 AS INT) AS aoi, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, value * 0.5e0 AS mm FROM events)) WHERE rn = 1"""))
 def stream_latest(fx):
-    state.use_rocksdb(fx.spark)
     seen = rates(fx).select("aoi", F.window("ts", "30 minutes")["start"].alias("slot"), (F.col("rate") * 0.5).alias("mm"))
-    return slots.run_available(state.latest(seen, slots.LATE_DELAY), "latest")
+    return slots.run_available(state.latest(seen, slots.LATE_DELAY), "latest", settings=state.SETTINGS)

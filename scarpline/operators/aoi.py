@@ -208,14 +208,16 @@ def state_for_bounds(bounds: DataFrame, boxes: DataFrame, tol: float = 1e-9) ->
     )
 
 
-def grid_build(boxes: DataFrame, step: float = 0.05, max_cells: int | None = None) -> DataFrame:
+def grid_build(
+    boxes: DataFrame, step: float = 0.05, max_cells: int | None = None, bounds: tuple[float, float] = (0.02, 0.25),
+) -> DataFrame:
     """Tile every box into near-square cells; centres lie strictly inside.
 
-    A step outside 0.02..0.25 or more than max_cells per box stops the job; without
+    A step outside `bounds` or more than max_cells per box stops the job; without
     max_cells there is no limit.
     """
-    if not 0.02 <= step <= 0.25:
-        raise ValueError(f"step {step} is outside 0.02..0.25 degrees")
+    if not bounds[0] <= step <= bounds[1]:
+        raise ValueError(f"step {step} is outside {bounds[0]}..{bounds[1]} degrees")
     span_lat, span_lon = F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon")
     n = lambda span: F.greatest(F.rint(span / step), F.lit(1.0)).cast("int")
     sized = boxes.withColumns({"n_lat": n(span_lat), "n_lon": n(span_lon)})

@@ -40,10 +40,11 @@ def binary_metrics(scored: DataFrame, by: list[str] = (), score: str = "score",
     })
 
 
-def roc_auc(scored: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
+def roc_auc(scored: DataFrame, score: str = "score", target: str = "target",
+            ranges: int = prefix.DEFAULT_RANGES) -> DataFrame:
     """Rank AUC with ties counted half; 0 when only one class occurs."""
     counts = _by_score(scored, score, target)
-    placed = prefix.running_totals(counts, "score", ["pos"], descending=True)
+    placed = prefix.running_totals(counts, "score", ["pos"], descending=True, ranges=ranges)
     # Twice the number of ordered pairs, as an exact integer sum.
     pairs2 = F.sum(F.col("neg").cast("decimal(38,0)") * (2 * F.col("before_pos") + F.col("pos")))
     sums = placed.agg(
@@ -57,10 +58,11 @@ def roc_auc(scored: DataFrame, score: str = "score", target: str = "target") ->
     )
 
 
-def average_precision(scored: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
+def average_precision(scored: DataFrame, score: str = "score", target: str = "target",
+                      ranges: int = prefix.DEFAULT_RANGES) -> DataFrame:
     """Step-wise average precision, not the trapezoid; 0 when only one class occurs."""
     counts = _by_score(scored, score, target)
-    placed = prefix.running_totals(counts, "score", ["pos", "neg"], descending=True)
+    placed = prefix.running_totals(counts, "score", ["pos", "neg"], descending=True, ranges=ranges)
     tp = F.col("before_pos") + F.col("pos")
     seen = tp + F.col("before_neg") + F.col("neg")
     out = placed.agg(
@@ -75,10 +77,10 @@ def average_precision(scored: DataFrame, score: str = "score", target: str = "ta
 
 
 def all_metrics(scored: DataFrame, score: str = "score", target: str = "target",
-                threshold: float = vocab.DECISION_THRESHOLD) -> DataFrame:
+                threshold: float = vocab.DECISION_THRESHOLD, ranges: int = prefix.DEFAULT_RANGES) -> DataFrame:
     """The six reported numbers as one row, all from one pass over the score counts."""
     counts = _by_score(scored, score, target)
-    placed = prefix.running_totals(counts, "score", ["pos", "neg"], descending=True)
+    placed = prefix.running_totals(counts, "score", ["pos", "neg"], descending=True, ranges=ranges)
     pos, neg = F.col("pos"), F.col("neg")
     seen_pos = F.col("before_pos") + pos
     seen = seen_pos + F.col("before_neg") + neg

@@ -8,21 +8,28 @@ from .. import vocab
 from ..functions.numbers import col, is_finite
 from . import catalog, prefix
 
-# Multipliers of the position formula: large primes, exact in 64-bit integers.
-LAT_STRIDE, LON_STRIDE, UNIT = 7_368_787, 15_485_863, 1_000_003
+# The position formula: for each axis a prime modulus near 2^31 and two rounds of multiplying,
+# so every product is exact in 64-bit integers and ids do not share their positions.
+AXES = {
+    "lat": (2_147_483_647, 1_500_450_271, 715_827_883, 1_103_515_245),
+    "lon": (2_147_483_629, 1_299_709_843, 1_190_494_759, 1_664_525_071),
+}
+BOX = ("min_lat", "max_lat", "min_lon", "max_lon")
 
 
-def candidate_point(seed: Column, k: Column, box: dict) -> tuple[Column, Column]:
-    """A position in the box from integer arithmetic alone, so any partitioning agrees."""
-    base = F.pmod(seed, F.lit(UNIT)) * 151 + k
-    frac = lambda stride: F.pmod(base * stride + 12345, F.lit(UNIT)).cast("double") / float(UNIT)
-    lat = F.lit(box["min_lat"]) + frac(LAT_STRIDE) * (box["max_lat"] - box["min_lat"])
-    lon = F.lit(box["min_lon"]) + frac(LON_STRIDE) * (box["max_lon"] - box["min_lon"])
-    return lat, lon
+def candidate_point(seed: Column, k: Column) -> tuple[Column, Column]:
+    """A position in the row's box from integer arithmetic alone, so any partitioning agrees."""
+    out = []
+    for axis, (prime, by_seed, by_attempt, again) in AXES.items():
+        mixed = F.pmod(F.pmod(seed, F.lit(prime)) * by_seed + k.cast("long") * by_attempt + 12345, F.lit(prime))
+        frac = F.pmod(mixed * again + 6789, F.lit(prime)).cast("double") / float(prime)
+        low, high = F.col(f"min_{axis}"), F.col(f"max_{axis}")
+        out.append(low + frac * (high - low))
+    return tuple(out)
 
 
-def far_from(candidates: DataFrame, places: DataFrame, buffer_deg: float) -> DataFrame:
-    """Candidates at least buffer_deg (Euclidean, in degrees) from every place.
+def far_from(candidates: DataFrame, places: DataFrame, buffer_deg: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates at least buffer_deg (Euclidean, in degrees) from every place (of the same `by`).
 
     Equi anti-join on buffer-sized buckets, places copied to the 3x3 around them.
     Two thinnings come first, both exact: places repeat only once, and a candidate
@@ -31,15 +38,15 @@ def far_from(candidates: DataFrame, places: DataFrame, buffer_deg: float) -> Dat
     """
     fine = buffer_deg / 2
     fine_key = lambda c: F.floor(F.col(c) / fine)
-    occupied = places.select(fine_key("latitude").alias("_fr"), fine_key("longitude").alias("_fc")).distinct()
+    occupied = places.select(*by, fine_key("latitude").alias("_fr"), fine_key("longitude").alias("_fc")).distinct()
     open_air = candidates.withColumns({"_fr": fine_key("latitude"), "_fc": fine_key("longitude")}).join(
-        occupied, ["_fr", "_fc"], "left_anti"
+        occupied, [*by, "_fr", "_fc"], "left_anti"
     ).drop("_fr", "_fc")
 
     key = lambda c: F.floor(F.col(c) / buffer_deg)
     around = lambda c: F.sequence(key(c) - 1, key(c) + 1)
     near = (
-        places.select("latitude", "longitude").distinct()
+        places.select(*by, "latitude", "longitude").distinct()
         .withColumn("_br", F.explode(around("latitude")))
         .withColumn("_bc", F.explode(around("longitude")))
     )
@@ -51,44 +58,78 @@ def far_from(candidates: DataFrame, places: DataFrame, buffer_deg: float) -> Dat
         (F.col("c._br") == F.col("p._br")) & (F.col("c._bc") == F.col("p._bc"))
         & (F.sqrt(d_lat * d_lat + d_lon * d_lon) < buffer_deg)
     )
+    for name in by:
+        too_near = too_near & (F.col(f"c.{name}") == F.col(f"p.{name}"))
     return c.join(p, too_near, "left_anti").drop("_br", "_bc")
 
 
 def buffered_negatives(
-    positives: DataFrame, box: dict, key: str = "event_id", ratio: int = 3,
+    positives: DataFrame, boxes: DataFrame | dict, key: str = "event_id", ratio: int = 3,
     buffer_deg: float = 0.05, attempts_per_negative: int = 50, first_round: int = 12,
 ) -> DataFrame:
-    """`ratio` accepted points per positive, each positive trying 50 x ratio positions.
+    """`ratio` accepted points per positive, each positive trying attempts_per_negative x ratio.
+
+    boxes has one row per state, and positives a state; a point lies in its positive's
+    box and keeps the distance to that state's positives. One box may be given as a dict
+    instead. Pass positives as a table: they are read for the seeds and for the distances.
 
     Every positive keeps its first accepted candidates in attempt order, so there is
     no global sort or limit. Most positives are served by a short first round; the
     remaining attempts are only generated for those it left short, with the same
-    result. A negative takes the date of its positive, so the dates follow the
-    positives' distribution.
+    result. The budget is each positive's own: in a crowded place it can run out before
+    `ratio` points are found, which `negatives_report` counts. A negative takes the date
+    of its positive, so the dates follow the positives' distribution.
     """
     tries = ratio * attempts_per_negative
     first_round = min(first_round, tries)
-    places = positives.select("latitude", "longitude")
-    seeds = positives.select(F.col(key).alias("positive_id"), "event_date")
-    w = Window.partitionBy("positive_id").orderBy("attempt")
+    if isinstance(boxes, dict):
+        by = ()
+        seeds = positives.withColumns({c: F.lit(float(boxes[c])) for c in BOX})
+    else:
+        by = ("state",)
+        seeds = positives.join(boxes.select("state", *BOX), "state")
+    places = positives.select(*by, "latitude", "longitude")
+    seeds = seeds.select(*by, F.col(key).alias("positive_id"), "event_date", *BOX)
+    w = Window.partitionBy(*by, "positive_id").orderBy("attempt")
 
     def attempt_range(base: DataFrame, low: int, high: int) -> DataFrame:
-        lat, lon = candidate_point(F.col("positive_id"), F.col("attempt"), box)
+        lat, lon = candidate_point(F.col("positive_id"), F.col("attempt"))
         points = base.withColumn(
             "attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
-        ).withColumns({"latitude": lat, "longitude": lon})
-        return far_from(points, places, buffer_deg)
+        ).withColumns({"latitude": lat, "longitude": lon}).drop(*BOX)
+        return far_from(points, places, buffer_deg, by)
 
     early = attempt_range(seeds, 0, first_round)
     accepted = early
     if first_round < tries:
-        served = early.groupBy("positive_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= ratio)
-        short = seeds.join(served, "positive_id", "left_anti")
+        served = early.groupBy(*by, "positive_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= ratio)
+        short = seeds.join(served, [*by, "positive_id"], "left_anti")
         accepted = early.unionByName(attempt_range(short, first_round, tries))
     return (
         accepted.withColumn("_rank", F.row_number().over(w))
         .where(F.col("_rank") <= ratio)
-        .select("positive_id", "attempt", "latitude", "longitude", "event_date")
+        .select(*by, "positive_id", "attempt", "latitude", "longitude", "event_date")
+    )
+
+
+def negatives_report(
+    positives: DataFrame, negatives: DataFrame, key: str = "event_id", ratio: int = 3,
+    attempts_per_negative: int = 50, by: tuple[str, ...] = ("state",),
+) -> DataFrame:
+    """Per state: positives, points wanted, accepted and attempted, and positives left short.
+
+    A positive stops at its last point, or has used its whole budget.
+    """
+    tries = ratio * attempts_per_negative
+    got = negatives.groupBy(*by, "positive_id").agg(F.count("*").alias("_n"), F.max("attempt").alias("_last"))
+    each = positives.select(*by, F.col(key).alias("positive_id")).join(got, [*by, "positive_id"], "left")
+    full = F.coalesce(F.col("_n") >= ratio, F.lit(False))
+    return each.groupBy(*by).agg(
+        F.count("*").alias("positives"),
+        (F.count("*") * ratio).alias("wanted"),
+        F.sum(F.coalesce("_n", F.lit(0))).alias("accepted"),
+        F.sum(F.when(full, F.col("_last") + 1).otherwise(tries)).alias("attempted"),
+        F.count_if(~full).alias("positives_short"),
     )
 
 

@@ -46,6 +46,15 @@ def fit(name: str, train: DataFrame, features: list[str], trees: int = 100) -> P
     return build(name, features, trees).fit(_with_category(train))
 
 
+def fit_by_state(
+    name: str, train: DataFrame, states: list[str], features: list[str], trees: int = 100,
+) -> dict[str, PipelineModel]:
+    """One model per state that has rows of both classes; the states are few and fixed."""
+    both = train.groupBy("state").agg(F.count_distinct("target").alias("n")).where("n > 1").select("state")
+    able = {r.state for r in both.where(F.col("state").isin(states)).collect()}
+    return {s: fit(name, train.where(F.col("state") == s), features, trees) for s in states if s in able}
+
+
 def score(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
     """Positive-class probability; the model's working columns are left out."""
     kept = [c for c in df.columns if c != name]

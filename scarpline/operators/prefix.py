@@ -20,7 +20,8 @@ def running_totals(
     """Add before_<v>: the total of v over keys strictly earlier in the order.
 
     `key` must be unique in df, so rows per range are bounded by the distinct keys
-    and stay balanced however the original rows were skewed.
+    and stay balanced however the original rows were skewed. `ranges` is how many tasks
+    can share the order: raise it with the distinct keys. It cannot change the result.
     """
     if ranges & (ranges - 1):
         raise ValueError("ranges must be a power of two")
@@ -61,14 +62,14 @@ def running_totals(
     )
 
 
-def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, value: str, name: str = "median", ranges: int = DEFAULT_RANGES) -> DataFrame:
     """One row: the averaged exact median of a column, nulls ignored.
 
     Works on counts per distinct value, so memory does not grow with the rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    placed = running_totals(counts, value, ["n"]).withColumn("total", total)
+    placed = running_totals(counts, value, ["n"], ranges=ranges).withColumn("total", total)
     covers = lambda rank: (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
     middle = lambda rank: F.max(F.when(covers(rank), F.col(value)))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)

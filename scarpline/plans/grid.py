@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import landcover, risk
-from ..functions.numbers import rounded
+from ..functions.numbers import is_finite, rounded
 from ..operators import aoi as aoi_ops
 from ..operators import rainfall, raster
 
@@ -81,10 +81,10 @@ def class_counts_map() -> Column:
 
 
 def feature_report() -> Column:
-    """Features rounded to 4 dp in model order, the category as an integer."""
+    """Features rounded to 4 dp in model order, the category as an integer; null unless finite."""
     return F.struct(*[
         F.col(f).cast("int").alias(f) if f == vocab.LAND_COVER_FEATURE
-        else rounded(F.col(f).cast("double"), 4).alias(f)
+        else F.when(is_finite(f), rounded(F.col(f).cast("double"), 4)).alias(f)
         for f in vocab.MODEL_FEATURES
     ])
 

@@ -11,21 +11,22 @@ from ..operators import matrix, rainfall, raster
 
 
 def training_matrix(
-    positives: DataFrame, box: dict, wide: DataFrame, cover: DataFrame, meta: raster.RasterMeta,
+    positives: DataFrame, boxes: DataFrame, wide: DataFrame, cover: DataFrame, meta: raster.RasterMeta,
     daily: DataFrame, rain_key: Callable[[DataFrame], DataFrame], strict: bool = True,
 ) -> DataFrame:
     """Positives and buffered negatives with terrain, land cover and antecedent rain.
 
-    positives: event_id, latitude, longitude, event_date. rain_key adds cell_id and
-    target_day. Rows with masked terrain stay. With strict, a single incomplete rainfall
+    All states in one plan. positives, a table: state, event_id, latitude, longitude,
+    event_date; boxes: one row per state. A place in two states is a sample of both.
+    rain_key adds cell_id and target_day. Rows with masked terrain stay. With strict, a single incomplete rainfall
     window stops the job that reads the matrix; otherwise such rows carry their status.
     """
     pos = positives.select(
-        F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("sample_id"),
+        F.concat_ws("-", F.lit("p"), "state", F.col("event_id").cast("string")).alias("sample_id"), "state",
         F.col("event_id").alias("seed"), "latitude", "longitude", "event_date",
     )
-    neg = matrix.buffered_negatives(positives, box).select(
-        F.concat_ws("-", F.concat(F.lit("n"), F.col("positive_id").cast("string")), F.col("attempt").cast("string")).alias("sample_id"),
+    neg = matrix.buffered_negatives(positives, boxes).select(
+        F.concat_ws("-", F.lit("n"), "state", F.col("positive_id").cast("string"), F.col("attempt").cast("string")).alias("sample_id"), "state",
         (F.col("positive_id") + F.col("attempt")).alias("seed"), "latitude", "longitude", "event_date",
     )
     samples = rain_key(matrix.pos_neg_union(pos, neg))
@@ -37,6 +38,6 @@ def training_matrix(
     if strict:
         full = matrix.complete_rainfall_only(full)
     return matrix.cast_features(full).select(
-        "sample_id", "target", "latitude", "longitude", "event_date", *vocab.MODEL_FEATURES,
+        "sample_id", "state", "target", "latitude", "longitude", "event_date", *vocab.MODEL_FEATURES,
         "terrain_status", "rain_status",
     )

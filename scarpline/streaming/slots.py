@@ -94,28 +94,41 @@ def alert_cells(alerts: DataFrame, cells: DataFrame, key: str = "aoi") -> DataFr
     return alerts.join(cells, key)
 
 
-def run_available(
-    stream: DataFrame, name: str, mode: str = "append", state_partitions: int | None = None,
-) -> DataFrame:
-    """Run a stream over everything there is into a Parquet table and read it back.
-
-    Checkpoint and table lie in the shared folder, so a restart resumes exactly once.
-    State is partitioned for the life of a checkpoint and never re-planned at run time,
-    so by default it gets no more partitions than there are cores.
+def run_counted(
+    stream: DataFrame, name: str, mode: str = "append", folder: str | None = None,
+    state_partitions: int | None = None, settings: dict[str, str] | None = None,
+) -> tuple[DataFrame, int]:
+    """Run a stream over everything there is into a Parquet table: (table, late rows dropped).
+
+    folder, a shared one, holds the table and the checkpoint. A later call with the same
+    folder resumes: only new input is read, state goes on, and every row is in the table
+    once. Without a folder each call is a run of its own in the scratch folder. State is
+    partitioned for the life of a checkpoint: state_partitions counts when the folder is
+    new, by default the session's shuffle partitions. `settings` hold for this query only.
     """
     spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    folder = folder or scratch_path(spark, name)
     writer = (
         stream.writeStream.format("parquet").outputMode(mode)
-        .option("path", path).option("checkpointLocation", checkpoint)
+        .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
     )
-    setting = spark.conf.get(PARTITIONS)
-    cores = spark.sparkContext.defaultParallelism
-    spark.conf.set(PARTITIONS, str(state_partitions or min(int(setting), cores)))
+    wanted = dict(settings or {})
+    if state_partitions:
+        wanted[PARTITIONS] = str(state_partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        run = writer.start()
+        run = writer.start()  # a query takes its settings when it starts
     finally:
-        spark.conf.set(PARTITIONS, setting)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    dropped = sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table"), dropped
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", **options) -> DataFrame:
+    """The table of `run_counted`."""
+    return run_counted(stream, name, mode, **options)[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from .. import vocab
@@ -17,9 +17,8 @@ from .. import vocab
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Arbitrary state needs the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+#: Arbitrary state needs the RocksDB store; pass this to the run.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
 
 
 UPGRADE_SCHEMA = "aoi INT, slot TIMESTAMP, source_kind STRING, source_rank INT, mm DOUBLE, previous_rank INT"
@@ -74,8 +73,8 @@ class BestRun(StatefulProcessor):
 def run_upgrade(observations: DataFrame, delay: str) -> DataFrame:
     """Early over Late over fallback per (aoi, slot); later than the delay is dropped.
 
-    observations: aoi, slot, source_kind, mm. Dropped rows are counted by the engine in
-    the progress metric numRowsDroppedByWatermark.
+    observations: aoi, slot, source_kind, mm. `run_counted` returns how many rows were
+    dropped; rows of one batch, area and slot are one row by then.
     """
     rank = F.create_map(*[F.lit(v) for kv in vocab.LIVE_SOURCE_RANK.items() for v in kv])
     ranked = observations.withColumn("source_rank", F.element_at(rank, F.col("source_kind")))

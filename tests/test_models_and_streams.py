@@ -122,36 +122,52 @@ def at(slot):
 
 
 def test_better_runs_replace_worse_ones_only(spark):
-    state.use_rocksdb(spark)
     schema = "aoi int, slot timestamp, source_kind string, mm double"
     batches = [
         [(1, at(0), "OPEN_METEO_FALLBACK", 3.0), (1, at(1), "IMERG_HHR_EARLY", 1.0)],
         [(1, at(0), "IMERG_HHR_LATE", 2.0), (1, at(1), "IMERG_HHR_LATE", 9.0)],
         [(1, at(0), "IMERG_HHR_EARLY", 1.5), (1, at(0), "IMERG_HHR_LATE", 0.1)],
     ]
-    out = slots.run_available(state.run_upgrade(feed(spark, batches, schema), slots.LATE_DELAY), "upgrade")
+    out = slots.run_available(state.run_upgrade(feed(spark, batches, schema), slots.LATE_DELAY), "upgrade", settings=state.SETTINGS)
     got = sorted((r.slot, r.source_rank, r.mm, r.previous_rank) for r in out.collect())
     assert got == [(at(0), 1, 1.5, 2), (at(0), 2, 2.0, 3), (at(0), 3, 3.0, None), (at(1), 1, 1.0, None)]
 
 
 def test_late_rows_are_dropped(spark):
-    state.use_rocksdb(spark)
     schema = "aoi int, slot timestamp, source_kind string, mm double"
     batches = [[(1, at(100), "IMERG_HHR_EARLY", 1.0)], [(1, at(101), "IMERG_HHR_EARLY", 1.0)], [(1, at(0), "IMERG_HHR_EARLY", 5.0)]]
-    out = slots.run_available(state.run_upgrade(feed(spark, batches, schema), slots.LATE_DELAY), "late")
+    out, dropped = slots.run_counted(state.run_upgrade(feed(spark, batches, schema), slots.LATE_DELAY), "late", settings=state.SETTINGS)
+    assert dropped == 1
     assert sorted(r.slot for r in out.collect()) == [at(100), at(101)]
 
 
 def test_silence_is_reported_stale(spark):
-    state.use_rocksdb(spark)
     schema = "aoi int, slot timestamp, mm double"
     batches = [[(1, at(0), 1.0), (2, at(0), 4.0)], [(2, at(1), 5.0)], [(2, at(40), 6.0)]]
-    out = slots.run_available(state.latest(feed(spark, batches, schema), "0 minutes"), "latest").collect()
+    out = slots.run_available(state.latest(feed(spark, batches, schema), "0 minutes"), "latest", settings=state.SETTINGS).collect()
     one = sorted((r.observed_at, r.freshness) for r in out if r.aoi == 1)
     assert one == [(at(0), "NEAR_REAL_TIME"), (at(0), "STALE")]
     assert max((r.observed_at, r.latest_mm) for r in out if r.aoi == 2) == (at(40), 6.0)
 
 
+def test_a_stopped_stream_resumes(spark):
+    """A second run in the same folder reads only what is new, and remembers its state."""
+    schema = "aoi int, slot timestamp, source_kind string, mm double"
+    folder, path = scratch_path(spark, "resume"), scratch_path(spark, "landing")
+    before = spark.conf.get(slots.PARTITIONS), spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+
+    def go(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        out, _ = slots.run_counted(state.run_upgrade(stream, slots.LATE_DELAY), "resume", folder=folder, state_partitions=3, settings=state.SETTINGS)
+        return sorted((r.slot, r.source_rank, r.previous_rank) for r in out.collect())
+
+    assert go([(1, at(0), "OPEN_METEO_FALLBACK", 3.0), (1, at(1), "IMERG_HHR_EARLY", 1.0)]) == [(at(0), 3, None), (at(1), 1, None)]
+    again = go([(1, at(0), "IMERG_HHR_LATE", 2.0), (1, at(1), "IMERG_HHR_LATE", 9.0)])
+    assert again == [(at(0), 2, 3), (at(0), 3, None), (at(1), 1, None)]
+    assert before == (spark.conf.get(slots.PARTITIONS), spark.conf.get("spark.sql.streaming.stateStore.providerClass", None))
+
+
 def test_a_gap_leaves_the_total_null(spark):
     schema = "aoi int, ts timestamp, rate double"
     rows = [(1, at(i), 2.0) for i in range(24) if i != 5] + [(1, at(200), 0.0)]

@@ -76,10 +76,12 @@ def test_one_place_holds_a_third_of_the_positives(spark):
     accepted = {}
     for i, *_ in rows:
         for k in range(150):
-            base = (i % matrix.UNIT) * 151 + k
-            f = lambda stride: float((base * stride + 12345) % matrix.UNIT) / float(matrix.UNIT)
-            la = box["min_lat"] + f(matrix.LAT_STRIDE) * (box["max_lat"] - box["min_lat"])
-            lo = box["min_lon"] + f(matrix.LON_STRIDE) * (box["max_lon"] - box["min_lon"])
+            at = {}
+            for axis, (prime, by_seed, by_attempt, again) in matrix.AXES.items():
+                mixed = (i % prime * by_seed + k * by_attempt + 12345) % prime
+                at[axis] = float((mixed * again + 6789) % prime) / float(prime)
+            la = box["min_lat"] + at["lat"] * (box["max_lat"] - box["min_lat"])
+            lo = box["min_lon"] + at["lon"] * (box["max_lon"] - box["min_lon"])
             if all(math.sqrt((a - la) ** 2 + (b - lo) ** 2) >= 0.05 for a, b in places):
                 accepted.setdefault(i, []).append(k)
     want = sorted((i, k) for i, ks in accepted.items() for k in ks[:3])
