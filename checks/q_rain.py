@@ -1,9 +1,12 @@
 """Rainfall windows, completeness, probes, ladders and landed documents."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from scarpline.functions import provenance as prov
 from scarpline.operators import rainfall
+from scarpline.session import scratch_path
 from scarpline.sources import rain_documents
 
 from . import q_places
@@ -80,10 +83,19 @@ SELECT a.state, CAST(la.v AS INT) AS lat_idx, CAST(lo.v AS INT) AS lon_idx FROM
 WHERE a.kind = 'pilot' AND la.v BETWEEN round_even((a.min_lat + 89.95e0) * 10e0, 0) AND round_even((a.max_lat + 89.95e0) * 10e0, 0) AND lo.v BETWEEN round_even((a.min_lon + 179.95e0) * 10e0, 0) AND round_even((a.max_lon + 179.95e0) * 10e0, 0)"""
 
 
-@query("precip_grid_scan", oracle("""
-SELECT g.lat_idx, g.lon_idx, strftime(g.day, '%Y-%m-%d') AS day, g.precip, c.state FROM fx_precip_grid g JOIN cells c USING (lat_idx, lon_idx)""", "fx_precip_grid", cells=GRID_CELLS))
+# Months stand for days and halves of the cells for runs, so that one partition has rows.
+RUN_OF_CELL = "CASE WHEN (lat_idx + lon_idx) % 2 = 0 THEN 'Early' ELSE 'Late' END"
+
+
+@query("precip_grid_scan", oracle(f"""
+SELECT g.lat_idx, g.lon_idx, '1995-03-01' AS day, 'Early' AS run_type, g.precip, c.state FROM fx_precip_grid g JOIN cells c USING (lat_idx, lon_idx) WHERE date_trunc('month', g.day) = DATE '1995-03-01' AND {RUN_OF_CELL} = 'Early'""", "fx_precip_grid", cells=GRID_CELLS))
 def precip_grid_scan(fx):
-    return rainfall.precip_grid_scan(fx.precip_grid, fx.pilots)
+    """Written in partitions of run and day, then one run and one day of it read."""
+    path = scratch_path(fx.spark, "precip-grid")
+    months = fx.precip_grid.withColumns({"day": F.trunc("day", "month"), "run_type": F.expr(RUN_OF_CELL)})
+    rain_documents.write_precip_grid(months, path)
+    stored = fx.spark.read.schema(rain_documents.PRECIP_SCHEMA).parquet(path)
+    return rainfall.precip_grid_scan(stored, fx.pilots, day=datetime.date(1995, 3, 1), run_type="Early")
 
 
 VALID = "isfinite(precip) AND precip > -100"
