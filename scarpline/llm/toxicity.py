@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,13 +54,10 @@ class Model:
 
 
 class Rows:
-    """A sparse matrix of ones, by rows: just the two products a gradient needs."""
+    """A sparse matrix by rows, of ones if no values are given: just the products a gradient needs."""
 
-    def __init__(self, lists: list[np.ndarray], width: int, values: list[np.ndarray] | None = None):
-        self.n, self.width = len(lists), width
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.col = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-        self.val = np.concatenate(values) if values else np.ones(len(self.col))
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int, val: np.ndarray | float = 1.0):
+        self.row, self.col, self.n, self.width, self.val = row.astype(np.int32), col.astype(np.int32), n, width, val
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -80,38 +78,52 @@ def swaps(words: set[str], identity=IDENTITY) -> list[set[str]]:
     return out
 
 
-def fit(texts: list[set[str]], labels: np.ndarray, *, identity=IDENTITY, penalty: float = 5.0, ridge: float = 2e-4, least: int = 3, most_words: int = 100_000, steps: int = 300) -> Model:
+def fit(texts: list[set[str]], labels, **options) -> Model:
+    """`fit_codes` on word sets."""
+    words = sorted(set().union(*texts))
+    at = {w: i for i, w in enumerate(words)}
+    codes = [sorted(at[w] for w in t) for t in texts]
+    flat = np.array([c for row in codes for c in row], dtype=np.int64)
+    return fit_codes(flat, np.array([len(row) for row in codes], dtype=np.int64), words, labels, **options)
+
+
+def fit_codes(flat: np.ndarray, lengths: np.ndarray, words: list[str], labels, *, identity=IDENTITY, penalty: float = 5.0, ridge: float = 2e-4, least: int = 3, most_words: int = 100_000, steps: int = 300) -> Model:
     """Full-batch Adam on logistic loss + ridge + `penalty` x mean squared counterfactual change.
 
-    Words of at least `least` texts take part, the most frequent `most_words` of them. A word
-    enters scaled by its smoothed log ratio between the classes, so the ridge holds down words
-    that tell nothing.
+    Rows are runs of `lengths` codes of distinct words. Words of at least `least` texts take part,
+    the most frequent `most_words` of them. A word enters scaled by its smoothed log ratio between
+    the classes, so the ridge holds down words that tell nothing.
     """
     y = np.asarray(labels, dtype=float)
     prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5)))
-    found: dict[str, int] = {}
-    for words in texts:
-        for w in words:
-            found[w] = found.get(w, 0) + 1
-    names = sorted((w for w, n in found.items() if n >= least), key=lambda w: (-found[w], w))[:most_words]
-    if not names or not 0 < y.sum() < len(y):
+    found = np.bincount(flat, minlength=len(words)) if len(flat) else np.zeros(len(words), int)
+    used = sorted(np.flatnonzero(found >= least).tolist(), key=lambda c: (-found[c], words[c]))[:most_words]
+    if not used or not 0 < y.sum() < len(y):
         return Model({}, prior)
-    at = {w: i for i, w in enumerate(names)}
-    # in name order: a set's own order changes between processes, and with it the last digits of sums
-    index = lambda words: np.array(sorted(at[w] for w in words if w in at), dtype=np.int64)
-    x = Rows([index(words) for words in texts], len(names))
+    names, width = [words[c] for c in used], len(used)
+    place = np.full(len(words), -1)
+    place[used] = np.arange(width)
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), lengths), place[flat]
+    x = Rows(row[col >= 0], col[col >= 0], len(y), width)
+
+    # Only texts that name a group have counterfactuals.
+    at = {n: i for i, n in enumerate(names)}
+    terms = {t for kind in identity for t in kind}
+    named = np.isin(flat, [c for c in range(len(words)) if words[c] in terms])
+    starts, parts = np.concatenate([[0], np.cumsum(lengths)]), []
+    for r in np.unique(row[named]):
+        own = {words[c] for c in flat[starts[r] : starts[r + 1]]}
+        for other in swaps(own, identity):
+            gone, come = ([at[w] for w in sorted(part) if w in at] for part in (own - other, other - own))
+            if gone or come:
+                parts.append((gone + come, [1.0] * len(gone) + [-1.0] * len(come)))
+    joined = lambda k, kind: np.array([v for p in parts for v in p[k]], dtype=kind)
+    d = Rows(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), joined(0, np.int64), len(parts), width, joined(1, float))
+
     pos, all_ = x.back(y), x.back(np.ones(len(y)))
     scale = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((all_ - pos + 0.5) / (len(y) - y.sum() + 1))
-    change, by = [], []
-    for words in texts:
-        for other in swaps(words, identity):
-            gone, come = index(words - other), index(other - words)
-            if len(gone) + len(come):
-                change.append(np.concatenate([gone, come]))
-                by.append(np.concatenate([np.ones(len(gone)), -np.ones(len(come))]))
-    d = Rows(change, len(names), by)
-    w, b = np.zeros(len(names)), prior
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    w, b = np.zeros(width), prior
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x.times(w * scale) + b, -30, 30)))
         g = x.back((p - y) / len(y))
@@ -124,7 +136,7 @@ def fit(texts: list[set[str]], labels: np.ndarray, *, identity=IDENTITY, penalty
     return Model({n: float(x) for n, x in zip(names, w * scale, strict=True) if abs(x) > 1e-6}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, *, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 16_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, *, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 12_000, **options) -> Model:
     """Fit on labelled rows of `docs` for which `use` holds, `sample` at most.
 
     The drawn labels are bounded by `sample`, so they are broadcast to the texts; the texts stay
@@ -143,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, *, id:
 
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id")
     found = rows.select("__id", "__y", words("__text").alias("w")).toArrow().sort_by([("__id", "ascending"), ("__y", "ascending")])
-    return fit([set(w.as_py()) for w in found["w"]], found["__y"].to_numpy(), **options)
+    lists = found["w"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()  # words as numbers: the driver holds each word once
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return fit_codes(coded.indices.to_numpy().astype(np.int32), lengths, coded.dictionary.to_pylist(), found["__y"].to_numpy(), **options)
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
