@@ -45,14 +45,20 @@ def exposure_join(
         .withColumn("_by", spread(F.col("min_lat"), F.col("max_lat")))
         .withColumn("_bx", spread(F.col("min_lon"), F.col("max_lon")))
     )
-    keyed = (
-        parts.withColumn("_by", spread(F.least("lat1", "lat2"), F.greatest("lat1", "lat2")))
-        .withColumn("_bx", spread(F.least("lon1", "lon2"), F.greatest("lon1", "lon2")))
-    )
     touching = geo.segment_meets_box("lon1", "lat1", "lon2", "lat2")
-    # A long diagonal spans many buckets but crosses few: the same test drops the rest.
+    # Rows of buckets first, then in each row only the span of longitudes the segment has
+    # there: a long diagonal gets as many buckets as it crosses, not its bounding box.
     # The margin keeps a bucket whose edge was rounded; the exact test comes after.
     margin = 1e-9
+    rows = parts.withColumn("_by", spread(F.least("lat1", "lat2"), F.greatest("lat1", "lat2")))
+    slope = F.coalesce(F.try_divide(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")), F.lit(0.0))
+    at = lambda lat: F.col("lon1") + (lat - F.col("lat1")) * slope
+    south = at(F.greatest(F.col("_by") * bucket_deg - margin, F.least("lat1", "lat2")))
+    north = at(F.least((F.col("_by") + 1) * bucket_deg + margin, F.greatest("lat1", "lat2")))
+    flat = F.col("lat1") == F.col("lat2")
+    west = F.when(flat, F.least("lon1", "lon2")).otherwise(F.least(south, north)) - margin
+    east = F.when(flat, F.greatest("lon1", "lon2")).otherwise(F.greatest(south, north)) + margin
+    keyed = rows.withColumn("_bx", spread(west, east))
     edges = {
         "min_lat": F.col("_by") * bucket_deg - margin, "max_lat": (F.col("_by") + 1) * bucket_deg + margin,
         "min_lon": F.col("_bx") * bucket_deg - margin, "max_lon": (F.col("_bx") + 1) * bucket_deg + margin,
