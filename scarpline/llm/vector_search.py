@@ -7,6 +7,8 @@
 * How many leaves each query visits is calibrated: a bounded number of queries is answered by
   brute force over all rows, in blocks, and visits are widened until those queries find the
   aimed-at share of their true neighbours.
+* A query knows a floor, its k-th best score among a bounded part of the sample in the leaves
+  it visits. No cell answers below it, so what cells send on stays near what is kept.
 * Visited leaves meet their queries in cells of a bounded block of vectors and of queries, so
   neither a crowded leaf nor a large query set lands in one task. A cell is one matrix product.
 
@@ -105,24 +107,24 @@ class Tree:
 # ---------------------------------------------------------------- parts of the search
 
 
-def _best(scores: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller first id, in that order."""
-    if len(scores) > k:
-        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    else:
-        at = np.arange(len(scores))
+def _best(scores: np.ndarray, first: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """Places of the k highest scores not below the floor, ties to the smaller first id, in order."""
+    at = np.flatnonzero(scores >= floor)
+    if len(at) > k:
+        at = at[scores[at] >= np.partition(scores[at], -k)[-k]]
     return at[np.lexsort((first[at], -scores[at]))][:k]
 
 
-def _answers(qid: np.ndarray, q: np.ndarray, ids: list[list[int]], v: np.ndarray, k: int) -> pa.Table:
+def _answers(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: list[list[int]], v: np.ndarray, k: int) -> pa.Table:
     """For each query its k best (id, score) among some vectors, equal vectors id by id."""
     first = np.array([i[0] for i in ids], dtype=np.int64)
     out_q, out_v, out_s = [], [], []
     step = max(1, (1 << 22) // max(1, len(v)))
     for i in range(0, len(q), step):
-        for query, scores in zip(qid[i : i + step], q[i : i + step] @ v.T, strict=True):
+        part = slice(i, i + step)
+        for query, scores, least in zip(qid[part], q[part] @ v.T, floor[part], strict=True):
             left = k
-            for at in _best(scores, first, k):
+            for at in _best(scores, first, k, least):
                 own = ids[at][:left]
                 out_q += [query] * len(own)
                 out_v += own
@@ -133,6 +135,16 @@ def _answers(qid: np.ndarray, q: np.ndarray, ids: list[list[int]], v: np.ndarray
     return pa.table({"qid": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
 
+def floors(q: np.ndarray, visited: np.ndarray, some: np.ndarray, leaf: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k-th best answer cannot be below: its k-th best of some vectors
+    that live in leaves it visits, less what rounding may differ by."""
+    if len(some) < k or not len(q):
+        return np.full(len(q), -np.inf)
+    scores = np.where(visited[:, leaf], q @ some.T, -np.inf)
+    best = np.partition(scores, -k, axis=1)[:, -k]
+    return np.where(np.isfinite(best), best - 1e-9 * np.abs(best) - 1e-12, -np.inf)
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each qid; most are dropped before the shuffle."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
@@ -180,8 +192,11 @@ def search(
 
     part = lambda frame, most, of, by: frame.where(F.pmod(F.xxhash64(F.col(by), F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))).limit(2 * most)
     points = part(vectors.withColumn("first", F.col("ids")[0]), sample, n, "first").select("first", "v").toArrow().sort_by("first")
-    tree = Tree(matrix(points["v"]), max(1, min(n // leaf, sample // 32)))
+    fitted = matrix(points["v"])
+    tree = Tree(fitted, max(1, min(n // leaf, sample // 32)))
     shared = spark.sparkContext.broadcast(tree)
+    some = fitted[: sample // 2]
+    some = spark.sparkContext.broadcast((some, tree.place(some)))
 
     @F.arrow_udf("int")
     def place(v: pa.Array) -> pa.Array:
@@ -200,7 +215,7 @@ def search(
     def truth(batches):
         for batch in batches:
             if batch.num_rows:
-                yield from _answers(*trials.value, batch.column(1).to_pylist(), matrix(batch.column(0)), keep).to_batches()
+                yield from _answers(*trials.value, np.full(len(trials.value[0]), -np.inf), batch.column(1).to_pylist(), matrix(batch.column(0)), keep).to_batches()
 
     true = _top(placed.select("v", "ids").mapInArrow(truth, "qid bigint, vec_id bigint, score double"), keep)
     homes = placed.select(F.explode("ids").alias("vec_id"), "leaf").dropDuplicates(["vec_id"])
@@ -216,10 +231,11 @@ def search(
 
     sized = spark.sparkContext.broadcast(sizes)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<leaves:array<int>, floor:double>")
     def visit(v: pa.Array) -> pa.Array:
-        out = []
-        for q in matrix(v):
+        out, asks = [], matrix(v)
+        visited = np.zeros((len(asks), len(sized.value)), bool)
+        for row, q in enumerate(asks):
             own, held = [], 0
             for found in shared.value.visits(q):
                 if len(own) >= wide and held >= keep:
@@ -227,18 +243,21 @@ def search(
                 own.append(found)
                 held += int(sized.value[found])
             out.append(own)
-        return pa.array(out, pa.list_(pa.int32()))
+            visited[row, own] = True
+        parts = [floors(asks[i : i + 256], visited[i : i + 256], *some.value, keep) for i in range(0, len(asks), 256)] or [np.zeros(0)]
+        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(np.concatenate(parts))], ["leaves", "floor"])
 
     groups = -(-queries // (2 * block)) or 1
     blocks = F.array(*(F.lit(int(-(-s // block) or 1)) for s in sizes))
     left = placed.withColumn("b", F.pmod(F.xxhash64("ids"), blocks[F.col("leaf")]).cast("int")).select("leaf", "b", F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("g"), "v", "ids")
-    right = asked.select("qid", "v", F.explode(visit("v")).alias("leaf")).withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int"))
-    right = right.select("leaf", F.explode(F.sequence(F.lit(0), blocks[F.col("leaf")] - 1)).alias("b"), "g", "qid", "v")
+    planned = asked.withColumn("plan", visit("v")).select("qid", "v", "plan.floor", "plan.leaves")
+    right = planned.select("qid", "v", "floor", F.explode("leaves").alias("leaf")).withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int"))
+    right = right.select("leaf", F.explode(F.sequence(F.lit(0), blocks[F.col("leaf")] - 1)).alias("b"), "g", "qid", "floor", "v")
 
     def cell(vecs: pa.Table, qs: pa.Table) -> pa.Table:
         if not vecs.num_rows or not qs.num_rows:
-            return _answers(np.zeros(0, np.int64), np.zeros((0, 1)), [], np.zeros((0, 1)), keep)
-        return _answers(qs["qid"].to_numpy(), matrix(qs["v"]), vecs["ids"].to_pylist(), matrix(vecs["v"]), keep)
+            return _answers(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0), [], np.zeros((0, 1)), keep)
+        return _answers(qs["qid"].to_numpy(), matrix(qs["v"]), qs["floor"].to_numpy(), vecs["ids"].to_pylist(), matrix(vecs["v"]), keep)
 
     found = left.groupBy("leaf", "b", "g").cogroup(right.groupBy("leaf", "b", "g")).applyInArrow(cell, "qid bigint, vec_id bigint, score double")
     lists = _top(found, keep).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))  # k + 1 at most

@@ -66,6 +66,7 @@ def test_recall(spark):
         s = x @ x[np.flatnonzero(ids == r.query_id)[0]]
         best = [i for i in ids[np.argsort(-s, kind="stable")] if i != r.query_id][:20]
         hits += len(set(best) & set(r.got))
+    assert all(len(r.got) == 20 for r in found)
     assert len(found) == (ids % 20 == 0).sum() and hits >= 0.9 * 20 * len(found)
 
 
