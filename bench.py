@@ -23,7 +23,7 @@ HEADLINE = [
     "aoi_mean_precip", "antecedent_features", "event_rainfall_join", "probe_window_asof", "source_ladder",
     "complete_accumulation", "rainfall_trigger", "risk_fusion", "current_and_forecast_risk",
     "buffered_negatives", "exposure_join", "binary_metrics", "roc_auc", "average_precision",
-    "spatial_holdout", "grid_summary", "state_sweep", "fused_grid_overview", "training_matrix", "stream_accum",
+    "spatial_holdout", "grid_summary", "state_sweep", "fused_grid_overview", "training_matrix", "stream_accum", "stream_run_upgrade", "point_score", "grid_score",
 ]
 
 
