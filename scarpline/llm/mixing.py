@@ -160,7 +160,8 @@ def mix(
         "__members array<string>, __whole bigint, __k string, __s bigint, __r bigint",
     )
     upto_last = F.struct("__key", "size", "__row") <= F.struct(F.col("__k").alias("__key"), F.col("__s").alias("size"), F.col("__r").alias("__row"))
-    chosen = table.join(plan, "__members").withColumn("copies", F.col("__whole").cast("int") + (F.col("__k").isNotNull() & upto_last).cast("int"))
+    # One row per pattern, most_patterns at most: the documents stay where they are.
+    chosen = table.join(F.broadcast(plan), "__members").withColumn("copies", F.col("__whole").cast("int") + (F.col("__k").isNotNull() & upto_last).cast("int"))
     chosen = chosen.withColumn("taken", F.col("copies") * F.col("size"))
     out = chosen.select(*[c for c in df.columns if c not in ("size", "copies", "taken")], "size", "copies", "taken")
     totals = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source string, source_size bigint, target double")
