@@ -93,3 +93,20 @@ def test_query_is_native(spark, small):
     found = queries.QUERIES["op8_robust_quality"](spark, small)
     assert found.count() == spark.read.parquet(f"{small}/documents.parquet").count()
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())
+
+
+def test_repeats_alone_are_outliers_in_a_clean_source(spark):
+    """Texts with 30 to 49% repeated words and nothing else unusual, where no other text repeats."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.choice((4, 5, 6))))
+    clean = [(i, " ".join(word() for _ in range(rng.randint(100, 300)))) for i in range(400)]
+    odd = []
+    for k, share in enumerate((0.30, 0.35, 0.40, 0.45, 0.49)):
+        half = [word() for _ in range(int(100 * share))]
+        odd.append((1000 + k, " ".join([*half, *(word() for _ in range(200 - 2 * len(half))), *half])))
+    frame = spark.createDataFrame(clean + odd, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("a")})
+    rows = robust_quality.with_verdict(through_table(robust_quality.with_statistics(frame), "statistics")).collect()
+    found = [r for r in rows if r.doc_id >= 1000]
+    assert all(0.29 <= r.n_repeat_words / r.n_words <= 0.5 and not r.base_failed for r in found)
+    assert not any(r.kept for r in found)
+    assert sum(r.kept for r in rows if r.doc_id < 1000) >= 390
