@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from scarpline.session import through_table
 
 from .components import components
+from .similar import Groups, without_near_duplicates  # noqa: F401
 
 SEED = 42
 
@@ -171,24 +172,6 @@ class Tree:
 # ---------------------------------------------------------------- inside a task
 
 
-class Groups:
-    """Union-find over row numbers; dense blocks of pairs cost one pass of numpy each."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.root[a], self.root[b]
-            apart = x != y
-            if not apart.any():
-                return
-            hi, lo = np.maximum(x, y)[apart], np.minimum(x, y)[apart]
-            np.minimum.at(self.root, hi, lo)
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-
-
 def link_near(points: Points, members: np.ndarray, queries: np.ndarray, reach: Reach, groups: Groups) -> None:
     """Link each query row to every member row within reach: the tree, down to small sets."""
     rng = np.random.default_rng(SEED)
@@ -314,27 +297,3 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
     known = by_print.join(roots.join(least, "root").select("fp", "least"), "fp", "left")
     known = known.select("fp", F.coalesce("least", "low").alias("component_id"))
     return prints.join(known, "fp").select(F.col(id), F.col("fp").alias("fingerprint"), "component_id")
-
-
-def without_near_duplicates(
-    df: DataFrame, id: str = "doc_id", text: str = "text", words: tuple[int, ...] = (3, 5), radius: int = 21, ratio: float = 0.8, **options
-) -> DataFrame:
-    """The rows of `df` of which each component keeps one: that of the smallest id, of equal ids or
-    of none the first. Rows are written once with their fingerprints, so that each has a place.
-
-    Texts link when their fingerprints, of 64 bits for each shingle length of `words`, differ in
-    `radius` bits at most together, and the shorter has `ratio` of the longer's words at least.
-    Five-word shingles that share 0.8 of their union differ in about 10 of 64 bits and their
-    three-word shingles in 8; unrelated texts in 64 of 128, and in 21 never in practice.
-    """
-    lanes = [f"__fp{k}" for k in words]
-    table = df.withColumns({"__size": F.log(F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("double")), "__row": F.monotonically_increasing_id()})
-    for lane, k in zip(lanes, words, strict=True):
-        table = with_fingerprint(table, text, lane, k)
-    table = through_table(table, "rows")
-    at = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__row").alias("row"))
-    points = through_table(table.groupBy(*lanes, "__size").agg(F.min(at).alias("at")).select(*lanes, F.col("__size").alias("size"), "at", F.col("at.row").alias("node")), "points")
-    links = near_links(points.drop("at"), lanes, radius, float(-np.log(ratio)) + 1e-9, **options)
-    roots = through_table(components(links), "roots")
-    first = points.select("node", "at").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("at").alias("at"))
-    return table.join(first.select(F.col("at.row").alias("__row")), "__row", "left_semi").select(*df.columns)

@@ -93,3 +93,52 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(201), 0), 300: 300, 301: 300}
     assert components(edges.limit(0)).count() == 0
     assert components(edges.withColumn("u", F.col("v"))).count() == 0
+
+
+def test_stage_links_all_pairs_at_the_required_similarity(spark):
+    """Appended blocks, replaced passages and scattered edits at J 0.80 to 0.85, repeated passages
+    (same shingles), and pairs below the bound, against brute force."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for i in range(240):
+        w = [word() for _ in range(300)]
+        k = rng.randint(52, 80)
+        texts.append(w)
+        if i % 4 == 0:
+            texts.append(w + [word() for _ in range(k)])
+        elif i % 4 == 1:
+            at, k = rng.randrange(200), k // 2
+            texts.append(w[:at] + [word() for _ in range(k)] + w[at + k :])
+        elif i % 4 == 2:
+            cut = set(rng.sample(range(300), rng.randint(5, 8)))
+            texts.append([word() if j in cut else x for j, x in enumerate(w)])
+        else:
+            texts.append(w * 3)
+            texts.append(w * 4)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, min(a + 3, len(texts))) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert 200 < len(links)
+    roots = plain_roots(links, len(texts))
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in simhash.without_near_duplicates(rows).collect())
+    assert kept == sorted(set(roots))
+
+
+def test_hot_bucket_meets_in_blocks(spark):
+    """One large group of near copies, few of them neighbours, against all pairs."""
+    from scarpline.llm import similar
+
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = [[f"x{i}.{k}" if k in cut else w for k, w in enumerate(base)] for i in range(150) for cut in [set(rng.sample(range(150), rng.randint(2, 8)))]]
+    held = [similar.shingles(" ".join(w).encode()) for w in texts]
+    both = similar.overlaps(held, held)
+    sizes = np.array([len(h) for h in held])
+    assert all(both[a, b] == len(np.intersect1d(held[a], held[b])) for a in range(20) for b in range(20))
+    links = [(a, b) for a, b in np.argwhere(both >= 0.8 * (sizes[:, None] + sizes - both)) if a < b]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "node bigint, text string")
+    points = similar._with_sketch(rows, "text", 5).select("node", "__s.n", "__s.bands")
+    got = {r.node: r.root for r in similar.similar_roots(points, rows, 0.8, 5, block=20).collect()}
+    roots = plain_roots(links, len(texts))
+    assert got == {i: r for i, r in enumerate(roots) if roots.count(r) > 1}
