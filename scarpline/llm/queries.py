@@ -1,4 +1,14 @@
 """All registered queries of this package."""
 
-from . import q_language, q_mixing, q_near, q_pages, q_quality, q_tokens, q_toxicity, q_vectors  # noqa: F401
+from . import (  # noqa: F401
+    q_language,
+    q_mixing,
+    q_near,
+    q_packing,
+    q_pages,
+    q_quality,
+    q_tokens,
+    q_toxicity,
+    q_vectors,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
