@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     q_packing,
     q_pages,
     q_quality,
+    q_runs,
     q_tokens,
     q_toxicity,
     q_vectors,
