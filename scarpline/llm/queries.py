@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     q_language,
     q_mixing,
     q_near,
+    q_negatives,
     q_packing,
     q_pages,
     q_quality,
