@@ -29,7 +29,6 @@ library makes of them. Reruns over the same files give the same windows.
 from __future__ import annotations
 
 import json
-from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -39,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.operators.prefix import running_totals
-from scarpline.session import through_table
+from scarpline.session import scratch_path
 
 from .token_counts import PLAIN, byte_letters
 
 #: Penalties in ids of padding: a cut between sentences, inside a sentence, and any window.
 SENTENCE, INSIDE, OPENING = 1, 8, 4
-MEMO = 300_000
+#: The byte-level pre-tokenizer's own pattern.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STOPS = regex.compile(r"[.!?…。！？][\"'”’)\]]*$")
 
 
@@ -53,9 +53,15 @@ STOPS = regex.compile(r"[.!?…。！？][\"'”’)\]]*$")
 
 
 class Encoder:
-    """Texts -> little-endian ids, each distinct pre-token encoded once by the library."""
+    """Texts -> ids, as the library that owns the vocabulary file gives them.
+
+    Texts whose letters every version of Unicode cuts alike go through tiktoken over the same
+    vocabulary: with ids in the order of the merges, and each token made by its own merges,
+    merging the pair whose union has the least id is merging by rank. Others go to the library.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -63,38 +69,26 @@ class Encoder:
             spec = json.load(f)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        # The byte-level pre-tokenizer's own pattern.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.known: dict[str, bytes] = {}
         letters = {c: b for b, c in byte_letters().items()}
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.merged = tiktoken.Encoding("merged", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.stops, self.opens, self.breaks = (np.zeros(size, bool) for _ in range(3))
-        for token, i in self.library.get_vocab(with_added_tokens=False).items():
-            text = bytes(letters[c] for c in token if c in letters).decode("utf-8", "ignore")
+        for token, i in ranks.items():
+            text = token.decode("utf-8", "ignore")
             self.stops[i] = bool(STOPS.search(text))
             self.opens[i] = text[:1].isspace()
             self.breaks[i] = text.endswith("\n")
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def plain(self, text: str) -> bytes:
-        known, out = self.known, []
-        for word in self.words(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) > MEMO:
-                    known.clear()
-                ids = known[word] = self.encode(word)
-            out.append(ids)
-        return b"".join(out)
-
-    def ids(self, text: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ids(self, text: str) -> np.ndarray:
         if not PLAIN.fullmatch(text):
             return self.encode(text)
         if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        return b"".join(self.encode(part) if i % 2 else self.plain(part) for i, part in enumerate(self.special.split(text)))
+            return self.merged(text)
+        return np.concatenate([self.encode(part) if i % 2 else self.merged(part) for i, part in enumerate(self.special.split(text))])
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places after which a sentence or line of the text is over, its own end left out."""
@@ -108,6 +102,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def largest_id(path: str) -> int:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+
+
 # ---------------------------------------------------------------- the dynamic program
 
 
@@ -133,33 +133,43 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[in
     """The places at which the windows of least total cost end; the last place is one of them.
 
     `places` ascend from 1, no two neighbours further apart than a window."""
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    # Transitions of a power of two between two places, found for all places at once.
     starts = np.concatenate([[0], places])
-    unpadded: dict[int, list[int]] = {}
-    for power in powers:
-        at = np.searchsorted(starts, places - power)
-        for j in np.flatnonzero(starts[np.minimum(at, len(starts) - 1)] == places - power):
-            unpadded.setdefault(int(j) + 1, []).append(int(at[j]))
-    at, cost = starts.tolist(), [0, *penalty.tolist()]
-    cost = [c + OPENING for c in cost]
+    # Transitions of a power of two between two places, found for all places at once.
+    index = np.full(int(starts[-1]) + 1, -1, np.int32)
+    index[starts] = np.arange(len(starts))
+    after, before = [], []
+    for k in range(window.bit_length()):
+        from_ = np.searchsorted(starts, 1 << k)
+        found = index[starts[from_:] - (1 << k)]
+        after.append(from_ + np.flatnonzero(found >= 0))
+        before.append(found[found >= 0])
+    after, before = np.concatenate(after), np.concatenate(before)
+    order = np.argsort(after, kind="stable")
+    after, before = [*after[order].tolist(), -1], before[order].tolist()
+
+    at, cost = starts.tolist(), (penalty + OPENING).tolist()
     best, back = [0] * len(at), [0] * len(at)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best(i) + i, i), ascending in both
+    # The queue: keys best(i) + i and their i, both ascending, from `head` on.
+    keys, holds, head, edge = [0], [0], 0, 0
     for j in range(1, len(at)):
         here = at[j]
-        least = here - window
-        while at[queue[0][1]] < least:
-            queue.popleft()
-        value, i = queue[0]
-        value += window - here
-        for other in unpadded.get(j, ()):
-            if best[other] < value:
-                value, i = best[other], other
-        best[j], back[j] = value + cost[j], i
-        key = best[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while at[holds[head]] < here - window:
+            head += 1
+        i = holds[head]
+        value = keys[head] + window - here
+        while after[edge] == j:
+            if best[before[edge]] < value:
+                i = before[edge]
+                value = best[i]
+            edge += 1
+        value += cost[j - 1]
+        best[j], back[j] = value, i
+        value += here
+        while len(keys) > head and keys[-1] >= value:
+            keys.pop()
+            holds.pop()
+        keys.append(value)
+        holds.append(j)
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])
@@ -197,19 +207,24 @@ def pack(
     if window & (window - 1):
         raise ValueError("window must be a power of two")
 
+    kind = np.dtype("<u2" if max(end, largest_id(path)) < 1 << 16 else "<u4")
+
     @F.arrow_udf("struct<ids:binary, n:int, ends:array<int>>")
     def encoded(texts: pa.Array) -> pa.Array:
-        coder, close = encoder(path), np.array([end], "<u4").tobytes()
+        coder, close = encoder(path), np.array([end], np.uint32)
         ids, n, ends = [], [], []
         for x in texts:
-            raw = coder.ids(x.as_py() or "")
-            ids.append(raw + close)
-            n.append(len(raw) // 4 + 1)
-            ends.append(coder.sentence_ends(np.frombuffer(raw, "<u4")))
+            own = coder.ids(x.as_py() or "")
+            ids.append(np.concatenate([own, close]).astype(kind).tobytes())
+            n.append(len(own) + 1)
+            ends.append(np.diff(coder.sentence_ends(own), prepend=0))
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int32()), pa.array(ends, pa.list_(pa.int32()))], ["ids", "n", "ends"])
 
     docs = df.select(F.col(id).cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("key"), encoded(F.col(text)).alias("e"))
-    docs = through_table(docs.select("doc", "key", "e.*"), "encoded")
+    docs = docs.select("doc", "key", "e.*")
+    stored = scratch_path(df.sparkSession, "encoded")
+    docs.write.option("compression", "zstd").parquet(stored)
+    docs = df.sparkSession.read.schema(docs.schema).parquet(stored)
 
     # Where each document lies in the whole order. An id that very many rows share is dealt
     # over as many stretches as its rows fill.
@@ -226,7 +241,7 @@ def pack(
         n = group["n"].to_numpy().astype(np.int64)
         ends = group["ends"].combine_chunks()
         flat, at = ends.flatten().to_numpy().astype(np.int64), ends.offsets.to_numpy()
-        inner = np.split(flat, (at - at[0])[1:-1])
+        inner = [np.cumsum(gaps) for gaps in np.split(flat, (at - at[0])[1:-1])]
         doc, start, length, local, offset = pieces_of(n, choose_cuts(*places_to_cut(n, inner, window, stride), window))
         sequence = (int(group["stretch"][0].as_py()) << 32) + local
         each = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int32())], ["start", "length", "sequence_id", "offset"])
@@ -237,11 +252,13 @@ def pack(
 
     @F.arrow_udf("array<binary>")
     def sliced(ids: pa.Array, pieces: pa.Array) -> pa.Array:
-        out = []
-        for raw, own in zip(ids, pieces, strict=True):
-            raw = raw.as_buffer()
-            out.append([raw.slice(4 * p["start"], 4 * p["length"]).to_pybytes() for p in own.as_py()])
-        return pa.array(out, pa.list_(pa.binary()))
+        # A document's pieces follow one another, so all ids in a row are the parts in a row.
+        ends = np.cumsum(4 * pieces.flatten().field("length").to_numpy(zero_copy_only=False).astype(np.int64))
+        raw = np.frombuffer(b"".join(ids.to_pylist()), kind).astype("<u4")
+        borders = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, borders, pa.py_buffer(raw)])
+        offsets = pieces.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), parts).cast(pa.list_(pa.binary()))
 
     met = docs.select("doc", "key", "ids", "n").join(planned, "key")
     met = met.select("doc", "n", "pieces", sliced("ids", "pieces").alias("parts"))
