@@ -111,12 +111,12 @@ def largest_id(path: str) -> int:
 # ---------------------------------------------------------------- the dynamic program
 
 
-def places_to_cut(sizes: np.ndarray, ends: list[np.ndarray], window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a stretch of documents, ascending from 1, and the penalty of cutting there."""
+def places_to_cut(sizes: np.ndarray, inner: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a stretch of documents, ascending from 1, and the penalty of cutting there.
+
+    `inner` are the places between sentences, counted from the stretch's first id."""
     after = np.cumsum(sizes)
     total = int(after[-1])
-    inner = [e + b for e, b in zip(ends, after - sizes, strict=True) if len(e)]
-    inner = np.concatenate([np.zeros(0, np.int64), *inner])
     known = np.unique(np.concatenate([inner, after]))
     gaps = np.diff(known, prepend=0)
     long = np.flatnonzero(gaps > stride)
@@ -218,7 +218,9 @@ def pack(
             ids.append(np.concatenate([own, close]).astype(kind).tobytes())
             n.append(len(own) + 1)
             ends.append(np.diff(coder.sentence_ends(own), prepend=0))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int32()), pa.array(ends, pa.list_(pa.int32()))], ["ids", "n", "ends"])
+        offsets = np.cumsum([0, *map(len, ends)])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*ends, np.zeros(0, np.int64)]), pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int32()), lists], ["ids", "n", "ends"])
 
     docs = df.select(F.col(id).cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("key"), encoded(F.col(text)).alias("e"))
     docs = docs.select("doc", "key", "e.*")
@@ -240,8 +242,10 @@ def pack(
         group = group.sort_by([("place", "ascending"), ("key", "ascending")])
         n = group["n"].to_numpy().astype(np.int64)
         ends = group["ends"].combine_chunks()
-        flat, at = ends.flatten().to_numpy().astype(np.int64), ends.offsets.to_numpy()
-        inner = [np.cumsum(gaps) for gaps in np.split(flat, (at - at[0])[1:-1])]
+        # Distances between sentence ends, document by document -> places in the stretch.
+        at = ends.offsets.to_numpy() - ends.offsets[0].as_py()
+        run = np.concatenate([[0], np.cumsum(ends.flatten().to_numpy().astype(np.int64))])
+        inner = run[1:] + np.repeat(np.cumsum(n) - n - run[at[:-1]], np.diff(at))
         doc, start, length, local, offset = pieces_of(n, choose_cuts(*places_to_cut(n, inner, window, stride), window))
         sequence = (int(group["stretch"][0].as_py()) << 32) + local
         each = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int32())], ["start", "length", "sequence_id", "offset"])
