@@ -22,6 +22,18 @@ FEATURES_SHORT = ",".join(vocab.MODEL_FEATURES[:-2])
 FEATURES_STATIC = ",".join(vocab.STATIC_FEATURES)
 FEATURES_TWICE = ",".join(vocab.MODEL_FEATURES[:-1] + ["slope"])
 
+#: A usual size of each feature, in model order, for stored models.
+SCALES = (4500, 30, 360, 4500, 2000, 6, 900, 2700, 6300, 12600, 900)
+
+
+def feature_of(i: str) -> str:
+    return f"CASE {i} " + " ".join(f"WHEN {n} THEN '{f}'" for n, f in enumerate(vocab.MODEL_FEATURES)) + " END"
+
+
+def scale_of(i: str) -> str:
+    return f"CASE {i} " + " ".join(f"WHEN {n} THEN {v}e0" for n, v in enumerate(SCALES)) + " ELSE 1e0 END"
+
+
 VIEWS = {
     "fx_events": """
 WITH b AS (
@@ -113,6 +125,25 @@ SELECT c_custkey AS file_id,
  CASE WHEN c_custkey % 9 = 2 AND c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 9 = 4 AND c_custkey % 5 = 2 THEN 0
   WHEN c_custkey % 9 = 5 THEN c_custkey % 90 ELSE c_custkey % 4000 END AS length
 FROM {customer}""",
+    # The cells of five rasters, forty columns each, and their land cover.
+    "fx_cells": """
+SELECT CAST(o_orderkey % 5 AS INT) AS raster_id, CAST(FLOOR(o_orderkey/200e0) AS INT) AS row_idx, CAST(FLOOR((o_orderkey % 200)/5e0) AS INT) AS col_idx,
+ CASE WHEN o_orderkey % 211 = 0 THEN -9999e0 ELSE CAST((o_orderkey*37) % 100 AS DOUBLE)*45e0 END AS elevation FROM {orders}""",
+    "fx_covers": """
+SELECT CAST(o_orderkey % 5 AS INT) AS raster_id, CAST(FLOOR(o_orderkey/200e0) AS INT) AS row_idx, CAST(FLOOR((o_orderkey % 200)/5e0) AS INT) AS col_idx,
+ CAST(CASE o_orderkey % 17 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 20 WHEN 3 THEN 30 WHEN 4 THEN 40 WHEN 5 THEN 50 WHEN 6 THEN 60 WHEN 7 THEN 70 WHEN 8 THEN 80 WHEN 9 THEN 90 WHEN 10 THEN 95 WHEN 11 THEN 100 ELSE 10 END AS INT) AS code FROM {orders}""",
+    "fx_georef": """
+SELECT * FROM (VALUES (0, 'Sikkim', 88e0, 28.1e0, 0.0225e0, 1), (1, 'Assam', 91.3e0, 26.6e0, 0.06e0, 1), (2, 'Arunachal Pradesh', 92e0, 28e0, 0.0625e0, 1), (3, 'Meghalaya', 91e0, 26e0, 0.045e0, 1),
+ (4, CAST(NULL AS STRING), 88e0, 28.2e0, 0.17e0, 2)) AS t(raster_id, state, west, north, res, priority)""",
+    # Stored models: one tree of seven splits and eight leaves per supplier, and linear terms from the parts.
+    "fx_trees": " UNION ALL ".join(f"""
+SELECT CASE s_suppkey % 4 WHEN 0 THEN 'Sikkim' WHEN 1 THEN 'Assam' WHEN 2 THEN 'Meghalaya' ELSE 'Arunachal Pradesh' END AS key, s_suppkey AS tree, 1e0 AS weight, 'logistic' AS link, {n} AS node,
+ {feature_of(f'(s_suppkey*7 + {n}*3) % 11') if n < 7 else 'CAST(NULL AS STRING)'} AS feature, {f"CASE WHEN (s_suppkey*7 + {n}*3) % 11 <> 5 THEN CAST((s_suppkey*13 + {n}*29) % 100 AS DOUBLE)/1e2 * {scale_of(f'(s_suppkey*7 + {n}*3) % 11')} END" if n < 7 else 'CAST(NULL AS DOUBLE)'} AS cut,
+ {f"CASE WHEN (s_suppkey*7 + {n}*3) % 11 = 5 THEN CAST(CASE WHEN (s_suppkey + {n}) % 2 = 0 THEN 84 ELSE 42 END AS BIGINT) END" if n < 7 else 'CAST(NULL AS BIGINT)'} AS mask,
+ {2 * n + 1 if n < 7 else 'CAST(NULL AS INT)'} AS left, {2 * n + 2 if n < 7 else 'CAST(NULL AS INT)'} AS right, CAST((s_suppkey*31 + {n}*17) % 200 - 100 AS DOUBLE)/1e3 AS value, CAST(NULL AS BIGINT) AS samples FROM {{supplier}}""" for n in range(15)),
+    "fx_terms": f"""
+SELECT key, {feature_of('i')} AS feature, CAST(sum(p) AS DOUBLE)/count(*)/({scale_of('i')}*1e2) AS weight FROM (
+ SELECT CASE p_partkey % 4 WHEN 0 THEN 'Sikkim' WHEN 1 THEN 'Assam' WHEN 2 THEN 'Meghalaya' ELSE 'Arunachal Pradesh' END AS key, CAST(FLOOR(p_partkey/4e0) AS INT) % 12 AS i, (p_partkey*37) % 200 - 100 AS p FROM {{part}}) GROUP BY key, i""",
 }
 DEPENDS = {}
 

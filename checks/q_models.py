@@ -143,64 +143,3 @@ def train_baselines(fx):
     splits = {"spatial": matrix.spatial_holdout(data), "temporal": matrix.temporal_holdout(data, cutoff_year=1998)}
     splits = {n: through_table(s, f"split-{n}") for n, s in splits.items()}
     return models.train_baselines(data, splits, trees=TREES)
-
-
-def primary_model(fx):
-    """The boosted model, fitted by the query that scores with it."""
-    return models.fit(models.PRIMARY, training_table(fx), vocab.MODEL_FEATURES, TREES)
-
-
-def grid_inputs(fx):
-    return grid.cell_features(raster_box(fx), wide_table(fx), META, state_rain(fx), step=META.res)
-
-
-@query("grid_score")
-def grid_score(fx):
-    scored = models.grid_score(primary_model(fx), matrix.cast_features(grid_inputs(fx)))
-    return grid.with_classes(scored).select(
-        "state", "cell_id", "latitude", "longitude", "status", "susceptibility_probability", "risk_class", "exceeds_decision_threshold", "reasons"
-    )
-
-
-@query("point_score")
-def point_score(fx):
-    """Every event as a point: its state resolved, its own state's model applied."""
-    resolved = aoi.point_in_aoi(
-        fx.events.select("event_id", "latitude", "longitude"), fx.pilots.select("state", "min_lat", "max_lat", "min_lon", "max_lon"), fx.state_aliases, "event_id"
-    ).withColumnsRenamed({"status": "state_status", "reasons": "state_reasons"})
-    sampled = raster.raster_sample(resolved, wide_table(fx), META)
-    covered = raster.landcover_sample(sampled, fx.landcover, META)
-    wet = rainfall.aoi_rain_broadcast(covered, state_rain(fx))
-    why = F.concat(
-        "state_reasons", "reasons",
-        F.array_compact(F.array(F.when(F.col("land_cover_unavailable"), "land cover unavailable"))),
-        F.coalesce("rain_reasons", F.array(F.lit("no rainfall for this area"))),
-    )
-    ready = wet.withColumn("reasons", why).withColumn("status", F.when(F.size("reasons") == 0, "OK").otherwise("UNAVAILABLE"))
-    fitted = models.fit_by_state("Logistic Regression", training_table(fx), [b[0] for b in vocab.PILOT_BOXES], vocab.MODEL_FEATURES)
-    scored = models.point_score(fitted, matrix.cast_features(ready))
-    return grid.with_classes(scored).select("event_id", "state", "state_status", "status", "susceptibility_probability", "risk_class", "reasons")
-
-
-@query("feature_attribution")
-def feature_attribution(fx):
-    data = training_table(fx)
-    linear = models.fit("Logistic Regression", data, vocab.MODEL_FEATURES)
-    return models.feature_attribution(fx.spark, linear, data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("linear")).unionByName(
-        models.feature_attribution(fx.spark, primary_model(fx), data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("trees"))
-    ).unionByName(models.feature_attribution(fx.spark, None, data, vocab.MODEL_FEATURES).withColumn("kind", F.lit("none")))
-
-
-@query("scenario_compare")
-def scenario_compare(fx):
-    """Low and high rain over the same cells: what moved, and that nothing else did."""
-    cells = matrix.cast_features(models.scenario_cells(grid_inputs(fx)))
-    scored = models.grid_score(primary_model(fx), cells)
-    summary = grid.grid_summary(scored, ["scenario"])
-    static = [c for c in ("cell_id", "status", *vocab.STATIC_FEATURES)]
-    part = lambda n: scored.where(F.col("scenario") == n).select(*static)
-    moved_static = documents.rows_that_differ(part("low"), part("high")).agg(F.count("*")).scalar()
-    means = summary.agg(F.count_distinct("mean_probability", "max_probability")).scalar()
-    return summary.withColumns({"static_rows_that_differ": moved_static, "output_moved": means > 1})
-
-

@@ -145,6 +145,7 @@ def segment_meets_box(x1, y1, x2, y2) -> Column:
     return F.greatest(x_in, y_in, F.lit(0.0)) <= F.least(x_out, y_out, F.lit(1.0))
 
 
-def mean_cell_metres(res_deg: float, mean_lat: Column) -> Column:
+def mean_cell_metres(res_deg: float | Column, mean_lat: Column) -> Column:
     """Ground size of a raster cell at a mean latitude."""
-    return F.lit(abs(res_deg) * vocab.METRES_PER_DEGREE) * F.cos(F.radians(mean_lat))
+    side = F.abs(res_deg) * vocab.METRES_PER_DEGREE if isinstance(res_deg, Column) else F.lit(abs(res_deg) * vocab.METRES_PER_DEGREE)
+    return side * F.cos(F.radians(mean_lat))

@@ -9,18 +9,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
+from ..session import scratch_root
 from . import evaluate, matrix
 
 SEED = 42
 PRIMARY = "Gradient Boosting"
 MODELS = ("Logistic Regression", "Random Forest", PRIMARY)
 CATEGORY = "_land_cover_index"
+CATEGORY_BASE = 1  # the class of index 0
 
 
 def _with_category(df: DataFrame, classes=tuple(sorted(vocab.LAND_COVER_GROUP_LABELS))) -> DataFrame:
     """Land cover as a nominal column over its whole vocabulary, known without a pass."""
     attribute = {"ml_attr": {"type": "nominal", "vals": [str(c) for c in classes], "name": CATEGORY}}
-    index = (F.col(vocab.LAND_COVER_FEATURE) - 1).cast("double")
+    index = (F.col(vocab.LAND_COVER_FEATURE) - CATEGORY_BASE).cast("double")
     return df.withColumn(CATEGORY, index.alias(CATEGORY, metadata=attribute))
 
 
@@ -35,14 +37,17 @@ def build(name: str, features: list[str], trees: int = 100, seed: int = SEED) ->
     elif name == "Random Forest":
         stages.append(RandomForestClassifier(numTrees=trees, seed=seed, **common))
     elif name == PRIMARY:
-        # A checkpoint interval needs a checkpoint folder; the iterations are few.
-        stages.append(GBTClassifier(maxIter=trees, seed=seed, checkpointInterval=-1, **common))
+        # Every tenth round is checkpointed, so a lost executor replays ten rounds, not all.
+        stages.append(GBTClassifier(maxIter=trees, seed=seed, checkpointInterval=10, **common))
     else:
         raise ValueError(f"unknown model {name!r}")
     return Pipeline(stages=stages)
 
 
 def fit(name: str, train: DataFrame, features: list[str], trees: int = 100) -> PipelineModel:
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # a cluster has named its own
+        context.setCheckpointDir(scratch_root(train.sparkSession))
     return build(name, features, trees).fit(_with_category(train))
 
 
@@ -166,13 +171,14 @@ def feature_attribution(
 
 
 SCENARIOS = (("low", 1.0), ("high", 90.0))
+#: How many days of a constant daily amount each rainfall feature sums.
+SCENARIO_DAYS = {"rain_1d": 1, "rain_3d": 3, "rain_7d": 7, "antecedent_rain_14d": 14, "rain_intensity_max_3d": 1}
 
 
 def scenario_cells(cells: DataFrame, scenarios=SCENARIOS) -> DataFrame:
     """Every cell once per rainfall scenario: constant daily mm for the whole window."""
     rows = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(mm).alias("daily_mm")) for n, mm in scenarios])
-    days = {"rain_1d": 1, "rain_3d": 3, "rain_7d": 7, "antecedent_rain_14d": 14, "rain_intensity_max_3d": 1}
     kept = [c for c in cells.columns if c not in vocab.RAIN_FEATURES]
     return cells.select(*kept, F.inline(rows)).withColumns(
-        {n: F.col("daily_mm") * k for n, k in days.items()}
+        {n: F.col("daily_mm") * k for n, k in SCENARIO_DAYS.items()}
     )

@@ -63,9 +63,12 @@ def crop(cells: DataFrame, meta: RasterMeta, box: dict) -> DataFrame:
     return cells.where(F.col("row_idx").between(r0, r1) & F.col("col_idx").between(c0, c1))
 
 
-def dem_mosaic(tiles: DataFrame, value: str = "elevation", order: str = "tile_order") -> DataFrame:
-    """Merge overlapping tiles, the first tile winning per cell. Crop before merging."""
-    return tiles.groupBy("row_idx", "col_idx").agg(F.min_by(value, order).alias(value))
+def dem_mosaic(tiles: DataFrame, value: str = "elevation", order: str = "tile_order", by: tuple[str, ...] = ()) -> DataFrame:
+    """Merge overlapping tiles, the first tile winning per cell. Crop before merging.
+
+    `by` names the columns that tell rasters apart, each with an index of its own.
+    """
+    return tiles.groupBy(*by, "row_idx", "col_idx").agg(F.min_by(value, order).alias(value))
 
 
 def landcover_mosaic(tiles: DataFrame, order: str = "tile_order") -> DataFrame:
@@ -76,17 +79,26 @@ def landcover_mosaic(tiles: DataFrame, order: str = "tile_order") -> DataFrame:
     return tiles.groupBy("row_idx", "col_idx").agg(F.min_by("code", rank).alias("code"))
 
 
-def extent(cells: DataFrame) -> Column:
-    """First and last row and column of a cell table: one scan, one row, one value."""
+def _ends() -> Column:
     ends = {
         f"{end}_{axis}": of(f"{axis}_idx")
         for end, of in (("first", F.min), ("last", F.max)) for axis in ("row", "col")
     }
-    return cells.agg(F.struct(*[v.alias(k) for k, v in ends.items()])).scalar()
+    return F.struct(*[v.alias(k) for k, v in ends.items()])
+
+
+def extent(cells: DataFrame) -> Column:
+    """First and last row and column of a cell table: one scan, one row, one value."""
+    return cells.agg(_ends()).scalar()
+
+
+def extents(cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The same of every raster in a cell table: one row per raster, in column `extent`."""
+    return cells.groupBy(*by).agg(_ends().alias("extent"))
 
 
 def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK,
-                  nodata: float = vocab.NODATA) -> DataFrame:
+                  nodata: float = vocab.NODATA, by: tuple[str, ...] = ()) -> DataFrame:
     """Each cell with its 3x3 values nw..se; the raster's own border replicates.
 
     The border is the first and last row and column of the table. Beyond it a cell
@@ -94,9 +106,9 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
     result does not depend on `block`. Cells are cut into square blocks and only block
     borders are copied to the next block, so one shuffle by block serves both window
     passes and no group exceeds (block+2)^2 cells. `complete` is false when any of the
-    nine is nodata or absent.
+    nine is nodata or absent. `by` names the columns that tell rasters apart: each then
+    has its own border, and all of them share the one shuffle.
     """
-    border = extent(cells)
 
     def homes(c):
         # The blocks that need this cell: its own, and a neighbour's if on the border.
@@ -105,13 +117,18 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
         far = F.floor((F.col(c) + 1) / block)
         return F.array_distinct(F.array(own, near, far))
 
-    masked = cells.select("row_idx", "col_idx", mask_nodata(value, nodata).alias("z"))
+    masked = cells.select(*by, "row_idx", "col_idx", mask_nodata(value, nodata).alias("z"))
+    if by:  # one row per raster
+        masked, border = masked.join(extents(cells, by), list(by)), F.col("extent")
+        by = (*by, "extent")
+    else:
+        border = extent(cells)
     blocked = (
         masked.withColumn("_br", F.explode(homes("row_idx")))
         .withColumn("_bc", F.explode(homes("col_idx")))
-        .repartition("_br", "_bc")
+        .repartition(*by[:-1], "_br", "_bc")
     )
-    in_row = Window.partitionBy("_br", "_bc", "row_idx").orderBy("col_idx")
+    in_row = Window.partitionBy(*by[:-1], "_br", "_bc", "row_idx").orderBy("col_idx")
     here = F.struct(F.col("col_idx").alias("i"), F.col("z").alias("z"))
     step = blocked.withColumns({
         "_w": F.lag(here).over(in_row), "_e": F.lead(here).over(in_row)
@@ -123,7 +140,7 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
         return F.when(F.col("col_idx") == border[edge], F.col("z")).when(found, F.col(f"{neighbour}.z"))
 
     band = step.select(
-        "_br", "_bc", "row_idx", "col_idx", "z",
+        *by, "_br", "_bc", "row_idx", "col_idx", "z",
         F.struct(
             F.col("row_idx").alias("i"),
             beside("_w", "first_col", -1).alias("w"),
@@ -131,7 +148,7 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
             beside("_e", "last_col", 1).alias("e"),
         ).alias("band"),
     )
-    in_col = Window.partitionBy("_br", "_bc", "col_idx").orderBy("row_idx")
+    in_col = Window.partitionBy(*by[:-1], "_br", "_bc", "col_idx").orderBy("row_idx")
     nine = band.withColumns({
         "_n": F.lag("band").over(in_col), "_s": F.lead("band").over(in_col)
     })
@@ -146,7 +163,7 @@ def neighbourhood(cells: DataFrame, value: str = "elevation", block: int = BLOCK
         F.col("_bc") == F.floor(F.col("col_idx") / block)
     )
     out = nine.where(own_block).select(
-        "row_idx", "col_idx", F.col("z").alias(value),
+        *by[:-1], "row_idx", "col_idx", F.col("z").alias(value),
         *[above_below("_n", "first_row", -1, p).alias(f"n{p}") for p in "wce"],
         *[F.col(f"band.{p}").alias(f"c{p}") for p in "wce"],
         *[above_below("_s", "last_row", 1, p).alias(f"s{p}") for p in "wce"],

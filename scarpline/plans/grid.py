@@ -8,7 +8,7 @@ from .. import vocab
 from ..functions import landcover, risk
 from ..functions.numbers import is_finite, rounded
 from ..operators import aoi as aoi_ops
-from ..operators import rainfall, raster
+from ..operators import rainfall, raster, rasters
 
 
 def cell_features(boxes: DataFrame, wide: DataFrame, meta: raster.RasterMeta, rain: DataFrame,
@@ -21,14 +21,58 @@ def cell_features(boxes: DataFrame, wide: DataFrame, meta: raster.RasterMeta, ra
     sampled = raster.raster_sample(cells, wide, meta)
     sampled = sampled.withColumn(vocab.LAND_COVER_FEATURE, landcover.proxy_class("elevation"))
     joined = rainfall.aoi_rain_broadcast(sampled, rain, "state")
-    rain_ok = F.coalesce(F.col("rain_status") == "REAL", F.lit(False))
-    no_rain = F.when(~rain_ok, F.coalesce(F.nullif(F.array_join("rain_reasons", "; "), F.lit("")), F.lit("no rainfall for this area")))
-    why = F.array_compact(F.concat("reasons", F.array(no_rain)))
+    why = F.array_compact(F.concat("reasons", F.array(no_rain())))
     return joined.withColumn("reasons", why).withColumn(
         "status", F.when(F.size("reasons") == 0, "OK").otherwise("UNAVAILABLE")
     ).drop("rain_status", "rain_reasons")
 
 
+def area_features(boxes: DataFrame, wide: DataFrame, cover: DataFrame, georef: DataFrame, rain: DataFrame,
+                  step: float = 0.05, proxied: tuple[str, ...] = ("Sikkim",)) -> DataFrame:
+    """The grid cells of every area in one plan, each with its 11 features, or UNAVAILABLE and why.
+
+    wide, cover and georef: the terrain and land-cover cells of many rasters and where they lie;
+    rain: one row per state. Land cover is sampled from its rasters; only the areas in `proxied`,
+    whose model was trained so, take the elevation's stand-in. `cell` is unique over all areas.
+    """
+    cells = aoi_ops.grid_build(boxes, step).withColumn("cell", F.concat_ws("/", "state", "cell_id"))
+    sampled = rasters.sample(cells, "cell", wide, georef)
+    covered = rasters.landcover(sampled, "cell", cover, georef)
+    stand_in = F.col("state").isin(*proxied)
+    known = F.when(stand_in, landcover.proxy_class("elevation")).otherwise(
+        F.nullif(vocab.LAND_COVER_FEATURE, F.lit(vocab.LAND_COVER_UNAVAILABLE)))
+    joined = rainfall.aoi_rain_broadcast(covered.withColumn(vocab.LAND_COVER_FEATURE, known), rain, "state")
+    why = F.array_compact(F.concat(
+        "reasons",
+        F.array(F.when(~stand_in & F.col(vocab.LAND_COVER_FEATURE).isNull(), "land cover unavailable")),
+        F.array(no_rain()),
+    ))
+    return joined.withColumn("reasons", why).withColumn(
+        "status", F.when(F.size("reasons") == 0, "OK").otherwise("UNAVAILABLE")
+    ).drop("rain_status", "rain_reasons", "land_cover_unavailable")
+
+
+def point_features(points: DataFrame, key: str, wide: DataFrame, cover: DataFrame, georef: DataFrame, rain: DataFrame) -> DataFrame:
+    """Resolved points (state, state_reasons) with their 11 features, or UNAVAILABLE and why."""
+    sampled = rasters.sample(points, key, wide, georef)
+    covered = rasters.landcover(sampled, key, cover, georef)
+    joined = rainfall.aoi_rain_broadcast(covered, rain, "state")
+    known = F.nullif(vocab.LAND_COVER_FEATURE, F.lit(vocab.LAND_COVER_UNAVAILABLE))
+    why = F.array_compact(F.concat(
+        "state_reasons", "reasons",
+        F.array(F.when(F.col("land_cover_unavailable"), "land cover unavailable")), F.array(no_rain()),
+    ))
+    return joined.withColumns({"reasons": why, vocab.LAND_COVER_FEATURE: known}).withColumn(
+        "status", F.when(F.size("reasons") == 0, "OK").otherwise("UNAVAILABLE")
+    ).drop("rain_status", "rain_reasons", "land_cover_unavailable")
+
+
+def no_rain() -> Column:
+    """Why an area's rainfall cannot be used; null when it can."""
+    ok = F.coalesce(F.col("rain_status") == "REAL", F.lit(False))
+    return F.when(~ok, F.coalesce(F.nullif(F.array_join("rain_reasons", "; "), F.lit("")), F.lit("no rainfall for this area")))
+
+
 def with_classes(df: DataFrame, probability: str = "probability") -> DataFrame:
     """Rounded probability, class and threshold flag for OK rows; nulls otherwise."""
     p = F.when(F.col("status") == "OK", F.col(probability))

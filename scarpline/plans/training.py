@@ -7,7 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
-from ..operators import matrix, rainfall, raster
+from ..operators import matrix, rainfall, raster, rasters
+
+
+def labelled_points(positives: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Positives and their buffered negatives: sample_id, state, seed, place, date, target."""
+    pos = positives.select(
+        F.concat_ws("-", F.lit("p"), "state", F.col("event_id").cast("string")).alias("sample_id"), "state",
+        F.col("event_id").alias("seed"), "latitude", "longitude", "event_date",
+    )
+    neg = matrix.buffered_negatives(positives, boxes).select(
+        F.concat_ws("-", F.lit("n"), "state", F.col("positive_id").cast("string"), F.col("attempt").cast("string")).alias("sample_id"), "state",
+        (F.col("positive_id") + F.col("attempt")).alias("seed"), "latitude", "longitude", "event_date",
+    )
+    return matrix.pos_neg_union(pos, neg)
+
+
+def area_matrix(
+    positives: DataFrame, boxes: DataFrame, wide: DataFrame, cover: DataFrame, georef: DataFrame,
+    daily: DataFrame, rain_key: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The training matrix with terrain and land cover from many rasters, all states in one plan."""
+    samples = rain_key(labelled_points(positives, boxes))
+    placed = rasters.sample(samples, "sample_id", wide, georef).withColumnsRenamed(
+        {"status": "terrain_status", "reasons": "terrain_reasons"}
+    )
+    covered = rasters.landcover(placed, "sample_id", cover, georef)
+    full = rainfall.event_rainfall_join(covered, daily)
+    return matrix.cast_features(full).select(
+        "sample_id", "state", "target", "latitude", "longitude", "event_date", *vocab.MODEL_FEATURES,
+        "terrain_status", "rain_status",
+    )
 
 
 def training_matrix(
@@ -21,15 +51,7 @@ def training_matrix(
     rain_key adds cell_id and target_day. Rows with masked terrain stay. With strict, a single incomplete rainfall
     window stops the job that reads the matrix; otherwise such rows carry their status.
     """
-    pos = positives.select(
-        F.concat_ws("-", F.lit("p"), "state", F.col("event_id").cast("string")).alias("sample_id"), "state",
-        F.col("event_id").alias("seed"), "latitude", "longitude", "event_date",
-    )
-    neg = matrix.buffered_negatives(positives, boxes).select(
-        F.concat_ws("-", F.lit("n"), "state", F.col("positive_id").cast("string"), F.col("attempt").cast("string")).alias("sample_id"), "state",
-        (F.col("positive_id") + F.col("attempt")).alias("seed"), "latitude", "longitude", "event_date",
-    )
-    samples = rain_key(matrix.pos_neg_union(pos, neg))
+    samples = rain_key(labelled_points(positives, boxes))
     placed = raster.raster_sample(samples, wide, meta).withColumnsRenamed(
         {"status": "terrain_status", "reasons": "terrain_reasons"}
     )
