@@ -29,7 +29,7 @@ library makes of them. Reruns over the same files give the same windows.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,10 @@ from .token_counts import PLAIN, byte_letters
 
 #: Penalties in ids of padding: a cut between sentences, inside a sentence, and any window.
 SENTENCE, INSIDE, OPENING = 1, 8, 4
-#: The byte-level pre-tokenizer's own pattern.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The byte-level pre-tokenizer's own pattern, less its one look-ahead: a run of white space ends
+#: before its last character where a word follows. Texts are cut there beforehand, if ever.
+PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+LONG_WHITE, BEFORE_ITS_LAST = regex.compile(r"\s\s"), regex.compile(r"(?V1)(?<=\s)(?=\s\S)")
 STOPS = regex.compile(r"[.!?…。！？][\"'”’)\]]*$")
 
 
@@ -62,17 +64,16 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         letters = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.merged = tiktoken.Encoding("merged", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.cut_and_merged = tiktoken.Encoding("merged", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        size = 1 + max([*ranks.values(), *(t["id"] for t in spec["added_tokens"])])
         self.stops, self.opens, self.breaks = (np.zeros(size, bool) for _ in range(3))
         for token, i in ranks.items():
             text = token.decode("utf-8", "ignore")
@@ -80,6 +81,17 @@ class Encoder:
             self.opens[i] = text[:1].isspace()
             self.breaks[i] = text.endswith("\n")
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def merged(self, text: str) -> np.ndarray:
+        if not LONG_WHITE.search(text):
+            return self.cut_and_merged(text)
+        return np.concatenate([self.cut_and_merged(part) for part in BEFORE_ITS_LAST.split(text)])
+
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
