@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from scarpline import vocab
-from scarpline.operators import aoi, ensembles, matrix, raster, rasters
-from scarpline.plans import grid, training
-from scarpline.session import through_table
+from scarpline.operators import aoi, catalog, ensembles, matrix, models, raster, rasters
+from scarpline.plans import grid, model_runs, training
+from scarpline.session import scratch_path, through_table
 
 from . import q_matrix, q_models, q_rain
 from .fixtures import oracle, rnd
@@ -13,6 +13,7 @@ from .q_raster import FULL, GROUP, NINE_NAMES, TPI, ROUGH, SLOPE, ASPECT, r6
 from .registry import query
 
 STEP = 0.05  # degrees of a grid cell
+REFIT_TREES = 20  # rounds of the models that are fitted twice only to be compared
 
 
 # --- terrain, places and samples over many rasters ---------------------------------------------
@@ -243,5 +244,63 @@ def scenario_compare(fx):
 
 # --- training over all areas ----------------------------------------------------------------------
 
+CUTOFF = 1995  # the last training year of the temporal holdout
+
+
 def labelled(fx):
-    return training.area_matrix(q_matrix.positives(fx), fx.pilots, terrain_table(fx), fx.covers, fx.georef, fx.rain_daily, q_models.rain_key)
+    """The complete rows of the training matrix of every state, written once."""
+    rows = training.area_matrix(q_matrix.positives(fx), fx.pilots, terrain_table(fx), fx.covers, fx.georef, fx.rain_daily, q_models.rain_key)
+    ready = models.clean_for_training(rows).withColumn("event_date", catalog.parse_date("event_date"))
+    return through_table(ready.select("sample_id", "state", "target", "latitude", "event_date", *vocab.MODEL_FEATURES), "labelled")
+
+
+KEYED = "SELECT *, sample_id AS key, CAST(seed % 30 AS INT) AS cell_id, DATE '2024-01-15' + CAST(seed % 14 AS INT) AS target_day FROM samples"
+LABELLED = f"""
+SELECT p.sample_id, p.state, p.target, p.latitude, p.event_date, {', '.join(f"CASE WHEN b.ok THEN b.{n} END AS {n}" for n in NAMES)}, coalesce(l.grp, -1) AS land_cover_class, w.rain_1d
+FROM pts p JOIN bt b ON b.key = p.key JOIN bl l ON l.key = p.key JOIN w ON w.cell_id = p.cell_id AND w.target_day = p.target_day WHERE b.ok AND l.grp <> -1 AND w.rain_status = 'REAL'"""
+LABELLED_CTES = dict(**q_matrix.NEGATIVE_CTES, **TERRAINS, samples=q_models.SAMPLES, pts=KEYED, **sampled_ctes("pts"), w=q_rain.window_sql("pts"), m=LABELLED)
+
+
+@query("labelled_areas", oracle("""
+SELECT sample_id, state, CAST(target AS BIGINT) AS target, latitude, CAST(elevation AS FLOAT) AS elevation, CAST(slope AS FLOAT) AS slope, CAST(roughness AS FLOAT) AS roughness, CAST(land_cover_class AS INT) AS land_cover_class, CAST(rain_1d AS FLOAT) AS rain_1d FROM m""", *AREA_VIEWS, "fx_rain_daily", **LABELLED_CTES))
+def labelled_areas(fx):
+    """What the models of all states learn from: complete rows, terrain from many rasters."""
+    return labelled(fx).select("sample_id", "state", "target", "latitude", "elevation", "slope", "roughness", "land_cover_class", "rain_1d")
+
+
+@query("train_baselines")
+def train_baselines(fx):
+    """Metrics of three models on two feature sets and two holdouts, for every state."""
+    splits = model_runs.holdouts(labelled(fx), CUTOFF)
+    return model_runs.metrics_frame(fx.spark, model_runs.baselines(splits, q_models.TREES))
+
+
+@query("refit_consistency", oracle(f"""
+SELECT r.state, '{models.PRIMARY}' AS model, 'temporal / static+rain' AS primary_evaluation, r.samples, r.positives, {rnd('l.low', 6)} AS pct_low_accuracy, l.dates AS independent_events, 11 AS n_features, true AS measured, true AS scored_alike FROM (
+ SELECT state, count(*) AS samples, count(*) FILTER (WHERE target = 1) AS positives, count(DISTINCT target) FILTER (WHERE y <= {CUTOFF}) + count(DISTINCT target) FILTER (WHERE y > {CUTOFF}) AS sides FROM (SELECT *, year(CAST(event_date AS DATE)) AS y FROM m) GROUP BY state) r
+JOIN (SELECT state, count(*) FILTER (WHERE event_id % 3 = 0) * 100e0 / count(*) AS low, count(DISTINCT CAST(event_date AS DATE)) AS dates FROM pos GROUP BY state) l USING (state) WHERE r.sides = 4""", *AREA_VIEWS, "fx_rain_daily", **LABELLED_CTES))
+def refit_consistency(fx):
+    """Train, decide, refit, save, reload and record; then score by the saved models' node table.
+
+    A record exists only where the reloaded refit reproduced the reported numbers, so the row of
+    every state that can be trained says that its model did. The models are the primary ones.
+    """
+    data = labelled(fx)
+    positives = q_matrix.positives(fx).withColumn("low_accuracy", F.col("event_id") % 3 == 0)
+    sets = {model_runs.PRIMARY_SET: vocab.MODEL_FEATURES}
+    _, saved, records = model_runs.train_decide_record(
+        data, positives, scratch_path(fx.spark, "records"), None, CUTOFF, REFIT_TREES, names=(models.PRIMARY,), sets=sets)
+    stored = data.where("false").withColumns({"direct": F.lit(None).cast("double"), "stored": F.lit(None).cast("double")})
+    direct = stored.drop("stored")
+    for state, folder in sorted(saved.items()):  # the table against the model itself, state by state
+        direct = direct.unionByName(models.score(ensembles.load(folder), data.where(F.col("state") == state), "direct").select(direct.columns))
+    both = stored
+    if saved:
+        nodes = through_table(ensembles.node_table(fx.spark, saved, vocab.MODEL_FEATURES), "nodes")
+        both = direct.withColumn("stored", ensembles.probability(fx.spark, nodes, "state", vocab.MODEL_FEATURES))
+    worst = both.groupBy("state").agg((F.max(F.abs(F.col("stored") - F.col("direct"))) < 1e-9).alias("scored_alike"))
+    measured = F.col("pr_auc").between(0, 1) & F.col("roc_auc").between(0, 1) & F.col("final_recommendation").isNotNull()
+    return records.join(worst, "state").select(
+        "state", "model", "primary_evaluation", "samples", "positives", (F.rint(F.col("pct_low_accuracy") * 1e6) / 1e6).alias("pct_low_accuracy"),
+        "independent_events", "n_features", measured.alias("measured"), "scored_alike",
+    )

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from scarpline import vocab
-from scarpline.operators import aoi, matrix, models, rainfall, raster
-from scarpline.plans import flagship, grid, training
+from scarpline.operators import rainfall
+from scarpline.plans import flagship, training
 from scarpline.session import scratch_path, through_table
 from scarpline.sources import documents
 
@@ -117,29 +117,3 @@ FROM f GROUP BY status, warning_level""", "fx_dem", "fx_rain_daily", **q_raster.
 def fused_grid_overview(fx):
     """The flagship question over the whole raster."""
     return flagship.risk_overview(fused(fx))
-
-
-# --- models -------------------------------------------------------------------------------------
-
-def training_table(fx):
-    """Labelled rows for the fits, written once: the orders as samples on the raster.
-
-    Every order is a point on the raster (wrapped into its extent) with the rainfall of
-    its cell, labelled by its status; rows without complete inputs are dropped.
-    """
-    points = fx.sql("""SELECT CAST(o_orderkey AS STRING) AS sample_id, o_orderkey AS seed, 28.1e0 - CAST((o_orderkey*7919) % 780 AS DOUBLE)/1e3 - 0.01e0 AS latitude, 88e0 + CAST((o_orderkey*104729) % 990 AS DOUBLE)/1e3 AS longitude,
-      CAST(o_orderdate AS TIMESTAMP_NTZ) AS event_date, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS target,
-      CASE o_orderkey % 4 WHEN 0 THEN 'Sikkim' WHEN 1 THEN 'Assam' WHEN 2 THEN 'Meghalaya' ELSE 'Arunachal Pradesh' END AS state FROM {orders}""")
-    placed = raster.raster_sample(rain_key(points), wide_table(fx), META).drop("status", "reasons")
-    covered = raster.landcover_sample(placed, fx.landcover, META)
-    full = rainfall.event_rainfall_join(covered, fx.rain_daily)
-    ready = models.clean_for_training(matrix.cast_features(full))
-    return through_table(ready.select("sample_id", "state", "target", "latitude", "event_date", *vocab.MODEL_FEATURES), "training")
-
-
-@query("train_baselines")
-def train_baselines(fx):
-    data = training_table(fx)
-    splits = {"spatial": matrix.spatial_holdout(data), "temporal": matrix.temporal_holdout(data, cutoff_year=1998)}
-    splits = {n: through_table(s, f"split-{n}") for n, s in splits.items()}
-    return models.train_baselines(data, splits, trees=TREES)

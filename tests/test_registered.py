@@ -20,9 +20,7 @@ def test_agrees_with_sql(spark, small, con, key):
 
 
 def test_only_fitted_models_lack_sql():
-    assert ROWS_ONLY == [
-        "feature_attribution", "grid_score", "point_score", "scenario_compare", "train_baselines",
-    ]
+    assert ROWS_ONLY == ["train_baselines"]
 
 
 def test_entry_points(spark, small):
