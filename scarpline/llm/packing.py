@@ -129,15 +129,18 @@ def places_to_cut(sizes: np.ndarray, inner: np.ndarray, window: int, stride: int
     `inner` are the places between sentences, counted from the stretch's first id."""
     after = np.cumsum(sizes)
     total = int(after[-1])
-    known = np.unique(np.concatenate([inner, after]))
+    cost = np.full(total + 1, INSIDE, np.int8)
+    cost[inner] = SENTENCE
+    cost[after] = 0
+    cut = cost < INSIDE
+    known = np.flatnonzero(cut)
     gaps = np.diff(known, prepend=0)
-    long = np.flatnonzero(gaps > stride)
-    fill = [np.arange(known[i] - gaps[i] + stride, known[i], stride) for i in long]
-    tail = np.arange(max(1, total - 2 * window), total)
-    places = np.unique(np.concatenate([known, tail, *fill]))
-    penalty = np.full(len(places), INSIDE)
-    penalty[np.searchsorted(places, inner)] = SENTENCE
-    penalty[np.searchsorted(places, after)] = 0
+    for i in np.flatnonzero(gaps > stride):
+        cut[known[i] - gaps[i] + stride : known[i] : stride] = True
+    cut[max(1, total - 2 * window) :] = True
+    cut[0] = False
+    places = np.flatnonzero(cut)
+    penalty = cost[places].astype(np.int64)
     return places, penalty
 
 

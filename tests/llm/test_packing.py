@@ -40,6 +40,7 @@ def test_ids_equal_the_library(corpus):
     letters = "".join(map(chr, [*range(1, 0x500), *range(0x2000, 0x2070), 0x3000, 0x4E00, 0x1F600]))
     rng = random.Random(2)
     odd = ["".join(rng.choices(letters, k=60)) for _ in range(300)] + [f"a{c} {c}b {c}{c}1'{c}" for c in letters]
+    odd += ["".join(rng.choices(" \n\t\xa0ab1',.", k=40)) for _ in range(500)]
     for text in [*(t for _, t in corpus if t), *odd]:
         assert coder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
