@@ -46,6 +46,30 @@ def buffered_negatives(fx):
     return matrix.buffered_negatives(positives(fx), fx.pilots)
 
 
+def attempt_sql(axis):
+    prime, _, by_attempt, again = matrix.AXES[axis]
+    return f"b.min_{axis} + CAST((((a.k * {by_attempt} + 12345) % {prime}) * {again} + 6789) % {prime} AS DOUBLE) / {prime}e0 * (b.max_{axis} - b.min_{axis})"
+
+
+# One budget per state: every attempt in order, as many as are needed.
+ATTEMPTS = f"""
+SELECT n.state, n.n, a.k AS attempt, {attempt_sql('lat')} AS latitude, {attempt_sql('lon')} AS longitude
+FROM (SELECT state, count(*) AS n FROM pos GROUP BY state) n JOIN fx_aoi b ON b.state = n.state AND b.kind = 'pilot', LATERAL (SELECT unnest(range(0, n.n * 150)) AS k) a"""
+TAKEN = """
+SELECT *, row_number() OVER (PARTITION BY state ORDER BY attempt) - 1 AS number FROM tries t
+ ANTI JOIN (SELECT c.state, c.attempt FROM tries c JOIN (SELECT DISTINCT state, latitude, longitude, floor(latitude / 0.05e0) + i AS br, floor(longitude / 0.05e0) + j AS bc FROM pos, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) q
+  ON q.state = c.state AND q.br = floor(c.latitude / 0.05e0) AND q.bc = floor(c.longitude / 0.05e0)
+  WHERE sqrt((q.latitude - c.latitude) * (q.latitude - c.latitude) + (q.longitude - c.longitude) * (q.longitude - c.longitude)) < 0.05e0) x USING (state, attempt)"""
+DATES = "SELECT state, event_date, row_number() OVER (PARTITION BY state ORDER BY event_id) - 1 AS draw, count(*) OVER (PARTITION BY state) AS dates FROM pos"
+
+
+@query("budgeted_negatives", oracle(f"""
+SELECT t.state, t.number, t.attempt, t.latitude, t.longitude, d.event_date FROM taken t JOIN dated d ON d.state = t.state AND d.draw = ((t.number * {matrix.DRAW[0]} + {matrix.DRAW[1]}) % {matrix.DRAW[2]}) % d.dates WHERE t.number < 3 * t.n""",
+    "fx_events", first=q_catalog.FIRST, pos=POSITIVES, tries=ATTEMPTS, taken=TAKEN, dated=DATES))
+def budgeted_negatives(fx):
+    return matrix.budgeted_negatives(positives(fx), fx.pilots)
+
+
 @query("negatives_report", oracle("""
 SELECT p.state, count(*) AS positives, 3 * count(*) AS wanted, CAST(sum(coalesce(n, 0)) AS BIGINT) AS accepted, CAST(sum(CASE WHEN n = 3 THEN last + 1 ELSE 150 END) AS BIGINT) AS attempted, count(*) FILTER (WHERE coalesce(n, 0) < 3) AS positives_short
 FROM pos p LEFT JOIN (SELECT state, positive_id, count(*) AS n, max(attempt) AS last FROM neg GROUP BY ALL) g ON g.state = p.state AND g.positive_id = p.event_id GROUP BY p.state""", "fx_events", **NEGATIVE_CTES))

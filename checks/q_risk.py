@@ -195,10 +195,10 @@ def provenance_tone(fx):
 
 
 @query("source_label", oracle("""
-SELECT id, CASE WHEN coalesce(is_fallback, false) THEN 'FALLBACK antecedent rainfall from ' || coalesce(source, 'Open-Meteo ERA5 archive') || ' (data_quality_status=' || coalesce(data_quality_status, 'FALLBACK') || '; NOT an official live IMERG observation)'
- WHEN source_kind = 'IMERG' OR (source_kind IS NULL AND source IS NOT NULL) THEN 'real ' || coalesce(source, 'IMERG') || ' antecedent rainfall'
- WHEN source_kind IS NOT NULL THEN 'antecedent rainfall from ' || coalesce(source, source_kind) || ' (data_quality_status=' || coalesce(data_quality_status, 'UNKNOWN') || ')'
- ELSE 'antecedent rainfall of UNREPORTED provenance' END AS label FROM prov""", prov=PROV_DUCK))
+SELECT id, CASE WHEN coalesce(is_fallback, false) THEN 'earlier rain: stand-in series ' || coalesce(source, 'Open-Meteo ERA5 archive') || ', quality ' || coalesce(data_quality_status, 'FALLBACK') || ', no satellite product'
+ WHEN source_kind = 'IMERG' OR (source_kind IS NULL AND source IS NOT NULL) THEN 'earlier rain: satellite product ' || coalesce(source, 'IMERG')
+ WHEN source_kind IS NOT NULL THEN 'earlier rain: ' || coalesce(source, source_kind) || ', quality ' || coalesce(data_quality_status, 'UNKNOWN')
+ ELSE 'earlier rain: origin not stated' END AS label FROM prov""", prov=PROV_DUCK))
 def source_label(fx):
     return provenance_rows(fx).select("id", prov.source_label("source", "source_kind", "data_quality_status", "is_fallback").alias("label"))
 

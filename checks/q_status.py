@@ -73,7 +73,7 @@ def bundle_consistency(fx):
 
 AVAIL = """
 SELECT a.state, CASE WHEN max(f.length) FILTER (WHERE f.kind = 'dem') > 1000 THEN 'Available' ELSE 'Missing (Requires Download)' END AS dem_status, CASE WHEN max(f.length) FILTER (WHERE f.kind = 'exposure') > 100 THEN 'Available' ELSE 'Missing (Requires Download)' END AS exposure_status,
- CASE WHEN max(f.length) FILTER (WHERE f.kind = 'rainfall') > 0 THEN 'Authenticated (Satellite IMERG)' ELSE 'Unavailable (NASA Earthdata auth missing)' END AS rainfall_status
+ CASE WHEN max(f.length) FILTER (WHERE f.kind = 'rainfall') > 0 THEN 'Authenticated (Satellite IMERG)' ELSE 'Unavailable (no login for the satellite archive)' END AS rainfall_status
 FROM fx_aoi a LEFT JOIN fx_files f ON f.state = a.state WHERE a.kind = 'admin' GROUP BY a.state"""
 
 
@@ -92,7 +92,7 @@ def artifact_plan(fx):
 
 DEC_IN = """
 SELECT run_id, state, run_id % 3 = 0 AS is_pilot, CASE WHEN run_id % 5 = 0 THEN 'Missing (Requires Download)' ELSE 'Available' END AS dem_status, CASE WHEN run_id % 7 = 0 THEN 'Missing (Requires Download)' ELSE 'Available' END AS exposure_status,
- CASE run_id % 11 WHEN 0 THEN 'Unauthenticated' WHEN 1 THEN 'Unavailable (NASA Earthdata auth missing)' ELSE 'Authenticated (Satellite IMERG)' END AS rainfall_status, CAST(run_id % 100 AS BIGINT) AS usable_events, has_model AND has_schema AS evidence_complete FROM {runs}"""
+ CASE run_id % 11 WHEN 0 THEN 'Unauthenticated' WHEN 1 THEN 'Unavailable (no login for the satellite archive)' ELSE 'Authenticated (Satellite IMERG)' END AS rainfall_status, CAST(run_id % 100 AS BIGINT) AS usable_events, has_model AND has_schema AS evidence_complete FROM {runs}"""
 
 
 def decision_sql(source):

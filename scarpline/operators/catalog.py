@@ -69,26 +69,30 @@ def coerce_catalog(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
+def first_rows(df: DataFrame, group: list[str], position: str, last: bool = False) -> DataFrame:
+    """The whole row of each group with the smallest (largest) position, which is unique.
+
+    Only the position is aggregated, in a hash table and before the shuffle; the rows then
+    meet the chosen positions in a semi-join, which is a broadcast where groups are few.
+    """
+    best = df.groupBy(*group).agg((F.max if last else F.min)(position).alias(position))
+    return df.join(best.select(position), position, "left_semi").select(*df.columns)
+
+
 def event_dedup(
     events: DataFrame, position: str, key: str = "raw", partition: list[str] = ()
 ) -> DataFrame:
     """First row by source position wins per (place, date).
 
     key='raw' compares the date text, key='parsed' the timestamp; undated rows drop.
-    One aggregation with map-side combine, so a much-repeated event is no hot group.
+    The position must be unique. It is aggregated with map-side combine, so a much-repeated
+    event is no hot group, and no row is sorted.
     """
     if key == "raw":
         dated = events.where(has_date_text("event_date")).withColumn("_date", F.trim("event_date"))
     else:
         dated = events.withColumn("_date", parse_date("event_date")).where("_date IS NOT NULL")
-    group = [*partition, "latitude", "longitude", "_date"]
-    rest = [c for c in events.columns if c not in group]
-    first = dated.groupBy(group).agg(
-        F.min_by(F.struct(*rest), F.col(position)).alias("_row")
-    )
-    return first.select(
-        *[F.col(c) if c in group else F.col(f"_row.{c}").alias(c) for c in events.columns]
-    )
+    return first_rows(dated, [*partition, "latitude", "longitude", "_date"], position).drop("_date")
 
 
 def source_preference(snapshot: DataFrame, catalog: DataFrame, states: DataFrame) -> DataFrame:

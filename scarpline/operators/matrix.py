@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions.numbers import col, is_finite
+from ..session import through_table
 from . import catalog, prefix
 
 # The position formula: for each axis a prime modulus near 2^31 and two rounds of multiplying,
@@ -112,6 +113,59 @@ def buffered_negatives(
     )
 
 
+ROUNDS = (6, 12, 24, 48, 96)  # attempts per positive after each round but the last
+DRAW = (1_103_515_245, 12_345, 2_147_483_647)
+
+
+def budgeted_negatives(
+    positives: DataFrame, boxes: DataFrame, key: str = "event_id", ratio: int = 3,
+    buffer_deg: float = 0.05, attempts_per_negative: int = 50,
+) -> DataFrame:
+    """`ratio` points per positive of a state, all from one budget of attempts per state.
+
+    Attempt k of a state is a place in its box; attempts are taken in their order until
+    ratio x positives of them keep the distance to every positive, or until
+    attempts_per_negative x ratio x positives were made. So a crowded place costs attempts,
+    never a negative, while the budget lasts. The i-th negative takes the date of a positive
+    drawn by i with replacement: the dates follow the positives' distribution.
+
+    positives, a table: state, key (unique in a state), latitude, longitude, event_date.
+    Attempts are numbered by the positives' ranks, so they are made where the positives are;
+    which come first is cut by range totals, not by a sort. Later rounds of attempts are made
+    only for the states that still lack negatives, with the same result.
+    """
+    tries = ratio * attempts_per_negative
+    ranked = through_table(prefix.running_totals(positives.withColumn("_one", F.lit(1)), key, ["_one"], by=("state",)).drop("_one"), "ranked")
+    totals = ranked.groupBy("state").agg(F.count("*").alias("_n"))
+    seeds = ranked.select("state", F.col("before__one").alias("_rank")).join(totals, "state").join(boxes.select("state", *BOX), "state")
+    places = positives.select("state", "latitude", "longitude")
+    accepted, low = None, 0
+    for high in [*(w for w in ROUNDS if w < tries), tries]:
+        wide = high - low
+        lat, lon = candidate_point(F.lit(0).cast("long"), F.col("attempt"))
+        points = seeds.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))).withColumn(
+            "attempt", F.col("_n") * low + F.col("_rank") * wide + F.col("_j")
+        ).withColumns({"latitude": lat, "longitude": lon}).select("state", "attempt", "latitude", "longitude")
+        found = through_table(far_from(points, places, buffer_deg, ("state",)), "accepted")
+        accepted, low = found if accepted is None else accepted.unionByName(found), high
+        served = accepted.groupBy("state").agg(F.count("*").alias("_got"))
+        short = totals.join(served, "state", "left").where(F.coalesce("_got", F.lit(0)) < F.col("_n") * ratio)
+        short = through_table(short.select("state"), "short")
+        if short.isEmpty():  # one row per state
+            break
+        seeds = seeds.join(short, "state", "left_semi")
+    numbered = prefix.running_totals(accepted.withColumn("_one", F.lit(1)), "attempt", ["_one"], by=("state",)).join(totals, "state")
+    chosen = numbered.where(F.col("before__one") < F.col("_n") * ratio).withColumn("number", F.col("before__one"))
+    dated = ranked.where(catalog.has_date_text("event_date")).select("state", key, "event_date", F.lit(1).alias("_one"))
+    dated = prefix.running_totals(dated, key, ["_one"], by=("state",)).select("state", F.col("before__one").alias("_draw"), "event_date")
+    many = dated.groupBy("state").agg(F.count("*").alias("_dates"))
+    times, plus, prime = DRAW
+    drawn = F.pmod(F.pmod(F.col("number") * times + plus, F.lit(prime)), F.col("_dates"))
+    return chosen.join(many, "state", "left").withColumn("_draw", drawn).join(dated, ["state", "_draw"], "left").select(
+        "state", "number", "attempt", "latitude", "longitude", "event_date"
+    )
+
+
 def negatives_report(
     positives: DataFrame, negatives: DataFrame, key: str = "event_id", ratio: int = 3,
     attempts_per_negative: int = 50, by: tuple[str, ...] = ("state",),

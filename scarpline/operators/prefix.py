@@ -15,11 +15,11 @@ DEFAULT_RANGES = 256
 
 def running_totals(
     df: DataFrame, key: str, values: list[str], descending: bool = False,
-    ranges: int = DEFAULT_RANGES,
+    ranges: int = DEFAULT_RANGES, by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add before_<v>: the total of v over keys strictly earlier in the order.
+    """Add before_<v>: the total of v over keys strictly earlier in the order (of the same `by`).
 
-    `key` must be unique in df, so rows per range are bounded by the distinct keys
+    `key` must be unique in df (in each `by`), so rows per range are bounded by the distinct keys
     and stay balanced however the original rows were skewed. `ranges` is how many tasks
     can share the order: raise it with the distinct keys. It cannot change the result.
     """
@@ -40,19 +40,19 @@ def running_totals(
     ).drop("_cuts")
 
     order = F.col("_range").desc() if descending else F.col("_range").asc()
-    # At most `ranges` rows reach this window: it accumulates totals, not data.
-    across = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    # At most `ranges` rows (of each `by`) reach this window: it accumulates totals, not data.
+    across = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     offsets = offsets.select(
-        "_range",
+        *by, "_range",
         *[F.coalesce(F.sum(f"_t_{v}").over(across), F.lit(0)).alias(f"_o_{v}") for v in values],
     )
     inner_order = F.col(key).desc() if descending else F.col(key).asc()
     within = (
-        Window.partitionBy("_range").orderBy(inner_order)
+        Window.partitionBy(*by, "_range").orderBy(inner_order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = ranged.join(offsets, "_range")
+    out = ranged.join(offsets, [*by, "_range"])
     return out.select(
         *df.columns,
         *[

@@ -8,6 +8,7 @@ from .. import vocab
 from ..functions import provenance as prov
 from ..functions.numbers import col, reasons, text_list
 from .aoi import state_id
+from .catalog import first_rows
 
 MISSING, AVAILABLE = vocab.FILE_MISSING, vocab.FILE_AVAILABLE
 
@@ -270,12 +271,11 @@ def evidence_refresh(reports: DataFrame, artifacts: DataFrame, key: str = "state
 
 def status_region_join(regions: DataFrame, reports: DataFrame, order: str) -> DataFrame:
     """Every region with its newest report, keys compared trimmed and folded."""
-    newest = reports.withColumn("_k", state_id("state_key")).groupBy("_k").agg(
-        F.max_by(F.struct(*[c for c in reports.columns]), order).alias("_r")
-    )
+    newest = first_rows(reports.withColumn("_k", state_id("state_key")), ["_k"], order, last=True)
     keyed = regions.withColumn("_k", state_id("state"))
-    return keyed.join(newest, "_k", "left").select(
-        *regions.columns, *[F.col(f"_r.{c}").alias(c) for c in reports.columns]
+    named = newest.select("_k", *[F.col(c).alias(f"_r_{c}") for c in reports.columns])
+    return keyed.join(named, "_k", "left").select(
+        *regions.columns, *[F.col(f"_r_{c}").alias(c) for c in reports.columns]
     )
 
 

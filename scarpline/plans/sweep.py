@@ -9,9 +9,7 @@ from ..operators import catalog, status
 
 def latest_evidence(runs: DataFrame, key: str = "state", order: str = "run_id") -> DataFrame:
     """The newest run per state, gated: complete, its metrics, or what is missing."""
-    newest = runs.groupBy(key).agg(
-        F.max_by(F.struct(*[c for c in runs.columns if c != key]), order).alias("_r")
-    ).select(key, "_r.*")
+    newest = catalog.first_rows(runs, [key], order, last=True)
     return status.evidence_gate(newest).select(
         key, F.col("complete").alias("evidence_complete"), F.col("problems").alias("evidence_missing"),
         "pr_auc", "roc_auc",

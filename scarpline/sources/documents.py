@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab
@@ -119,16 +122,45 @@ def append_run_records(records: DataFrame, path: str) -> None:
 
 # --- file integrity -------------------------------------------------------------------------
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = r"([^/]+)$") -> DataFrame:
+#: Files above this are hashed in pieces; smaller ones are read whole, in batches of few.
+WHOLE_BYTES = 64 << 20
+PIECE_BYTES = 8 << 20
+
+
+def _digest(path: str) -> str | None:
+    """SHA-256 of a file read piece by piece; null when no file system here can open it."""
+    from pyarrow import fs
+
+    try:
+        store, name = fs.FileSystem.from_uri(path)
+        found = hashlib.sha256()
+        with store.open_input_stream(name) as stream:
+            while piece := stream.read(PIECE_BYTES):
+                found.update(piece)
+        return found.hexdigest()
+    except (OSError, ValueError, NotImplementedError):  # Arrow's errors are among these
+        return None
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = r"([^/]+)$", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """name, length and sha256 of every file below a folder whose path has a name.
 
     The pattern's first group is the name: the file's own by default, or for instance
-    the partition folder of a table, whose files have generated names.
+    the partition folder of a table, whose files have generated names. Files of at most
+    `whole_bytes` are hashed as they are read; larger ones, of any size, are read in pieces
+    of a few MB, so no task holds one whole. A file that cannot be opened so has no digest.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.regexp_extract("path", pattern, 1).alias("name"), "length", F.sha2("content", 256).alias("sha256")
-    ).where("name <> ''")
+    files = files.withColumn("name", F.regexp_extract("path", pattern, 1)).where("name <> ''")
+    # The length is known from the listing, and the filter on it spares reading the content.
+    small = files.where(F.col("length") <= whole_bytes).select("name", "length", F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["name"], batch["length"], pa.array([_digest(p) for p in batch["path"].to_pylist()], pa.string())], ["name", "length", "sha256"])
+
+    large = files.where(F.col("length") > whole_bytes).select("name", "length", "path").mapInArrow(hashed, "name string, length bigint, sha256 string")
+    return small.unionByName(large)
 
 
 def manifest_entries(manifest: DataFrame) -> DataFrame:
@@ -147,6 +179,7 @@ def file_integrity(files: DataFrame, entries: DataFrame) -> DataFrame:
         F.when(F.col("f.length").isNull(), "no local file")
         .when(F.col("m.length").isNull(), "no manifest entry")
         .when(F.col("f.length") != F.col("m.length"), "size mismatch")
+        .when(F.col("f.sha256").isNull(), "not readable")
         .when(F.col("f.sha256") != F.col("m.sha256"), "sha256 mismatch")
         .otherwise("ok")
     )
