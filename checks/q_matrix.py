@@ -86,7 +86,7 @@ def pos_neg_union(fx):
     return both.groupBy("target").agg(F.count("*").alias("n"), F.count("event_id").alias("with_event"), F.min("event_date").alias("first_date"))
 
 
-@query("exposure_join", oracle(f"""
+EXPOSED = oracle(f"""
 SELECT DISTINCT a.osm_id, a.asset_type, c.state, c.cell_id FROM cells c, fx_assets a WHERE c.hazard > 0.6 AND CASE WHEN lon2 IS NULL THEN lon1 BETWEEN min_lon AND max_lon AND lat1 BETWEEN min_lat AND max_lat
  ELSE greatest(lon1, lon2) >= min_lon AND least(lon1, lon2) <= max_lon AND greatest(lat1, lat2) >= min_lat AND least(lat1, lat2) <= max_lat
   AND NOT ((lon2 - lon1) * (min_lat - lat1) - (lat2 - lat1) * (min_lon - lon1) > 0 AND (lon2 - lon1) * (min_lat - lat1) - (lat2 - lat1) * (max_lon - lon1) > 0 AND (lon2 - lon1) * (max_lat - lat1) - (lat2 - lat1) * (min_lon - lon1) > 0 AND (lon2 - lon1) * (max_lat - lat1) - (lat2 - lat1) * (max_lon - lon1) > 0)
@@ -94,17 +94,29 @@ SELECT DISTINCT a.osm_id, a.asset_type, c.state, c.cell_id FROM cells c, fx_asse
     "fx_assets", cells=f"""
 SELECT state, format('r{{:02d}}c{{:02d}}', i, j) AS cell_id, CAST((i * 7 + j * 13) % 10 AS DOUBLE) / 10e0 AS hazard, {rnd('a_lat + i * h', 6)} AS min_lat, {rnd('a_lat + i * h + h', 6)} AS max_lat, {rnd('a_lon + j * w', 6)} AS min_lon, {rnd('a_lon + j * w + w', 6)} AS max_lon
 FROM (SELECT *, s_lat / n_lat AS h, s_lon / n_lon AS w FROM (SELECT state, min_lat AS a_lat, min_lon AS a_lon, max_lat - min_lat AS s_lat, max_lon - min_lon AS s_lon, greatest(round_even((max_lat - min_lat) / 0.05e0, 0), 1) AS n_lat, greatest(round_even((max_lon - min_lon) / 0.05e0, 0), 1) AS n_lon FROM fx_aoi WHERE kind = 'pilot')) b,
- (SELECT unnest(range(0, 300)) AS i), (SELECT unnest(range(0, 300)) AS j) WHERE i < n_lat AND j < n_lon"""))
-def exposure_join(fx):
+ (SELECT unnest(range(0, 300)) AS i), (SELECT unnest(range(0, 300)) AS j) WHERE i < n_lat AND j < n_lon""")
+
 
+def exposure_inputs(fx):
+    """Grid cells of every pilot state with a hazard, and the assets' segments."""
     cells = aoi.grid_build(fx.pilots).select(
         "state", "cell_id", (F.pmod(F.col("row") * 7 + F.col("col") * 13, F.lit(10)).cast("double") / 10.0).alias("hazard"), "bbox.*"
     )
     a = fx.assets
     ends = F.when(F.col("lon2").isNull(), F.array(F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat")))).otherwise(
         F.array(F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), F.struct(F.col("lon2").alias("lon"), F.col("lat2").alias("lat"))))
-    parts = exposure.segments(a.select("osm_id", "asset_name", "asset_type", ends.alias("coords")))
-    return exposure.exposure_join(cells, parts).select("osm_id", "asset_type", "state", "cell_id")
+    return cells, exposure.segments(a.select("osm_id", "asset_name", "asset_type", ends.alias("coords")))
+
+
+@query("exposure_join", EXPOSED)
+def exposure_join(fx):
+    return exposure.exposure_join(*exposure_inputs(fx)).select("osm_id", "asset_type", "state", "cell_id")
+
+
+@query("exposure_join_adaptive", EXPOSED)
+def exposure_join_adaptive(fx):
+    """The same pairs by quadtree buckets; cut at a hundred segments, so that these maps are cut at all."""
+    return exposure.exposure_join_adaptive(*exposure_inputs(fx), crowd=100).select("osm_id", "asset_type", "state", "cell_id")
 
 
 @query("osm_assets_parse", oracle("""

@@ -104,3 +104,47 @@ def test_report_counts_a_crowded_positive(spark):
     got = {r.state: r for r in matrix.negatives_report(pos, matrix.buffered_negatives(pos, boxes)).collect()}
     assert tuple(got["full"]) == ("full", 36, 108, 0, 36 * 150, 36)
     assert got["open"].accepted == got["open"].wanted == 9 and got["open"].positives_short == 0 and got["open"].attempted < 3 * 150
+
+
+def test_large_files_are_hashed_in_pieces(spark, monkeypatch):
+    """Above the limit a file is streamed: the same digest, and a verdict where it cannot be opened."""
+    import hashlib
+    import os
+
+    from scarpline.session import scratch_path
+    from scarpline.sources import documents
+
+    folder = scratch_path(spark, "digests")
+    os.makedirs(folder)
+    contents = {"small": b"a" * 10, "large": bytes(range(256)) * 4000, "edge": b"b" * 100, "empty": b""}
+    for name, data in contents.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    want = {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    for limit in (0, 100, documents.WHOLE_BYTES):
+        got = {r.name: (r.length, r.sha256) for r in documents.file_inventory(spark, folder, whole_bytes=limit).collect()}
+        assert got == want
+    assert documents._digest("nowhere://x/y") is None and documents._digest(f"file://{folder}/gone") is None
+    files = spark.createDataFrame([("a", 5, None), ("b", 5, "x")], "name string, length bigint, sha256 string")
+    entries = spark.createDataFrame([("a", 5, "x"), ("b", 5, "x")], "name string, length bigint, sha256 string")
+    assert {r.name: r.verdict for r in documents.file_integrity(files, entries).collect()} == {"a": "not readable", "b": "ok"}
+
+
+def test_a_budget_that_runs_out(spark):
+    """Where nearly the whole box is taken, a state gets what its attempts find and no more."""
+    from scarpline.operators import matrix
+
+    crowd = [("A", i, 27.0 + (i // 20) * 0.05, 88.0 + (i % 20) * 0.05, "2001-01-0%d" % (1 + i % 9)) for i in range(400)]
+    free = [("B", 1000 + i, 10.0, 10.0, None if i else "2002-02-02") for i in range(5)]
+    pos = spark.createDataFrame(crowd + free, "state string, event_id bigint, latitude double, longitude double, event_date string")
+    boxes = spark.createDataFrame([("A", 27.0, 28.0, 88.0, 89.0), ("B", 0.0, 20.0, 0.0, 20.0)], "state string, min_lat double, max_lat double, min_lon double, max_lon double")
+    got = matrix.budgeted_negatives(pos, boxes, attempts_per_negative=10).collect()
+    by = {s: [r for r in got if r.state == s] for s in "AB"}
+    assert len(by["B"]) == 15 and {r.event_date for r in by["B"]} == {"2002-02-02"}
+    assert 0 < len(by["A"]) < 1200 and max(r.attempt for r in by["A"]) < 400 * 30
+    for r in by["A"]:
+        assert min((r.latitude - y) ** 2 + (r.longitude - x) ** 2 for _, _, y, x, _ in crowd) ** 0.5 >= 0.05
+    for s in "AB":
+        order = sorted(by[s], key=lambda r: r.attempt)
+        assert [r.number for r in order] == list(range(len(order)))
+    assert len({r.event_date for r in by["A"]}) > 3

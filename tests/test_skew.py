@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scarpline import vocab
 from scarpline.functions import geo
-from scarpline.operators import aoi, catalog, evaluate, matrix, rainfall, raster
+from scarpline.operators import aoi, catalog, evaluate, exposure, matrix, rainfall, raster
 
 N = 3000
 
@@ -123,3 +123,44 @@ def test_preference_keeps_every_row(spark):
         ("Sikkim", "validated_snapshot", 1000), ("Assam", "raw_glc_catalog", 2000),
         ("Arunachal Pradesh", "NONE", 0), ("Meghalaya", "NONE", 0),
     }
+
+
+def test_a_city_is_many_buckets(spark):
+    """Nine tenths of the segments lie in a thousandth of the map: leaves stay near the crowd, pairs as they were."""
+    import random
+
+    rng = random.Random(3)
+    city = [(i, 27.05 + rng.random() / 300, 88.05 + rng.random() / 300) for i in range(9000)]
+    land = [(10_000 + i, 27.0 + rng.random(), 88.0 + rng.random()) for i in range(1000)]
+    rows = [(i, str(i), "road", lon, lat, lon + rng.uniform(-2e-4, 2e-4), lat + rng.uniform(-2e-4, 2e-4)) for i, lat, lon in city + land]
+    rows += [(20_000 + i, "long", "road", 88.0, 27.0 + i / 50, 89.0, 27.9 - i / 50) for i in range(20)]
+    parts = spark.createDataFrame(rows, "osm_id int, asset_name string, asset_type string, lon1 double, lat1 double, lon2 double, lat2 double").cache()
+    cells = spark.createDataFrame(
+        [("S", f"{i}/{j}", (i * 7 + j + 2) % 10 / 10, 27 + i / 40, 27 + (i + 1) / 40, 88 + j / 40, 88 + (j + 1) / 40) for i in range(40) for j in range(40)],
+        "state string, cell_id string, hazard double, min_lat double, max_lat double, min_lon double, max_lon double",
+    ).cache()
+    plain = exposure.exposure_join(cells, parts)
+    tree = exposure.exposure_join_adaptive(cells, parts, crowd=200)
+    assert plain.count() == tree.count() > 5000 and plain.exceptAll(tree).isEmpty()
+    crowded = exposure.crowded_buckets(parts, 0.1, 200, exposure.DEPTH)
+    keyed = exposure._segment_buckets(parts, 0.1)
+    assert keyed.groupBy("_by", "_bx").count().agg(F.max("count")).first()[0] > 9000
+    leaves = exposure._to_leaves(keyed, crowded, 0.1, exposure.DEPTH, exposure._segment_meets)
+    sizes = sorted(r["count"] for r in leaves.groupBy("level", "_by", "_bx").count().collect())
+    assert sizes[-1] <= 2 * 200
+
+
+def test_places_that_coincide_stop_at_the_last_cut(spark):
+    parts = spark.createDataFrame([(i, "x", "road", 88.05, 27.05, 88.05, 27.05) for i in range(500)], "osm_id int, asset_name string, asset_type string, lon1 double, lat1 double, lon2 double, lat2 double")
+    cells = spark.createDataFrame([("S", "a", 0.9, 27.0, 27.1, 88.0, 88.1)], "state string, cell_id string, hazard double, min_lat double, max_lat double, min_lon double, max_lon double")
+    assert exposure.exposure_join_adaptive(cells, parts, crowd=10, depth=4).count() == 500
+
+
+def test_one_group_of_most_rows_keeps_its_first(spark):
+    rows = [(i, "hot" if i % 10 else f"g{i}", float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "at int, g string, v double").repartition(8)
+    first = {r.g: r.at for r in catalog.first_rows(df, ["g"], "at").collect()}
+    last = {r.g: (r.at, r.v) for r in catalog.first_rows(df, ["g"], "at", last=True).collect()}
+    assert first["hot"] == 1 and last["hot"] == (1999, 1999.0) and len(first) == len(last) == 201
+    plan = catalog.first_rows(df, ["g"], "at")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
