@@ -9,7 +9,9 @@ A page is cut into blocks of text, each under a path of tags from the root. Per
 The content node is the deepest element that holds most of the fused score, or the article
 around it; all its blocks are the text, so headings and short lines are not lost. Paths that
 are never content (menus, headers of the page, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments), told by tag or by the name of a class or id, take no part.
+scripts, styles, comments), told by tag or by the name of a class or id, take no part. A form
+that holds most of the page's score is no form to fill in but a wrapper round the page, as is
+one round an article; it takes part.
 
 Defined results: a null or empty page, or one without text, gives an empty text. Character
 references are decoded, white space in a block becomes one space, blocks are joined by one
@@ -57,7 +59,7 @@ class Page:
     """Elements as parallel lists, and blocks as lists of (element, text)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.path, self.apart, self.named = ["#"], [-1], [0], [False], [False]
+        self.tag, self.parent, self.path, self.apart, self.named, self.form = ["#"], [-1], [0], [False], [False], [False]
         self.paths = {(-1, "#"): 0}
         self.blocks: list[list[tuple[int, str]]] = []
         self.open = [0]
@@ -77,6 +79,7 @@ class Page:
                     label += "." + value.lower()
                     named |= any(NAMED.search(v) for v in value.split())
         named &= tag not in HOLDERS - {"section", "div", "td"} and not re.fullmatch("h[1-6]", tag)
+        self.form.append(tag == "form" and not apart)  # apart for being a form alone
         apart |= tag in APART or tag == "header" and not any(self.tag[e] in CONTENT for e in self.open)
         self.open.append(len(self.tag))
         self.tag.append(tag)
@@ -139,9 +142,9 @@ class Page:
             self.push(tag, attributes)
         self.flush()
 
-    def lines(self, by_name: bool) -> list[tuple[int, str]]:
+    def lines(self, by_name: bool, forms: bool = False) -> list[tuple[int, str]]:
         """Blocks (element, text) outside of what is no content; names count only if asked, and not
-        on an element around an article."""
+        on an element around an article. `forms` lets the text of forms in."""
         around = [False] * len(self.tag)
         for e, tag in enumerate(self.tag):
             if tag in CONTENT:
@@ -150,7 +153,8 @@ class Page:
                     e = self.parent[e]
         out = [False] * len(self.tag)
         for e in range(1, len(self.tag)):
-            out[e] = out[self.parent[e]] or self.apart[e] or by_name and self.named[e] and not around[e]
+            apart = self.apart[e] and not (self.form[e] and (forms or around[e]))
+            out[e] = out[self.parent[e]] or apart or by_name and self.named[e] and not around[e]
         found = []
         for parts in self.blocks:
             kept = [(e, t) for e, t in parts if not out[e]]
@@ -176,13 +180,8 @@ def fused(page: Page, lines: list[tuple[int, str]]) -> np.ndarray:
     return np.sqrt(ratios[0] * (1 + ratios[1]))
 
 
-def main_text(html: str | None, spread: float = 0.5, most: float = 0.8) -> str:
-    if not html:
-        return ""
-    page = Page(html)
-    lines = page.lines(True) or page.lines(False)
-    if not lines:
-        return ""
+def score_held(page: Page, lines: list[tuple[int, str]], spread: float) -> np.ndarray:
+    """The score of the lines above the threshold, for each element those of all it holds."""
     score = fused(page, lines)
     score = np.where(score >= min(spread * score.std(), score.max()), score, 0)
     held = np.zeros(len(page.tag))
@@ -190,6 +189,22 @@ def main_text(html: str | None, spread: float = 0.5, most: float = 0.8) -> str:
         held[e] += s
     for e in range(len(page.tag) - 1, 0, -1):  # children come after their parents
         held[page.parent[e]] += held[e]
+    return held
+
+
+def main_text(html: str | None, spread: float = 1.0, most: float = 0.8) -> str:
+    if not html:
+        return ""
+    page = Page(html)
+    if any(page.form) and (lines := page.lines(True, True) or page.lines(False, True)):
+        held = score_held(page, lines, spread)
+        for e in np.flatnonzero(page.form):
+            if held[e] > held[0] / 2:
+                page.apart[e] = False
+    lines = page.lines(True) or page.lines(False)
+    if not lines:
+        return ""
+    held = score_held(page, lines, spread)
     node = max(e for e in range(len(held)) if held[e] >= most * held[0])
     node = around = node if page.tag[node] in HOLDERS else next((e for e in _up(page, node) if page.tag[e] in HOLDERS), 0)
     node = next((e for e in [around, *_up(page, around)] if page.tag[e] in CONTENT), around)
@@ -205,7 +220,7 @@ def _up(page: Page, e: int):
         yield e
 
 
-def with_main_text(df: DataFrame, html: str = "html", out: str = "text", spread: float = 0.5, most: float = 0.8) -> DataFrame:
+def with_main_text(df: DataFrame, html: str = "html", out: str = "text", spread: float = 1.0, most: float = 0.8) -> DataFrame:
     """Add the main text of each page. `spread` is the threshold in standard deviations of the page's
     scores, `most` the share of the score that the content node holds at least."""
 

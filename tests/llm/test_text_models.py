@@ -71,9 +71,14 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
 
+SMALL = dict(classes=4, units=12, frequent=15, least=2, rounds=6)
+
+
 def test_base_counts_equal_plain_counting(docs, corpus):
+    """Few frequent words, so that most are looked up; columns called like the operator's own survive."""
     held = F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))
-    rows = class_lm.score_by(docs, held, classes=4, exchange_words=20, endings=10, frequent=15, rounds=1).collect()
+    odd = docs.withColumns({c: F.lit(f"mine {c}") for c in ("n", "known", "sum", "moves", "word", "k", "c", "codes", "line", "train", "a b", "ending")})
+    rows = class_lm.score_by(odd, held, **SMALL).collect()
     assert len(rows) == len(corpus)
     seen = collections.Counter(w for i, t in corpus if i is None or i % 4 for w in tokens(t))
     total, distinct = sum(seen.values()), len(seen)
@@ -82,36 +87,134 @@ def test_base_counts_equal_plain_counting(docs, corpus):
         base = sum(math.log10((seen[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(seen[x] > 0 for x in w), total)
         assert abs(r.base_score - base) <= 1e-9 * abs(base)
-
-
-def test_probabilities_add_up(spark):
+        assert (r.n, r.known, r.moves, r["a b"], r.lang) == ("mine n", "mine known", "mine moves", "mine a b", r.lang)
+
+
+@pytest.fixture(scope="module")
+def learned(spark, docs, corpus):
+    """A model of the whole corpus, and what it was learned from."""
+    return class_lm.train(docs, **SMALL), [tokens(t) for _, t in corpus]
+
+
+def class_map(model):
+    words = {bytes(r.word): (r.c, r.k, r.by_context) for r in model.words.collect()}
+    endings = {bytes(r.ending): r.ke for r in model.endings.collect()}
+    return words, lambda w: words[w][1] if w in words else endings.get(w[-model.length :], model.usual)
+
+
+def test_counts_transitions_and_classes_equal_brute_force(learned):
+    model, lines = learned
+    words, k = class_map(model)
+    counts = collections.Counter(w for line in lines for w in line)
+    assert {w: c for w, (c, _, _) in words.items()} == counts
+    moves, sizes = np.zeros((4, 4)), np.zeros((2, 4))
+    for line in lines:
+        for p, w in zip([b"", *line], line):
+            moves[k(p), k(w)] += 1
+    for w, c in counts.items():
+        sizes[:, k(w)] += (c, 1)
+    share = (sizes[0] + 1) / (sizes[0].sum() + 4)
+    assert np.allclose(model.moves, np.log10((moves + 20 * share) / (moves.sum(1, keepdims=True) + 20)))
+    assert np.allclose(model.emit, -np.log10(sizes[0] + 0.1 * (sizes[1] + 1)))
+    units = set(model.frequent[:12])
+    assert all(words[w][2] == (w in units or (counts[w] >= 2 and words[w][2])) for w in words)
+    assert not any(c < 2 and own for w, (c, _, own) in words.items() if w not in units)
+
+
+def test_other_words_get_the_class_of_their_contexts(learned):
+    """Each word that is no unit and occurs twice: the class with the largest sum over its neighbours."""
+    model, lines = learned
+    words, _ = class_map(model)
+    units, of = model.frequent[:12], {w: words[w][1] for w in model.frequent[:12]}
+    place = {w: i for i, w in enumerate(units)}
+    bigrams = np.zeros((13, 13), int)
+    for line in lines:
+        for p, w in zip([b"", *line], line):
+            bigrams[place.get(p, 12), place.get(w, 12)] += 1
+    weights = class_lm.context_weights(bigrams, np.array([*(of[w] for w in units), 4]), 4)
+    score, met = collections.defaultdict(lambda: np.zeros(4, np.int64)), set()
+    for line in lines:
+        for p, w, n in zip([b"", *line], line, [*line[1:], None]):
+            if w not in place:
+                if p in of:
+                    score[w] += weights[of[p]]
+                    met.add(w)
+                if n in of:
+                    score[w] += weights[4 + of[n]]
+                    met.add(w)
+    tested = [w for w, (c, k, own) in words.items() if own and w not in place]
+    assert len(tested) > 20 and set(tested) == {w for w in met if words[w][0] >= 2}
+    assert all(words[w][1] == int(score[w].argmax()) for w in tested)
+
+
+def test_probabilities_add_up(learned):
     """Over every next token, unseen ones included once per class, the model's chances sum to one."""
-    texts = spark.createDataFrame([("a b a c",), ("b c a",), (None,)], "text string")
-    model = class_lm.train(texts, classes=3, exchange_words=3, endings=2, length=1, frequent=2, rounds=2)
-    words = {bytes(r.word): r.c for r in model.counts.collect()}
-    k = lambda w: model.classes[model.units[w]]
-    for before in words:
-        chance = sum(10 ** (model.moves[k(before), k(w)] + model.emit[k(w)] + math.log10(c + 0.1)) for w, c in words.items())
-        chance += sum(10 ** (model.moves[k(before), c] + model.emit[c] + math.log10(0.1)) for c in range(3))
+    model, _ = learned
+    words, _ = class_map(model)
+    for before in list(words)[:40]:
+        chance = sum(10 ** (model.moves[words[before][1], k] + model.emit[k] + math.log10(c + 0.1)) for c, k, _ in words.values())
+        chance += sum(10 ** (model.moves[words[before][1], k] + model.emit[k] + math.log10(0.1)) for k in range(4))
         assert abs(chance - 1) < 1e-9
-    got = class_lm.with_scores(spark.createDataFrame([("a zz",)], "text string"), model).first().score
-    line, want = [b"", b"a", b"zz", b""], 0.0
-    for p, w in zip(line, line[1:]):
-        want += model.moves[k(p), k(w)] + model.emit[k(w)] + math.log10(words.get(w, 0) + 0.1)
-    assert abs(got - want) < 1e-12
-
-
-def test_exchange_separates_alternating_words():
-    before, after = np.zeros((4, 2), int), np.zeros((4, 2), int)
-    of = np.array([0, 1, 1, 0])  # words 0 and 2 only ever stand before 1 and 3, and after them
-    for _ in range(3):
-        for u in range(4):
-            for v in ((1, 3) if u % 2 == 0 else (0, 2)):
-                after[u] += 10 * np.eye(2, dtype=int)[of[v]]
-                before[u] += 10 * np.eye(2, dtype=int)[of[v]]
-        of = class_lm.exchange(before, after, of, 2)
-        before[:], after[:] = 0, 0
-    assert of[0] == of[2] != of[1] == of[3] or len(set(of)) == 1
+
+
+def test_new_texts_and_training_texts_score_alike(spark, learned, corpus):
+    """Words never seen take the class of their ending; a known text scores as the model says."""
+    model, _ = learned
+    words, k = class_map(model)
+    texts = ["the zzzing", "QQ never er", None, *(t for _, t in corpus[12:20])]
+    got = class_lm.with_scores(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), model, keep=["i"]).collect()
+    assert got[0].asDict().keys() == {"i", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
+    for r in got:
+        line = tokens(texts[r.i])
+        want = sum(model.moves[k(p), k(w)] + model.emit[k(w)] + math.log10(words.get(w, (0,))[0] + 0.1) for p, w in zip([b"", *line], line))
+        assert abs(r.score - want) < 1e-9 * max(1, abs(want))
+
+
+def plain_likelihood(bigrams, classes):
+    table = collections.Counter()
+    for (u, v), n in np.ndenumerate(bigrams):
+        table[classes[u], classes[v]] += n
+    f = lambda values: sum(x * math.log(x) for x in values if x)
+    out, into = collections.Counter(), collections.Counter()
+    for (a, b), n in table.items():
+        out[a] += n
+        into[b] += n
+    return f(table.values()) - f(out.values()) - f(into.values())
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_one_round_of_exchange_equals_trying_every_class(seed):
+    rng = np.random.default_rng(seed)
+    n, count = 9, 3
+    bigrams = rng.poisson(1.5, (n, n)) * rng.integers(0, 4, (n, n))
+    start = np.append(np.arange(n - 1) % count, count)
+    got, rises, moved = class_lm.exchange(bigrams, start, count, rounds=1)
+    of, moves = start.copy(), 0
+    for u in np.argsort(-bigrams[: n - 1].sum(1), kind="stable"):
+        if bigrams[u].any() or bigrams[:, u].any():
+            value = []
+            for b in range(count):
+                tried = of.copy()
+                tried[u] = b
+                value.append(plain_likelihood(bigrams, tried))
+            b = int(np.argmax(value))
+            if value[b] > value[of[u]] + 1e-7:
+                of[u] = b
+                moves += 1
+    assert got.tolist() == of.tolist() and moved == [moves]
+    assert abs(rises[0] - plain_likelihood(bigrams, start)) < 1e-6 and abs(rises[1] - plain_likelihood(bigrams, of)) < 1e-6
+
+
+def test_exchange_never_falls_and_settles():
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 6, 200)
+    chance = rng.dirichlet(np.full(6, 0.3), 6)
+    bigrams = rng.poisson(3 * chance[np.ix_(kinds, kinds)])
+    bigrams = np.pad(bigrams, (0, 1))
+    of, rises, moved = class_lm.exchange(bigrams, np.arange(201) % 6, 6, least_gain=0)
+    assert all(b >= a - 1e-6 for a, b in zip(rises, rises[1:])) and moved[-1] == 0 and moved[0] > 50
+    assert len(set(of[:200])) == 6
+    assert rises[-1] >= class_lm.likelihood(bigrams, np.append(kinds, 6), 7)  # no worse than the truth
 
 
 def test_classes_beat_single_words_on_held_out_texts(spark):
@@ -140,6 +243,13 @@ PAGES = {
     '<header>Logo, here.</header><main><header><h1>Head</h1></header><p>Body, text.</p></main><div class="ad">Buy, now!</div>': "Head\nBody, text.",
     '<div class="ad">only, this.</div>': "only, this.",
     '<p title="a>b">quoted</p><!-- no --><![CDATA[x]]><p hidden>no</p>': "quoted",
+    "<body><form><article><p>Body, text.</p></article></form></body>": "Body, text.",
+    "<body><form id=aspnetForm><nav>Home</nav><main><p>Long text, here. And there, too.</p><form><p>Name, mail.</p></form></main></form></body>": "Long text, here. And there, too.",
+    # No article to be found by its tag: the form round the page holds the score.
+    '<body><div>Top line</div><form action="/"><div id="c"><h2>Head</h2><p>Long text, with marks. And more, of it.<p>Next one, here. It goes on, too.</div></form></body>': "Head\nLong text, with marks. And more, of it.\nNext one, here. It goes on, too.",
+    # A form to fill in stays out, and so does one with a role.
+    '<body><div id="c"><p>Long text, with marks. And more, of it.<p>Next one, here.</div><form><label>Name</label><p>Mail, please.</p></form></body>': "Long text, with marks. And more, of it.\nNext one, here.",
+    '<form role="search"><p>Find, it. Here, now.</p></form>': "",
     "<article>" + "<div>" * 3000 + "deep" + "</article>": "deep",
     "<article><p>" + "word " * 50_000 + "</article>": ("word " * 50_000).strip(),
 }
@@ -150,6 +260,18 @@ def test_main_text(html):
     assert main_text.main_text(html) == PAGES[html]
 
 
+def test_the_score_finds_the_text(monkeypatch):
+    """Without an article's tag the score alone tells text from link lists; a random one does not."""
+    link = "<div class=x>" + "".join(f"<p>Link {i}</p>" for i in range(12)) + "</div>"
+    text = "<div class=y>" + "".join(f"<p>Sentence {i}, with a clause, and more words to it. Another, too.</p>" for i in range(6)) + "</div>"
+    pages = [f"<body>{link * (i % 3)}{text}{link * (1 + i % 2)}</body>" for i in range(12)]
+    right = lambda: sum(main_text.main_text(p).startswith("Sentence 0") and "Link" not in main_text.main_text(p) for p in pages)
+    assert right() == 12
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(main_text, "fused", lambda page, lines: rng.random(len(lines)))
+    assert right() < 6
+
+
 def test_template_pages(spark, small):
     """On pages whose article is marked, the text is the article's lines."""
     import html
