@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scarpline.session import scratch_path
 from scarpline.streaming import slots, state
 
 from .fixtures import oracle, rnd
@@ -95,3 +96,65 @@ SELECT aoi, strftime(slot, '%Y-%m-%d %H:%M:%S') AS observed_at, mm AS latest_mm,
 def stream_latest(fx):
     seen = rates(fx).select("aoi", F.window("ts", "30 minutes")["start"].alias("slot"), (F.col("rate") * 0.5).alias("mm"))
     return slots.run_available(state.latest(seen, slots.LATE_DELAY), "latest", settings=state.SETTINGS)
+
+
+# --- several batches -------------------------------------------------------------------------------
+
+def batches(fx, parts, limit=1):
+    """The frames as files of one folder, written one after the other and read one per batch."""
+    path = scratch_path(fx.spark, "landing")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", limit).parquet(path)
+
+
+def observed(fx):
+    raw = fx.table("events").select(
+        (F.col("user_id") % 4).cast("int").alias("aoi"), F.window(F.col("ts").cast("timestamp"), "30 minutes")["start"].alias("slot"),
+        F.expr(KIND).alias("source_kind"), (F.col("value") * 0.5).alias("mm"))
+    return raw
+
+
+RANKED = f"""
+SELECT CAST(user_id % 4 AS INT) AS aoi, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, {KIND} AS source_kind, min(value * 0.5e0) AS mm, CAST(CASE {KIND} WHEN 'IMERG_HHR_EARLY' THEN 1 WHEN 'IMERG_HHR_LATE' THEN 2 ELSE 3 END AS INT) AS source_rank
+FROM events WHERE user_id % 10 < 9 GROUP BY ALL"""
+
+
+@query("stream_upgrade_batches", oracle("""
+SELECT aoi, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, source_kind, source_rank, mm, lag(source_rank) OVER (PARTITION BY aoi, slot ORDER BY source_rank DESC) AS previous_rank FROM r""", r=RANKED))
+def stream_upgrade_batches(fx):
+    """The fallback comes first, then the late run, then the early one: each better run replaces the last.
+
+    A run that arrives after a better one is not shown; here they come in the order of their rank.
+    """
+    seen = observed(fx)
+    kinds = ["OPEN_METEO_FALLBACK", "IMERG_HHR_LATE", "IMERG_HHR_EARLY"]
+    stream = batches(fx, [seen.where(F.col("source_kind") == k) for k in kinds])
+    return slots.run_available(state.run_upgrade(stream, "60 days"), "upgrades", settings=state.SETTINGS)
+
+
+HOURLY = "SELECT CAST(user_id % 4 AS INT) AS aoi, time_bucket(INTERVAL 60 MINUTE, ts) AS slot, max(value) AS mm FROM events WHERE NOT (user_id % 4 = 1 AND EXTRACT(HOUR FROM ts) = 20) GROUP BY ALL"
+NEWEST = """
+SELECT aoi, max(slot) AS anchor FROM h GROUP BY aoi"""
+KEPT = """
+SELECT aoi, anchor, k, mm, min(CASE WHEN mm IS NULL THEN k END) OVER (PARTITION BY aoi) AS gap FROM (
+ SELECT n.aoi, n.anchor, k.k, h.mm FROM n, (SELECT unnest(range(0, 12)) AS k) k LEFT JOIN h ON h.aoi = n.aoi AND h.slot = n.anchor - to_minutes(60 * k.k))"""
+
+
+def run_total(h):
+    return (f"CASE WHEN run >= {h} THEN {rnd(f's{h} / 1e6', 4)} END AS accum_{h}h_mm, CASE WHEN run < {h} THEN CAST(run AS STRING) || ' contiguous hours up to the newest, {h} needed' END AS accum_{h}h_reason")
+
+
+@query("stream_newest_run", oracle(f"""
+SELECT aoi, strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, CAST(run AS INT) AS run_hours, latest_mm, {run_total(3)}, {run_total(6)} FROM (
+ SELECT aoi, anchor, coalesce(min(gap), 12) AS run, max(mm) FILTER (WHERE k = 0) AS latest_mm, {', '.join(f"CAST(sum(CAST(round_even(mm * 1e6, 0) AS BIGINT)) FILTER (WHERE k < {h}) AS DOUBLE) AS s{h}" for h in (3, 6))} FROM kept GROUP BY aoi, anchor)""",
+    h=HOURLY, n=NEWEST, kept=KEPT))
+def stream_newest_run(fx):
+    """Hours in two batches, odd days after even ones: the late hours close gaps behind the anchor."""
+    raw = fx.table("events").where("NOT (user_id % 4 = 1 AND hour(ts) = 20)").withColumn("ts", F.col("ts").cast("timestamp"))
+    hourly = raw.groupBy((F.col("user_id") % 4).cast("int").alias("aoi"), F.window("ts", "60 minutes")["start"].alias("slot")).agg(F.max("value").alias("mm"))
+    odd = F.dayofmonth("slot") % 2 == 1
+    stream = batches(fx, [hourly.where(~odd), hourly.where(odd)])
+    rows = slots.run_available(state.newest_run(stream, "60 days"), "newest-run", settings=state.SETTINGS)
+    last = rows.groupBy("aoi").agg(F.max(F.struct("anchor", "run_hours")).alias("last"))
+    return rows.join(last, "aoi").where((F.col("anchor") == F.col("last.anchor")) & (F.col("run_hours") == F.col("last.run_hours"))).drop("last").distinct()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from .. import vocab
 from ..functions import clock, risk
@@ -94,6 +97,38 @@ def alert_cells(alerts: DataFrame, cells: DataFrame, key: str = "aoi") -> DataFr
     return alerts.join(cells, key)
 
 
+class DroppedRows(StreamingQueryListener):
+    """Late rows dropped by each run, summed over every one of its batches as they end."""
+
+    def __init__(self):
+        self._sums: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self._sums[run] = self._sums.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def wait(self, run: str, seconds: float = 120.0) -> None:
+        """Events come in order but later than the run's end; without the last one no sum is known."""
+        if not self._end(run).wait(seconds):
+            raise TimeoutError(f"no end of run {run} was reported")
+
+    def dropped(self, run: str) -> int:
+        return self._sums.get(run, 0)
+
+
 def run_counted(
     stream: DataFrame, name: str, mode: str = "append", folder: str | None = None,
     state_partitions: int | None = None, settings: dict[str, str] | None = None,
@@ -116,6 +151,8 @@ def run_counted(
     wanted = dict(settings or {})
     if state_partitions:
         wanted[PARTITIONS] = str(state_partitions)
+    watch = DroppedRows()
+    spark.streams.addListener(watch)
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -124,9 +161,12 @@ def run_counted(
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    run.awaitTermination()
-    dropped = sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table"), dropped
+    try:
+        run.awaitTermination()
+        watch.wait(str(run.runId))
+    finally:
+        spark.streams.removeListener(watch)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table"), watch.dropped(str(run.runId))
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", **options) -> DataFrame:

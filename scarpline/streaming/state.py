@@ -148,3 +148,84 @@ def latest(observations: DataFrame, delay: str) -> DataFrame:
             outputMode="append", timeMode="eventTime",
         )
     )
+
+
+RUN_HOURS = 12
+RUN_SCHEMA = (
+    "aoi INT, anchor TIMESTAMP, run_hours INT, latest_mm DOUBLE, "
+    + ", ".join(f"accum_{h}h_mm DOUBLE, accum_{h}h_reason STRING" for h in vocab.ACCUMULATION_HOURS)
+)
+HOUR_MS = 3_600_000
+
+
+class NewestRun(StatefulProcessor):
+    """The hours of an area up to the newest one without a gap, at most RUN_HOURS of them.
+
+    Only hours that could still be in the run are kept, so an area's state is twelve numbers. An
+    hour that arrives late closes a gap behind the anchor; a repeated hour keeps its larger value.
+    """
+
+    def init(self, handle) -> None:
+        self.hours = handle.getMapState("hours", "ms BIGINT", "mm DOUBLE")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = {int(k[0]): float(v[0]) for k, v in self.hours.iterator()} if self.hours.exists() else {}
+        before = dict(known)
+        for frame in rows:
+            for slot, mm in zip(frame["slot"], frame["mm"], strict=True):
+                if pd.notna(mm):
+                    ms = int(pd.Timestamp(slot).timestamp() * 1000)
+                    known[ms] = max(known.get(ms, float("-inf")), float(mm))
+        if not known or known == before:
+            return
+        anchor = max(known)
+        kept = {ms: mm for ms, mm in known.items() if ms > anchor - RUN_HOURS * HOUR_MS}
+        for ms in before.keys() - kept.keys():
+            self.hours.removeKey((ms,))
+        for ms, mm in kept.items():
+            if before.get(ms) != mm:
+                self.hours.updateValue((ms,), (mm,))
+        run = []
+        while anchor - len(run) * HOUR_MS in kept:
+            run.append(kept[anchor - len(run) * HOUR_MS])
+        row = {"aoi": [key[0]], "anchor": [pd.Timestamp(anchor, unit="ms")], "run_hours": [len(run)], "latest_mm": [run[0]]}
+        for h in vocab.ACCUMULATION_HOURS:
+            whole = len(run) >= h
+            # Summed in whole millionths, so the order of arrival does not matter.
+            row[f"accum_{h}h_mm"] = [round(sum(round(mm * 1e6) for mm in run[:h]) / 1e6, 4) if whole else None]
+            row[f"accum_{h}h_reason"] = [None if whole else f"{len(run)} contiguous hours up to the newest, {h} needed"]
+        yield pd.DataFrame(row).astype({f"accum_{h}h_mm": "float64" for h in vocab.ACCUMULATION_HOURS})
+
+    def close(self) -> None:
+        pass
+
+
+def newest_run(hourly: DataFrame, delay: str) -> DataFrame:
+    """hourly: aoi, slot (an hour's start), mm. A row per area and batch that changed its hours."""
+    return (
+        hourly.withWatermark("slot", delay).groupBy("aoi")
+        .transformWithStateInPandas(
+            statefulProcessor=NewestRun(), outputStructType=RUN_SCHEMA, outputMode="append", timeMode="none",
+        )
+    )
+
+
+def upsert_latest(table: str, key: str = "aoi", order: str = "observed_at"):
+    """A foreachBatch sink that keeps the newest row per key in a table of its own.
+
+    Each batch writes one folder, named by its number, with the newest row of each of its keys: a
+    batch that is repeated after a failure overwrites its own folder, so every row counts once.
+    Rows of one key in one batch are ordered by `order`, then by the age they report.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        ranked = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "age_minutes")).alias("r")).select("r.*")
+        ranked.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table}/batch={number:08d}")
+
+    return write
+
+
+def read_latest(spark, table: str, key: str = "aoi") -> DataFrame:
+    """The row of each key from the last batch that had one."""
+    rows = spark.read.parquet(f"{table}/batch=*")
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
