@@ -24,6 +24,7 @@ HEADLINE = [
     "complete_accumulation", "rainfall_trigger", "risk_fusion", "current_and_forecast_risk",
     "buffered_negatives", "exposure_join", "binary_metrics", "roc_auc", "average_precision",
     "spatial_holdout", "grid_summary", "state_sweep", "fused_grid_overview", "training_matrix", "stream_accum", "stream_run_upgrade", "point_score", "grid_score",
+    "raster_sample_many", "scenario_compare", "budgeted_negatives", "exposure_join_adaptive",
 ]
 
 

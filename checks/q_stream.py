@@ -158,3 +158,25 @@ def stream_newest_run(fx):
     rows = slots.run_available(state.newest_run(stream, "60 days"), "newest-run", settings=state.SETTINGS)
     last = rows.groupBy("aoi").agg(F.max(F.struct("anchor", "run_hours")).alias("last"))
     return rows.join(last, "aoi").where((F.col("anchor") == F.col("last.anchor")) & (F.col("run_hours") == F.col("last.run_hours"))).drop("last").distinct()
+
+
+LATEST = f"""
+SELECT aoi, slot, mm, aoi = 3 AS silent FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY slot DESC, mm DESC) AS rn FROM (
+ SELECT CAST(user_id % 4 AS INT) AS aoi, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, value * 0.5e0 AS mm FROM events WHERE user_id % 4 <> 3 OR EXTRACT(DAY FROM ts) < 10)) WHERE rn = 1"""
+CLOCK = "SELECT max(time_bucket(INTERVAL 30 MINUTE, ts)) AS mark FROM events WHERE user_id % 4 <> 3 AND EXTRACT(DAY FROM ts) BETWEEN 10 AND 19"
+
+
+@query("stream_latest_table", oracle("""
+SELECT aoi, strftime(slot, '%Y-%m-%d %H:%M:%S') AS observed_at, mm AS latest_mm, CASE WHEN silent THEN CAST(date_diff('minute', slot, mark) AS DOUBLE) ELSE 0e0 END AS age_minutes,
+ CASE WHEN silent THEN 'STALE' ELSE 'NEAR_REAL_TIME' END AS freshness, silent AS is_stale FROM l, c""", l=LATEST, c=CLOCK))
+def stream_latest_table(fx):
+    """The newest observation per area in a table that each batch updates; one area falls silent.
+
+    Its state's timer runs out as the others' time goes on, and its row becomes STALE.
+    """
+    day = F.dayofmonth("slot")
+    seen, silent = observed(fx).select("aoi", "slot", "mm"), F.col("aoi") == 3
+    parts = [seen.where(day < 10), seen.where(~silent & day.between(10, 19)), seen.where(~silent & (day >= 20))]
+    table = scratch_path(fx.spark, "latest-table")
+    slots.run_each(state.latest(batches(fx, parts), "0 minutes"), "latest-table", state.upsert_latest(table), settings=state.SETTINGS)
+    return state.read_latest(fx.spark, table)

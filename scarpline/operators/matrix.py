@@ -100,7 +100,8 @@ def buffered_negatives(
         ).withColumns({"latitude": lat, "longitude": lon}).drop(*BOX)
         return far_from(points, places, buffer_deg, by)
 
-    early = attempt_range(seeds, 0, first_round)
+    # Written, as the rows it serves and the positives it leaves short are both read from it.
+    early = through_table(attempt_range(seeds, 0, first_round), "first-round")
     accepted = early
     if first_round < tries:
         served = early.groupBy(*by, "positive_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= ratio)

@@ -232,16 +232,18 @@ def terrain_of(cells: DataFrame, meta: RasterMeta, block: int = BLOCK) -> DataFr
 
 
 def raster_sample(points: DataFrame, wide: DataFrame, meta: RasterMeta,
-                  names=tuple(vocab.TERRAIN_FEATURES)) -> DataFrame:
+                  names=tuple(vocab.TERRAIN_FEATURES), also: tuple[str, ...] = ()) -> DataFrame:
     """Nearest-cell values at points from one wide cell table; all names must be usable.
 
+    `also` names cell columns that come along as they are, usable or not.
+
     A point off the raster, or on a missing value, keeps its row with null values,
     status UNAVAILABLE and the reasons.
     """
     keyed = points.withColumns({"_r": meta.row("latitude"), "_c": meta.col("longitude")})
     cells = wide.select(
         F.col("row_idx").alias("_r"), F.col("col_idx").alias("_c"),
-        *[mask_nodata(n, meta.nodata).alias(n) for n in names], F.lit(True).alias("_hit"),
+        *[mask_nodata(n, meta.nodata).alias(n) for n in names], *also, F.lit(True).alias("_hit"),
     )
     joined = keyed.join(cells, ["_r", "_c"], "left")
     covered = F.coalesce("_hit", F.lit(False))
@@ -256,7 +258,7 @@ def raster_sample(points: DataFrame, wide: DataFrame, meta: RasterMeta,
     ok = F.col("_ok")
     return out.select(
         *points.columns,
-        *[F.when(ok, F.col(n)).alias(n) for n in names],
+        *[F.when(ok, F.col(n)).alias(n) for n in names], *also,
         F.when(ok, "REAL").otherwise("UNAVAILABLE").alias("status"),
         "reasons",
     )

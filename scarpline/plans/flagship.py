@@ -15,10 +15,8 @@ def fused_cells(boxes: DataFrame, wide: DataFrame, meta: raster.RasterMeta, rain
     wide: the terrain table plus a susceptibility column per cell; rain: one row per
     state with antecedent features, rain_status and rain_reasons.
     """
-    cells = grid.cell_features(boxes, wide.drop("susceptibility"), meta, rain, step)
-    scores = wide.select(F.col("row_idx").alias("_r"), F.col("col_idx").alias("_c"), F.col("susceptibility").alias("_s"))
-    keyed = cells.withColumns({"_r": meta.row("latitude"), "_c": meta.col("longitude")})
-    return grid.fused_grid(keyed.join(scores, ["_r", "_c"], "left"), F.col("_s")).drop("_r", "_c", "_s")
+    cells = grid.cell_features(boxes, wide, meta, rain, step, also=("susceptibility",))
+    return grid.fused_grid(cells, F.col("susceptibility"))
 
 
 def risk_overview(cells: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ from ..operators import rainfall, raster, rasters
 
 
 def cell_features(boxes: DataFrame, wide: DataFrame, meta: raster.RasterMeta, rain: DataFrame,
-                  step: float = 0.05) -> DataFrame:
+                  step: float = 0.05, also: tuple[str, ...] = ()) -> DataFrame:
     """Every grid cell with its 11 features, or UNAVAILABLE and why.
 
-    rain: one row per state with the features, rain_status and rain_reasons.
+    also: columns of `wide` that come along in the same join; rain: one row per state with the features, rain_status and rain_reasons.
     """
     cells = aoi_ops.grid_build(boxes, step)
-    sampled = raster.raster_sample(cells, wide, meta)
+    sampled = raster.raster_sample(cells, wide, meta, also=also)
     sampled = sampled.withColumn(vocab.LAND_COVER_FEATURE, landcover.proxy_class("elevation"))
     joined = rainfall.aoi_rain_broadcast(sampled, rain, "state")
     why = F.array_compact(F.concat("reasons", F.array(no_rain())))

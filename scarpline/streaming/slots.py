@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -129,6 +130,19 @@ class DroppedRows(StreamingQueryListener):
         return self._sums.get(run, 0)
 
 
+@contextmanager
+def started_with(spark: SparkSession, settings: dict[str, str]):
+    """Settings for a query that is started inside: it takes them as it starts, and keeps them."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_counted(
     stream: DataFrame, name: str, mode: str = "append", folder: str | None = None,
     state_partitions: int | None = None, settings: dict[str, str] | None = None,
@@ -153,15 +167,9 @@ def run_counted(
         wanted[PARTITIONS] = str(state_partitions)
     watch = DroppedRows()
     spark.streams.addListener(watch)
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        run = writer.start()  # a query takes its settings when it starts
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     try:
+        with started_with(spark, wanted):
+            run = writer.start()
         run.awaitTermination()
         watch.wait(str(run.runId))
     finally:
@@ -169,6 +177,22 @@ def run_counted(
     return spark.read.schema(stream.schema).parquet(f"{folder}/table"), watch.dropped(str(run.runId))
 
 
+def run_each(stream: DataFrame, name: str, write, folder: str | None = None, settings: dict[str, str] | None = None) -> None:
+    """Run a stream over everything there is, each batch given to write(batch, number).
+
+    A batch may be given again after a failure, with the same number: `write` must then leave
+    what one call leaves. A later call with the same folder resumes.
+    """
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, name)
+    with started_with(spark, settings or {}):
+        run = (
+            stream.writeStream.foreachBatch(write).outputMode("append")
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        )
+    run.awaitTermination()
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append", **options) -> DataFrame:
     """The table of `run_counted`."""
     return run_counted(stream, name, mode, **options)[0]

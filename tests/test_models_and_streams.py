@@ -185,3 +185,45 @@ def test_alerts_need_the_threshold(spark):
     df = spark.createDataFrame([(1, 100.0, None), (2, 5.0, 200.0)], "aoi int, accum_3h_mm double, accum_6h_mm double")
     got = sorted((r.aoi, r.duration_h) for r in slots.trigger_alerts(df).collect())
     assert got == [(1, 3.0), (2, 6.0)]
+
+
+def test_the_newest_run_stops_at_the_first_gap(spark):
+    schema = "aoi int, slot timestamp, mm double"
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    batches = [
+        [(1, hour(h), 1.0) for h in (0, 1, 2, 5, 6)] + [(2, hour(3), None)],
+        [(1, hour(4), 2.0), (1, hour(6), 0.5)],
+        [(1, hour(3), 0.25)],
+        [(1, hour(3), 0.25)],
+        [(1, hour(30), 9.0)],
+    ]
+    out = slots.run_available(state.newest_run(feed(spark, batches, schema), "9 days"), "run", settings=state.SETTINGS).collect()
+    got = sorted((r.anchor, r.run_hours, r.accum_3h_mm, r.accum_6h_mm) for r in out)
+    assert got == [(hour(6), 2, None, None), (hour(6), 3, 4.0, None), (hour(6), 7, 4.0, 6.25), (hour(30), 1, None, None)]
+    assert all(("contiguous" in (r.accum_6h_reason or "")) == (r.accum_6h_mm is None) for r in out)
+
+
+def test_a_repeated_batch_counts_once(spark):
+    """foreachBatch may see a batch twice: the table is as after one call, and the newest row stays."""
+    table = scratch_path(spark, "upsert")
+    write = state.upsert_latest(table)
+    row = lambda aoi, slot, mm, age=0.0: (aoi, at(slot), mm, age, "NEAR_REAL_TIME", False)
+    first = spark.createDataFrame([row(1, 0, 1.0), row(1, 2, 3.0), row(2, 5, 4.0)], state.LATEST_SCHEMA)
+    second = spark.createDataFrame([row(1, 3, 7.0), row(1, 3, 7.0, 200.0)], state.LATEST_SCHEMA)
+    for batch, number in ((first, 0), (second, 1), (first, 0), (second, 1)):
+        write(batch, number)
+    got = sorted((r.aoi, r.observed_at, r.latest_mm, r.age_minutes) for r in state.read_latest(spark, table).collect())
+    assert got == [(1, at(3), 7.0, 200.0), (2, at(5), 4.0, 0.0)]
+
+
+def test_dropped_rows_are_counted_over_many_batches(spark):
+    """The count does not rest on the last few progress reports."""
+    schema = "aoi int, slot timestamp, source_kind string, mm double"
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", None)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        batches = [[(1, at(100), "IMERG_HHR_EARLY", 1.0)], [(1, at(101), "IMERG_HHR_EARLY", 1.0)], *([(1, at(i), "IMERG_HHR_EARLY", 5.0)] for i in range(3)), [(1, at(102), "IMERG_HHR_EARLY", 1.0)]]
+        _, dropped = slots.run_counted(state.run_upgrade(feed(spark, batches, schema), slots.LATE_DELAY), "many", settings=state.SETTINGS)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates") if before is None else spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert dropped == 3
