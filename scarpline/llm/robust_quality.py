@@ -14,8 +14,11 @@ held against a minimum-covariance-determinant estimate of its language and sourc
 * A least variance is added on the diagonal, so a statistic that most texts share (no
   symbols at all, say) cannot make every other text an outlier.
 
-Groups of fewer than `least` rows share one estimate per language. Null languages and sources
-are groups of their own.
+A group's estimate is drawn toward that of its language, the more the fewer rows it rests on: with
+n of them it counts n / (n + `prior`), the language the rest. So a source of three texts is held
+against its language, one of a million against itself, and nothing changes at any size between.
+Null languages and sources are groups of their own. Columns may have any name: those called like an
+output are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -97,8 +100,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def with_vector(df: DataFrame) -> DataFrame:
-    """Add the vector in thousandths: logarithms of length and of shares of the words."""
+def vector() -> dict[str, Column]:
+    """The vector in thousandths: logarithms of length and of shares of the words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c, by: F.log1p(by * F.col(c) / n)
     terms = [
@@ -108,7 +111,12 @@ def with_vector(df: DataFrame) -> DataFrame:
         share("n_repeat_words", 10),
         share("n_capitals", 4),
     ]
-    return df.withColumns({z: F.round(UNIT * t).cast("bigint") for z, t in zip(VECTOR, terms, strict=True)})
+    return {z: F.round(UNIT * t).cast("bigint") for z, t in zip(VECTOR, terms, strict=True)}
+
+
+def with_vector(df: DataFrame) -> DataFrame:
+    """Add the vector's columns; columns of their names are replaced."""
+    return df.withColumns(vector())
 
 
 # ---------------------------------------------------------------- the estimate
@@ -145,29 +153,42 @@ def _inverse(matrix: Column, p: int) -> Column:
     return F.transform(done, lambda row: F.slice(row, p + 1, p))
 
 
-def _distance(names: list[str]) -> Column:
-    """Squared Mahalanobis distance to `center` under the inverse covariance `inv`."""
-    away = [F.col(z) / UNIT - F.col("center")[i] for i, z in enumerate(names)]
-    terms = [away[i] * away[j] * F.col("inv")[i][j] * (1 if i == j else 2) for i in range(len(names)) for j in range(i, len(names))]
+def _distance(names: list[str], of: str = "") -> Column:
+    """Squared Mahalanobis distance to `__center` under the inverse covariance `__inv`."""
+    away = [F.col(of + z) / UNIT - F.col("__center")[i] for i, z in enumerate(names)]
+    terms = [away[i] * away[j] * F.col("__inv")[i][j] * (1 if i == j else 2) for i in range(len(names)) for j in range(i, len(names))]
     return sum(terms[1:], terms[0])
 
 
+def _estimate(found: DataFrame, keys: list[str], base: DataFrame | None, prior: float) -> DataFrame:
+    """Groups with their row counts, centers and covariances (__n, __mid, __cov) -> drawn toward the
+    language's (`base`), with the inverse. Without a base they are taken as they are."""
+    p = len(VECTOR)
+    center, cov = F.col("__mid"), F.col("__cov")
+    if base is not None:
+        found = found.join(base.select("__lang", F.col("__center").alias("__c0"), F.col("__cov").alias("__v0")), "__lang")
+        own = F.col("__n") / (F.col("__n") + prior)
+        mixed = lambda a, b: F.zip_with(a, b, lambda x, y: own * x + (1 - own) * y)
+        center, cov = mixed(center, F.col("__c0")), F.zip_with(cov, F.col("__v0"), mixed)
+    return found.select(*keys, center.alias("__center"), cov.alias("__cov")).withColumn("__inv", _inverse(F.col("__cov"), p))
+
+
 def _start(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Per group: medians, and inverse squared quartile spreads on the diagonal."""
+    """Per group: its rows, medians, and squared quartile spreads on the diagonal."""
     long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(z).alias("v")) for i, z in enumerate(names)))).alias("e"))
     counted = long.groupBy(*keys, F.col("e.i").alias("i"), F.floor(F.col("e.v") / 10).alias("v")).count()
     whole = Window.partitionBy(*keys, "i")
     counted = counted.withColumns({"upto": F.sum("count").over(whole.orderBy("v")), "all": F.sum("count").over(whole)})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) * 10 / UNIT
-    per = counted.groupBy(*keys, "i").agg(at(0.5).alias("mid"), (at(0.75) - at(0.25)).alias("iqr"))
+    per = counted.groupBy(*keys, "i").agg(at(0.5).alias("mid"), (at(0.75) - at(0.25)).alias("iqr"), F.max("all").alias("n"))
     least = F.array(*(F.lit(s) for s in VECTOR.values()))
     per = per.withColumn("sd", F.greatest(F.col("iqr") / 1.349, F.get(least, F.col("i"))))
-    per = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "mid", "sd"))).alias("e"))  # one entry per statistic
+    per = per.groupBy(*keys).agg(F.max("n").alias("__n"), F.array_sort(F.collect_list(F.struct("i", "mid", "sd"))).alias("e"))  # one entry per statistic
     p = len(names)
     return per.select(
-        *keys,
-        F.array(*(F.col("e")[i]["mid"] for i in range(p))).alias("center"),
-        F.array(*(F.array(*((1 / F.col("e")[i]["sd"] ** 2) if i == j else F.lit(0.0) for j in range(p))) for i in range(p))).alias("inv"),
+        *keys, "__n",
+        F.array(*(F.col("e")[i]["mid"] for i in range(p))).alias("__mid"),
+        F.array(*(F.array(*((F.col("e")[i]["sd"] ** 2) if i == j else F.lit(0.0) for j in range(p))) for i in range(p))).alias("__cov"),
     )
 
 
@@ -183,43 +204,50 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str], names: l
     columns = ["c", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs)]
     run = binned.select(*keys, "bin", F.sum("c").over(Window.partitionBy(*keys)).alias("all"), *(F.sum(c).over(upto).alias(c) for c in columns))
     run = run.where(F.col("c") >= part * F.col("all"))
-    best = run.groupBy(*keys).agg(F.min_by(F.struct(*columns), "bin").alias("m")).select(*keys, "m.*")
+    best = run.groupBy(*keys).agg(F.min_by(F.struct("all", *columns), "bin").alias("m")).select(*keys, "m.*")
     mean = [F.col(f"s{i}") / F.col("c") / UNIT for i in range(p)]
     cov = {(i, j): factor * (F.col(f"q{i}_{j}") / F.col("c") / UNIT**2 - mean[i] * mean[j]) for i, j in pairs}
     least = list(VECTOR.values())
     matrix = F.array(*(F.array(*(cov[min(i, j), max(i, j)] + (F.lit(least[i] ** 2) if i == j else 0) for j in range(p))) for i in range(p)))
-    return best.select(*keys, F.array(*mean).alias("center"), _inverse(matrix, p).alias("inv"))
+    return best.select(*keys, F.col("all").alias("__n"), F.array(*mean).alias("__mid"), matrix.alias("__cov"))
 
 
-def with_verdict(
-    table: DataFrame, lang: str = "lang", source: str = "source", part: float = 0.6, steps: int | None = None, least: int = 200, tail: float = 0.999
-) -> DataFrame:
-    """Add `base_failed`, `distance` (squared) and `kept` to rows of `with_statistics`.
-
-    `table` is read once per step, so write it first (`through_table`). Only rows that pass the
-    base rules shape the estimates. `part` is the share of a group in its estimate, `steps` the
-    concentration steps (None: until every estimate stays as it is), `least` the rows below which groups of a language share one estimate;
-    rows whose squared distance is beyond the chi-square quantile `tail` are rejected. A group
-    without a row that passes the base rules has no estimate, and its rows no distance.
-    """
-    names, keys = list(VECTOR), ["__lang", "__source"]
-    rows = with_vector(table.withColumn("base_failed", base_failed()))
-    rows = rows.withColumns({"__lang": F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")), "__own": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))})
-    fair = rows.where(~F.col("base_failed"))
-    sizes = through_table(fair.groupBy("__lang", "__own").count(), "groups").where(F.col("count") >= least)
-    sizes = sizes.select("__lang", "__own", F.col("__own").alias("__source"))
-    rows = rows.join(sizes, ["__lang", "__own"], "left").withColumn("__source", F.coalesce("__source", F.lit("few")))
-    fair = rows.where(~F.col("base_failed")).select(*keys, *names)
+def robust_estimate(rows: DataFrame, keys: list[str], base: DataFrame | None = None, part: float = 0.6, prior: float = 200.0, steps: int | None = None) -> DataFrame:
+    """Per group `__center`, `__cov` and `__inv`: concentration steps until every estimate stays as it
+    is, or so many `steps`. rows: the keys and the vector's columns, read once per step."""
+    names = list(VECTOR)
     bound = chi2_at(part, len(names))
     factor = part / chi2_below(bound, len(names) + 2)
-    estimate = through_table(_start(fair, keys, names), "estimate")
+    estimate = through_table(_estimate(_start(rows, keys, names), keys, base, prior), "estimate")
     seen, taken = set(), 0
     while taken != steps:
-        estimate = through_table(_concentrate(fair, estimate, keys, names, part, factor), "estimate")
+        estimate = through_table(_estimate(_concentrate(rows, estimate, keys, names, part, factor), keys, base, prior), "estimate")
         taken += 1
-        state = estimate.agg(F.sum(F.xxhash64(*keys, "center", "inv").cast("decimal(38,0)"))).first()[0]
+        state = estimate.agg(F.sum(F.xxhash64(*keys, "__center", "__inv").cast("decimal(38,0)"))).first()[0]
         if steps is None and state in seen:
             break
         seen.add(state)
-    judged = rows.join(estimate, keys, "left").withColumn("distance", _distance(names))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_at(tail, len(names)), F.lit(True))).drop(*keys, "__own", *names, "center", "inv")
+    return estimate
+
+
+def with_verdict(
+    table: DataFrame, lang: str = "lang", source: str = "source", part: float = 0.6, steps: int | None = None, prior: float = 200.0, tail: float = 0.999
+) -> DataFrame:
+    """Add `base_failed`, `distance` (squared) and `kept` to rows of `with_statistics`.
+
+    `table` is read once per step, so write it first (`through_table`). Only rows that pass the
+    base rules shape the estimates. `part` is the share of a group in its estimate, `steps` the
+    concentration steps (None: until every estimate stays as it is), `prior` the rows that a
+    language's estimate counts for in each of its sources; rows whose squared distance is beyond
+    the chi-square quantile `tail` are rejected. A group without a row that passes the base rules
+    has no estimate, and its rows no distance.
+    """
+    names, keys = list(VECTOR), ["__lang", "__source"]
+    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    rows = table.withColumns({"base_failed": base_failed(), "__lang": group(lang), "__source": group(source), "__v": F.struct(*[c.alias(z) for z, c in vector().items()])})
+    fair = rows.where(~F.col("base_failed")).select(*keys, "__v.*")
+    language = robust_estimate(fair, ["__lang"], None, part, prior, steps)
+    estimate = robust_estimate(fair, keys, language, part, prior, steps)
+    judged = rows.join(estimate.drop("__cov"), keys, "left").withColumn("distance", _distance(names, "__v."))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_at(tail, len(names)), F.lit(True))
+    return judged.withColumn("kept", kept).drop(*keys, "__v", "__center", "__inv")

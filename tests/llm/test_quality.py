@@ -48,7 +48,7 @@ def judged(spark):
 
 
 def test_outliers_go_and_clean_texts_stay(judged):
-    rows = robust_quality.with_verdict(judged, least=50).collect()
+    rows = robust_quality.with_verdict(judged.withColumns({c: F.lit(c) for c in ("center", "inv", "z_length", "c", "bin", "all")})).collect()
     assert len(rows) == 982
     clean = [r for r in rows if r.doc_id is not None and r.doc_id < 1000 and not r.base_failed]
     assert sum(r.kept for r in clean) >= 0.995 * len(clean)
@@ -56,27 +56,36 @@ def test_outliers_go_and_clean_texts_stay(judged):
 
 
 def test_estimate_equals_numpy(judged):
-    """The same steps in numpy on one group: histogram ranks, moments, consistency factor."""
+    """The same steps in numpy: histogram ranks, moments, consistency factor, groups drawn to the language."""
     names, p = list(robust_quality.VECTOR), len(robust_quality.VECTOR)
-    part, steps = 0.6, 3
-    table = judged.withColumns({"lang": F.lit("x"), "source": F.lit("y")})
-    rows = robust_quality.with_vector(robust_quality.with_verdict(table, part=part, steps=steps, least=1)).where("doc_id IS NOT NULL").collect()
+    part, steps, prior = 0.6, 3, 150.0
+    table = through_table(judged.where("doc_id IS NOT NULL").withColumns({"lang": F.lit("x"), "source": F.when(F.col("doc_id") % 9 == 0, "small").when(F.col("doc_id") == 7, "one").otherwise("large")}), "grouped")
+    rows = robust_quality.with_vector(robust_quality.with_verdict(table, part=part, steps=steps, prior=prior)).collect()
     x = np.array([[r[z] for z in names] for r in rows], float) / 1000
-    fair = x[[not r.base_failed for r in rows]]
+    fair, source = np.array([not r.base_failed for r in rows]), np.array([r.source for r in rows])
     floor = np.array(list(robust_quality.VECTOR.values()))
     cut = lambda v, q: np.sort(np.floor(np.round(v * 1000) / 10))[int(np.ceil(q * len(v))) - 1] * 10 / 1000
-    mid = np.array([cut(v, 0.5) for v in fair.T])
-    sd = np.maximum([(cut(v, 0.75) - cut(v, 0.25)) / 1.349 for v in fair.T], floor)
-    inverse = np.diag(1 / sd**2)
     bound = robust_quality.chi2_at(part, p)
     factor = part / robust_quality.chi2_below(bound, p + 2)
-    far = lambda v: np.einsum("ni,ij,nj->n", v - mid, inverse, v - mid)
-    for _ in range(steps):
-        bins = np.floor(50 * np.log(far(fair) + 1e-6))
-        near = fair[bins <= np.sort(bins)[int(np.ceil(part * len(fair))) - 1]]
-        mid = near.mean(0)
-        inverse = np.linalg.inv(factor * np.cov(near.T, bias=True) + np.diag(floor**2))
-    assert np.allclose(far(x), [r.distance for r in rows], rtol=1e-6, atol=1e-9)
+    far = lambda v, mid, cov: np.einsum("ni,ij,nj->n", v - mid, np.linalg.inv(cov), v - mid)
+
+    def estimate(v, base=None):
+        own = len(v) / (len(v) + prior)
+        drawn = lambda mid, cov: (mid, cov) if base is None else (own * mid + (1 - own) * base[0], own * cov + (1 - own) * base[1])
+        sd = np.maximum([(cut(c, 0.75) - cut(c, 0.25)) / 1.349 for c in v.T], floor)
+        mid, cov = drawn(np.array([cut(c, 0.5) for c in v.T]), np.diag(sd**2))
+        for _ in range(steps):
+            bins = np.floor(50 * np.log(far(v, mid, cov) + 1e-6))
+            near = v[bins <= np.sort(bins)[int(np.ceil(part * len(v))) - 1]]
+            mid, cov = drawn(near.mean(0), factor * np.cov(near.T, bias=True).reshape(p, p) + np.diag(floor**2))
+        return mid, cov
+
+    language = estimate(x[fair])
+    assert {"small", "one", "large"} == set(source)
+    for name in set(source):
+        own = source == name
+        if (own & fair).any():
+            assert np.allclose(far(x[own], *estimate(x[own & fair], language)), [r.distance for r in rows if r.source == name], rtol=1e-6, atol=1e-9)
 
 
 def test_chi_square():
