@@ -13,8 +13,9 @@ Exact search without all pairs:
 * Each fingerprint lives in one leaf. By the triangle inequality only leaves whose ball or
   shell it can reach within `radius` hold its partners. It visits those behind its own, so
   each pair meets in exactly one leaf: the later one's home.
-* A leaf with more fingerprints than a block holds is dealt out as pairs of blocks; inside a
-  task the tree goes on down to small sets, compared in blocks of bits.
+* A leaf with more fingerprints than a block holds is dealt out as pairs of blocks, and so are
+  its visitors: a task holds two blocks, whatever the leaf. Inside a task the tree goes on down
+  to small sets, compared in blocks of bits.
 * A task keeps a union-find of its links and emits a spanning star of each group, never all
   pairs. `components` joins the stars.
 """
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.session import through_table
@@ -209,16 +210,17 @@ def _points(table: pa.Table, lanes: list[str]) -> Points:
 
 def _cell(reach: Reach, lanes: list[str]):
     """Rows of one cell -> spanning stars. Home rows of the first block meet those of the second
-    (or each other, in a cell of one block); visitors meet the home rows."""
+    (or each other, in a cell of one block); visitors meet the home rows. Copies of home rows
+    that are there for a further block of visitors meet only those."""
 
     def links(table: pa.Table) -> pa.Table:
         points, side, groups = _points(table, lanes), table["side"].to_numpy(), Groups(table.num_rows)
-        first, second, visiting = (np.flatnonzero(side == k) for k in (0, 1, 2))
+        first, second, visiting, copies = (np.flatnonzero(side == k) for k in (0, 1, 2, 3))
         if len(second):
             link_near(points, second, first, reach, groups)
         elif table["i"][0].as_py() == table["j"][0].as_py():
             link_near(points, first, first, reach, groups)
-        link_near(points, first, visiting, reach, groups)
+        link_near(points, np.concatenate([first, copies]), visiting, reach, groups)
         rows = np.flatnonzero(groups.root != np.arange(len(points)))
         node = table["node"].to_numpy()
         return pa.table({"u": node[rows], "v": node[groups.root[rows]]})
@@ -262,18 +264,26 @@ def near_links(nodes: DataFrame, lanes: list[str], radius: int, window: float =
     own = ["node", *lanes, "size"]
     own = list(dict.fromkeys(own))
     placed = through_table(nodes.select(*own, place("size", *lanes).alias("p")).select(*own, "p.home", "p.visits"), "placed")
-    sizes = {r.home: r["count"] for r in placed.groupBy("home").count().collect()}  # one row per leaf
-    blocks = {k: -(-c // leaf) for k, c in sizes.items() if c > leaf}
-    count = F.lit(1)
-    if blocks:
-        count = F.coalesce(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))[F.col("at")], F.lit(1))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int")
-    home = placed.select(*own, F.col("home").alias("at")).withColumn("n", count).withColumn("b", block)
-    home = home.select(*own, "at", "b", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
-    home = home.select(*own, "at", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
-    away = placed.select(*own, F.explode("visits").alias("at")).withColumn("n", count)
-    away = away.select(*own, "at", F.explode(F.expr("sequence(0, n - 1)")).alias("i")).select(*own, "at", "i", F.col("i").alias("j"), F.lit(2).alias("side"))
-    return home.unionByName(away).groupBy("at", "i", "j").applyInArrow(_cell(reach, lanes), "u bigint, v bigint")
+    # One row per leaf each: how many blocks its own rows and its visitors fill.
+    sizes = {r.home: r["count"] for r in placed.groupBy("home").count().collect()}
+    guests = {r.at: r["count"] for r in placed.select(F.explode("visits").alias("at")).groupBy("at").count().collect()}
+
+    def filled(counts: dict) -> Column:
+        many = {k: -(-c // leaf) for k, c in counts.items() if c > leaf}
+        if not many:
+            return F.lit(1)
+        return F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("at")], F.lit(1))
+
+    dealt = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    home = placed.select(*own, F.col("home").alias("at")).withColumns({"n": filled(sizes), "guests": filled(guests)}).withColumn("b", dealt(1, "n"))
+    home = home.select(*own, "at", "b", "guests", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
+    # Where the rows of a block meet each other, the leaf's visitors come too, block by block.
+    home = home.select(*own, "at", "b", "o", F.explode(F.when(F.col("b") == F.col("o"), F.expr("sequence(0, guests - 1)")).otherwise(F.array(F.lit(0)))).alias("w"))
+    part = F.when(F.col("w") > 0, 3).when(F.col("b") <= F.col("o"), 0).otherwise(1)
+    home = home.select(*own, "at", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "w", part.alias("side"))
+    away = placed.select(*own, F.explode("visits").alias("at")).withColumns({"n": filled(sizes), "guests": filled(guests)}).withColumn("w", dealt(2, "guests"))
+    away = away.select(*own, "at", F.explode(F.expr("sequence(0, n - 1)")).alias("i"), "w").select(*own, "at", "i", F.col("i").alias("j"), "w", F.lit(2).alias("side"))
+    return home.unionByName(away).groupBy("at", "i", "j", "w").applyInArrow(_cell(reach, lanes), "u bigint, v bigint")
 
 
 def fingerprint_roots(prints: DataFrame, radius: int = 3, **options) -> DataFrame:
