@@ -39,6 +39,6 @@ def test_run_and_registration(spark, small):
 
     assert driver.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in driver.oracle_sql()
     ops = [k for k in driver.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in ops) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in ops) == list(range(1, 14))
     rows = corpus_pipeline.run(spark, small)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
