@@ -484,9 +484,9 @@ def test_map_header_names_the_series_really_used(spark):
     cells = spark.createDataFrame([("Sikkim", "OK", 0.9), ("Sikkim", "UNAVAILABLE", None), ("Assam", "UNAVAILABLE", None)], "state string, status string, probability double")
     rain = spark.createDataFrame([("Sikkim", vocab.FALLBACK_LABEL, vocab.SOURCE_FALLBACK, True, "FALLBACK")], "state string, source string, source_kind string, is_fallback boolean, data_quality_status string")
     rows = {r.state: r for r in documents.map_header(grid.grid_summary(cells, ["state"]), rain, "2024-01-20", 0.05).collect()}
-    assert rows["Sikkim"].generated_from.startswith("susceptibility model + FALLBACK")
+    assert rows["Sikkim"].generated_from.startswith("susceptibility model + earlier rain: stand-in series " + vocab.FALLBACK_LABEL)
     assert rows["Sikkim"].summary.risk_class_counts == {"EXTREME": 1, "HIGH": 0, "MEDIUM": 0, "LOW": 0}
-    assert "UNREPORTED" in rows["Assam"].generated_from and rows["Assam"].summary.mean_probability is None
+    assert "origin not stated" in rows["Assam"].generated_from and rows["Assam"].summary.mean_probability is None
 
 
 def test_crop_window():
