@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scarpline import vocab
 from scarpline.operators import ensembles, matrix, models, raster, rasters
 from scarpline.plans import model_runs
-from scarpline.session import scratch_path
+from scarpline.session import scratch_path, through_table
 
 FEATURES = vocab.MODEL_FEATURES
 
@@ -197,3 +197,19 @@ def test_land_cover_of_the_first_known_raster(spark, georef):
     points = spark.createDataFrame([(1, "Sikkim", 27.95, 88.05), (2, "Sikkim", 27.95, 88.15), (3, "Assam", 27.95, 88.15), (4, "Assam", 20.0, 88.0)], "k int, state string, latitude double, longitude double")
     got = {r.k: (r.land_cover_class, r.land_cover_unavailable) for r in rasters.landcover(points, "k", cells, georef).collect()}
     assert got == {1: (1, False), 2: (4, False), 3: (1, False), 4: (-1, True)}
+
+
+def test_cells_whose_file_is_small_are_not_broadcast(spark, georef):
+    """A raster of equal cells is a tiny file of many rows, and exploded points look like few."""
+    rows = spark.range(200_000).selectExpr("CAST(0 AS INT) AS raster_id", "CAST(id DIV 400 AS INT) AS row_idx", "CAST(id % 400 AS INT) AS col_idx", "7.0D AS elevation", "10 AS code")
+    wide = through_table(rows, "flat")
+    points = spark.range(1).selectExpr("explode(sequence(1, 1000)) AS k", "'Sikkim' AS state").withColumns({"latitude": 27.9 - F.col("k") / 1e4, "longitude": F.lit(88.5)})
+    meta = raster.RasterMeta(west=88.0, north=28.0, res=0.1)
+    for sampled in (
+        rasters.sample(points, "k", wide, georef, names=("elevation",)), rasters.landcover(points, "k", wide, georef),
+        raster.raster_sample(points, wide, meta, ["elevation"]), raster.landcover_sample(points, wide, meta),
+    ):
+        plan = sampled._jdf.queryExecution().executedPlan().toString()
+        joined = [x for x in plan.splitlines() if "Join" in x and ("row_idx" in x or "_ti" in x or "_r#" in x)]
+        assert joined and all("SortMergeJoin" in x for x in joined)
+        assert sampled.count() == 1000
