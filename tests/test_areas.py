@@ -213,3 +213,25 @@ def test_cells_whose_file_is_small_are_not_broadcast(spark, georef):
         joined = [x for x in plan.splitlines() if "Join" in x and ("row_idx" in x or "_ti" in x or "_r#" in x)]
         assert joined and all("SortMergeJoin" in x for x in joined)
         assert sampled.count() == 1000
+
+
+def test_trees_and_rows_are_dealt_into_blocks(spark, labelled, saved, monkeypatch):
+    """An ensemble that may not come to the driver is scored, compared and ranked like any other."""
+    nodes = ensembles.node_table(spark, {s: path for s, (_, path) in saved[models.PRIMARY].items()}, FEATURES)
+    p, x = (f(spark, nodes, "state", FEATURES) for f in (ensembles.probability, ensembles.path_contributions))
+    direct = {r.id: r for r in cells(labelled).select("id", p.alias("p"), x.alias("x")).collect()}
+    whole = {(r.state, r.feature): r.importance for r in ensembles.tree_ranking(labelled, nodes, FEATURES).collect()}
+    low, high = ({r.id: r.scenarios[i].probability for r in ensembles.score_scenarios(cells(labelled), nodes, FEATURES).collect()} for i in (0, 1))
+    for name, value in (("MOST_NODES", 3), ("BLOCK_NODES", 8), ("CHUNK_ROWS", 50)):
+        monkeypatch.setattr(ensembles, name, value)
+    got = ensembles.score(cells(labelled), nodes, FEATURES).collect()
+    assert len(got) == 480 and sum(r.probability is not None for r in got) > 300
+    for r in got:
+        assert (r.probability is None) == (r.status != "OK") and (r.probability is None or abs(r.probability - direct[r.id].p) < 1e-12)
+    ranked = {(r.state, r.feature): r.importance for r in ensembles.tree_ranking(labelled, nodes, FEATURES).collect()}
+    assert ranked.keys() == whole.keys() and all(abs(ranked[k] - whole[k]) < 1e-9 for k in whole)
+    for r in ensembles.score_scenarios(cells(labelled), nodes, FEATURES).collect():
+        for s, want in zip(r.scenarios, (low, high), strict=True):
+            assert s.probability == pytest.approx(want[r.id], abs=1e-12)
+    with pytest.raises(ValueError, match="not given"):
+        ensembles.score(cells(labelled), nodes, ["slope"])
