@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from scarpline.session import through_table
@@ -221,9 +221,11 @@ def robust_estimate(rows: DataFrame, keys: list[str], base: DataFrame | None = N
     estimate = through_table(_estimate(_start(rows, keys, names), keys, base, prior), "estimate")
     seen, taken = set(), 0
     while taken != steps:
-        estimate = through_table(_estimate(_concentrate(rows, estimate, keys, names, part, factor), keys, base, prior), "estimate")
+        moved, told = _estimate(_concentrate(rows, estimate, keys, names, part, factor), keys, base, prior), Observation()
+        moved = moved.observe(told, F.sum(F.xxhash64(*keys, "__center", "__inv").cast("decimal(38,0)")).alias("state"))
+        estimate = through_table(moved, "estimate")  # told as it is written: no second query per step
         taken += 1
-        state = estimate.agg(F.sum(F.xxhash64(*keys, "__center", "__inv").cast("decimal(38,0)"))).first()[0]
+        state = told.get["state"]
         if steps is None and state in seen:
             break
         seen.add(state)

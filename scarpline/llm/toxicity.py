@@ -54,16 +54,44 @@ class Model:
 
 
 class Rows:
-    """A sparse matrix by rows, of ones if no values are given: just the products a gradient needs."""
+    """A sparse matrix by rows, of ones if no values are given: just the products a gradient needs.
+
+    Both products run over pieces of entries cut between rows, or between columns, so no temporary
+    is as long as the matrix, and every sum adds the same numbers in the same order.
+    """
+
+    PIECE = 1 << 18
 
     def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int, val: np.ndarray | float = 1.0):
-        self.row, self.col, self.n, self.width, self.val = row.astype(np.int32), col.astype(np.int32), n, width, val
+        self.n, self.width = n, width
+        self.by_row = self._ordered(row, col, val)
+        self.by_col = self._ordered(col, row, val)
+
+    @staticmethod
+    def _ordered(to: np.ndarray, of: np.ndarray, val: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+        at = None if (to[1:] >= to[:-1]).all() else np.argsort(to, kind="stable")
+        pick = lambda x: x if at is None or np.isscalar(x) else x[at]
+        return pick(to).astype(np.int32, copy=False), pick(of).astype(np.int32, copy=False), pick(val)
+
+    def _sums(self, entries: tuple, w: np.ndarray, size: int) -> np.ndarray:
+        to, of, val = entries
+        out, i = np.zeros(size), 0
+        while i < len(to):
+            j = i + self.PIECE
+            if j < len(to):  # back to where its row begins, or on to the end of a longer one
+                first = np.searchsorted(to, to[j])
+                j = int(first if first > i else np.searchsorted(to, to[j], "right"))
+            part = w[of[i:j]] if np.isscalar(val) and val == 1 else (val if np.isscalar(val) else val[i:j]) * w[of[i:j]]
+            found = np.bincount(to[i:j] - to[i], part)
+            out[to[i] : to[i] + len(found)] += found
+            i = j
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.n)
+        return self._sums(self.by_row, w, self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * g[self.row], self.width)
+        return self._sums(self.by_col, g, self.width)
 
 
 def swaps(words: set[str], identity=IDENTITY) -> list[set[str]]:
@@ -101,7 +129,7 @@ def fit_codes(flat: np.ndarray, lengths: np.ndarray, words: list[str], labels, *
     if not used or not 0 < y.sum() < len(y):
         return Model({}, prior)
     names, width = [words[c] for c in used], len(used)
-    place = np.full(len(words), -1)
+    place = np.full(len(words), -1, np.int32)
     place[used] = np.arange(width)
     row, col = np.repeat(np.arange(len(y), dtype=np.int32), lengths), place[flat]
     x = Rows(row[col >= 0], col[col >= 0], len(y), width)
@@ -154,11 +182,24 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, *, id:
         return pa.array((sorted(distinct_words(x.as_py())) for x in texts), pa.list_(pa.string()))
 
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id")
-    found = rows.select("__id", "__y", words("__text").alias("w")).toArrow().sort_by([("__id", "ascending"), ("__y", "ascending")])
-    lists = found["w"].combine_chunks()
-    coded = lists.flatten().dictionary_encode()  # words as numbers: the driver holds each word once
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    return fit_codes(coded.indices.to_numpy().astype(np.int32), lengths, coded.dictionary.to_pylist(), found["__y"].to_numpy(), **options)
+    found = rows.select("__id", "__y", words("__text").alias("w")).toArrow()
+    order = pc.sort_indices(found, sort_keys=[("__id", "ascending"), ("__y", "ascending")]).to_numpy()
+    labelled, lists = found["__y"].to_numpy()[order], found["w"].chunks
+    del found
+    lengths = np.concatenate([np.zeros(0, np.int64), *(pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists)]).astype(np.int64)
+    # Words as numbers: the driver holds each word once, and the texts' own no longer than this.
+    coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode().unify_dictionaries().combine_chunks()
+    del lists
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) and coded.num_chunks else coded
+    names = coded.dictionary.to_pylist() if isinstance(coded, pa.DictionaryArray) else []
+    numbers = coded.indices.to_numpy().astype(np.int32, copy=False) if names else np.zeros(0, np.int32)
+    del coded
+    flat, starts, at = np.empty_like(numbers), np.concatenate([[0], np.cumsum(lengths)]), 0
+    for row in order:
+        flat[at : at + lengths[row]] = numbers[starts[row] : starts[row + 1]]
+        at += lengths[row]
+    del numbers
+    return fit_codes(flat, lengths[order], names, labelled, **options)
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
