@@ -3,12 +3,13 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from scarpline import vocab
 from scarpline.operators import ensembles, matrix, models, raster, rasters
 from scarpline.plans import model_runs
 from scarpline.session import scratch_path, through_table
+from scarpline.sources import documents
 
 FEATURES = vocab.MODEL_FEATURES
 
@@ -235,3 +236,16 @@ def test_trees_and_rows_are_dealt_into_blocks(spark, labelled, saved, monkeypatc
             assert s.probability == pytest.approx(want[r.id], abs=1e-12)
     with pytest.raises(ValueError, match="not given"):
         ensembles.score(cells(labelled), nodes, ["slope"])
+
+
+def test_written_by_value_without_a_sort(spark, monkeypatch):
+    """Snapshots and run records keep a file open per state instead of sorting a task's rows."""
+    key, open_files, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (open_files.append(int(spark.conf.get(key))), write(self, path))[1])
+    before, path = spark.conf.get(key), scratch_path(spark, "by-state")
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "concat('s', id % 4) AS state")
+    for part in (0, 1):
+        documents.append_run_records(rows.where(f"id % 2 = {part}"), path)
+    assert len(open_files) == 2 and min(open_files) >= 4 and spark.conf.get(key) == before
+    back = spark.read.parquet(path)
+    assert back.select("id", "state").exceptAll(rows).isEmpty() and back.count() == 1000
