@@ -8,6 +8,7 @@ from .. import vocab
 from ..operators import aoi as aoi_ops
 from ..operators import catalog
 from ..functions import geo
+from ..session import write_by
 
 CATALOG_COLUMNS = [
     "event_id", "latitude", "longitude", "event_date", *vocab.EVENT_TEXT_FIELDS,
@@ -73,7 +74,7 @@ def write_snapshot(events: DataFrame, boxes: DataFrame, path: str) -> None:
     rows = aoi_ops.match_boxes(events, edges, "inner").drop(*geo.EDGES).withColumn(
         "spatial_uncertainty", catalog.accuracy_class("location_accuracy")
     )
-    rows.write.partitionBy("state").parquet(f"{path}/events")
+    write_by(rows, "state", f"{path}/events")
     stored = events.sparkSession.read.parquet(f"{path}/events")
     summary = catalog.uncertainty_summary(stored, ["state"])
     header = summary.join(edges, "state").select(
