@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
 from ..operators import matrix, rainfall, raster, rasters
+from ..session import through_table
 
 
 def labelled_points(positives: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -27,8 +28,12 @@ def area_matrix(
     positives: DataFrame, boxes: DataFrame, wide: DataFrame, cover: DataFrame, georef: DataFrame,
     daily: DataFrame, rain_key: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """The training matrix with terrain and land cover from many rasters, all states in one plan."""
-    samples = rain_key(labelled_points(positives, boxes))
+    """The training matrix with terrain and land cover from many rasters, all states in one plan.
+
+    The samples are written once: five joins read them, and each would make the negatives anew, in
+    a plan that alone fills the driver.
+    """
+    samples = through_table(rain_key(labelled_points(positives, boxes)), "samples")
     placed = rasters.sample(samples, "sample_id", wide, georef).withColumnsRenamed(
         {"status": "terrain_status", "reasons": "terrain_reasons"}
     )

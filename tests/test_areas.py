@@ -249,3 +249,29 @@ def test_written_by_value_without_a_sort(spark, monkeypatch):
     assert len(open_files) == 2 and min(open_files) >= 4 and spark.conf.get(key) == before
     back = spark.read.parquet(path)
     assert back.select("id", "state").exceptAll(rows).isEmpty() and back.count() == 1000
+
+
+# --- the training rows -----------------------------------------------------------------------------
+
+
+def test_samples_are_made_once(spark, small):
+    """The negatives of the training matrix are written; its plan only reads them."""
+    from checks import q_areas, q_matrix, q_models
+    from checks.fixtures import Inputs
+    from scarpline.plans import training
+
+    fx = Inputs(spark, small)
+    rows = training.area_matrix(q_matrix.positives(fx), fx.pilots, q_areas.terrain_table(fx), fx.covers, fx.georef, fx.rain_daily, q_models.rain_key)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "sample_id" in plan and "attempt" not in plan
+
+
+def test_copies_of_places_are_measured_before_they_may_be_broadcast(spark):
+    """Places of a tiny file are copied ninefold; the copies are shuffled, hence measured, first."""
+    places = through_table(spark.range(50_000).selectExpr("27.0D + id / 1e5 AS latitude", "88.0D + (id % 300) / 1e3 AS longitude"), "places")
+    candidates = spark.range(2000).selectExpr("id", "27.0D + id / 1800 AS latitude", "88.5D AS longitude")
+    far = matrix.far_from(candidates, places, 0.05)
+    assert far.count() == far.select("id").distinct().count()
+    lines = matrix.far_from(candidates, places, 0.05)._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = max(i for i, x in enumerate(lines) if "Generate explode" in x and "longitude" in x)
+    assert any("Exchange hashpartitioning" in x and "_bc" in x for x in lines[:last])
