@@ -18,6 +18,8 @@ Exact search without all pairs:
   to small sets, compared in blocks of bits.
 * A task keeps a union-find of its links and emits a spanning star of each group, never all
   pairs. `components` joins the stars.
+
+`without_near_duplicates` holds what a component joins against the texts' shingles.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from scarpline.session import through_table
 
+from . import similar
 from .components import components
-from .similar import Groups, without_near_duplicates  # noqa: F401
+from .similar import Groups
 
 SEED = 42
 
@@ -307,3 +310,22 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
     known = by_print.join(roots.join(least, "root").select("fp", "least"), "fp", "left")
     known = known.select("fp", F.coalesce("least", "low").alias("component_id"))
     return prints.join(known, "fp").select(F.col(id), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8, radius: int = 3, print_words: int = 3, **options) -> DataFrame:
+    """The rows of `df` without near copies: of each component of texts whose sets of `words`-word
+    shingles share `ratio` of their union, that of the smallest id stays.
+
+    The components of fingerprints within `radius` bits, found as in `near_duplicates`, are held
+    against the sets themselves. Fingerprints alone miss a share of the texts at that ratio, so
+    `similar` proposes by MinHash bands besides; what either proposes links only if it is confirmed.
+    `options` are those of `near_links`.
+    """
+
+    def grouped(marks: DataFrame) -> DataFrame:
+        roots = through_table(fingerprint_roots(marks.select(F.col("mark").alias("fp")), radius, **options), "print-roots")
+        met = marks.join(roots.withColumnRenamed("fp", "mark"), "mark", "left")
+        return met.select("node", "n", F.coalesce("root", "mark").alias("key")).distinct()
+
+    mark = lambda rows: with_fingerprint(rows, text, "__mark", print_words)
+    return similar.without_near_duplicates(df, id, text, words, ratio, mark, grouped)

@@ -4,7 +4,8 @@ Texts link when the distinct shingles of both (`words` neighbouring words, lower
 `ratio` of their union at least; a component is what links reach. Nothing else decides:
 
 * Texts of equal shingle sets are one node, so exact copies and repeated passages cost nothing.
-* MinHash bands only propose pairs: each of `BANDS` bands hashes the minima of `ROWS` orders.
+* Groups given from outside (SimHash components, see `simhash`) and MinHash bands only propose
+  pairs. A group is compared like the bucket of one more band. Each of `BANDS` bands hashes the minima of `ROWS` orders.
   Texts that share 0.8 of their shingles meet in none with a chance of (1 - 0.8 ** 5) ** 40 =
   1.2e-7, texts that share more with less. Buckets of one node go at once.
 * Every proposed pair is held against the sets themselves before it links.
@@ -15,6 +16,8 @@ Texts link when the distinct shingles of both (`words` neighbouring words, lower
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ from .components import components
 
 SEED = 42
 BANDS, ROWS = 40, 5
+GROUPED = -1  # the band of groups that are no MinHash band
 _MASKS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,10 +199,13 @@ def _cells(buckets: DataFrame, sets: DataFrame, ratio: float, block: int) -> Dat
     return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(links, "u bigint, v bigint")
 
 
-def similar_roots(points: DataFrame, texts: DataFrame, ratio: float, words: int, block: int = 512) -> DataFrame:
+def similar_roots(points: DataFrame, texts: DataFrame, ratio: float, words: int, block: int = 512, groups: DataFrame | None = None) -> DataFrame:
     """Points (node, n, bands) and the texts of all nodes (node, text) -> (node, root) for those
-    that link to another. No cell holds more than about two blocks."""
+    that link to another. No cell holds more than about two blocks. `groups` (node, n, key) are
+    compared beside the bands, and first."""
     buckets = points.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    if groups is not None:
+        buckets = buckets.unionByName(groups.select("node", "n", F.lit(GROUPED).alias("band"), "key"))
     buckets = through_table(_open(buckets, None).drop("rows"), "buckets")
     sets = through_table(_with_set(texts.join(buckets.select("node").distinct(), "node", "left_semi"), "text", words).select("node", "held"), "sets")
     edges = through_table(_confirmed(_neighbours(buckets.where(F.col("band") < 8), 0), sets, ratio), "links")
@@ -206,18 +213,27 @@ def similar_roots(points: DataFrame, texts: DataFrame, ratio: float, words: int,
     return components(edges.unionByName(_cells(left, sets, ratio, block)))
 
 
-def without_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8, **options) -> DataFrame:
+def without_near_duplicates(
+    df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, ratio: float = 0.8,
+    mark: Callable[[DataFrame], DataFrame] | None = None, grouped: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The rows of `df` of which each component keeps one: that of the smallest id, of equal ids or
     of none the first. Rows are written once with their bands, so that each has a place.
 
-    Texts without words are all alike and link to no others. `options` of the fingerprint
-    search (`leaf`, `sample`) are taken and change nothing.
+    Texts without words are all alike and link to no others. `mark` adds a column `__mark` to the
+    rows, and `grouped` turns (node, n, mark) into the groups (node, n, key) to be compared too.
     """
-    table = through_table(_with_sketch(df.withColumn("__row", F.monotonically_increasing_id()), text, words), "rows")
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    table = through_table(_with_sketch(rows if mark is None else mark(rows), text, words), "rows")
     at = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__row").alias("row"), F.col("__s.bands").alias("bands"))
     points = table.groupBy("__s.n", "__s.d1", "__s.d2").agg(F.min(at).alias("at"))
-    points = through_table(points.select(F.col("at.row").alias("node"), "n", F.struct("at.none", "at.id", "at.row").alias("at"), F.col("at.bands").alias("bands")), "points")
+    points = through_table(points.select(F.col("at.row").alias("node"), "n", "d1", "d2", F.struct("at.none", "at.id", "at.row").alias("at"), F.col("at.bands").alias("bands")), "points")
+    groups = None
+    if grouped is not None:
+        # Texts of one set of shingles may differ in what repeats, and so in their marks: all count.
+        marks = table.where("__s.n > 0").select("__s.n", "__s.d1", "__s.d2", F.col("__mark").alias("mark")).distinct()
+        groups = grouped(through_table(marks.join(points.select("node", "n", "d1", "d2"), ["n", "d1", "d2"]).select("node", "n", "mark"), "marks"))
     texts = table.select(F.col("__row").alias("node"), F.col(text).alias("text"))
-    roots = through_table(similar_roots(points.where("n > 0"), texts, ratio, words), "roots")
+    roots = through_table(similar_roots(points.where("n > 0"), texts, ratio, words, groups=groups), "roots")
     first = points.select("node", "at").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("at").alias("at"))
     return table.join(first.select(F.col("at.row").alias("__row")), "__row", "left_semi").select(*df.columns)

@@ -142,3 +142,31 @@ def test_hot_bucket_meets_in_blocks(spark):
     got = {r.node: r.root for r in similar.similar_roots(points, rows, 0.8, 5, block=20).collect()}
     roots = plain_roots(links, len(texts))
     assert got == {i: r for i, r in enumerate(roots) if roots.count(r) > 1}
+
+
+def test_stage_holds_fingerprint_components_against_the_sets(spark, monkeypatch):
+    """Without MinHash bands the fingerprints' components alone must find near copies, and the exact
+    check must part texts whose fingerprints are equal and whose sets are not."""
+    from scarpline.llm import similar
+
+    rng = random.Random(12)
+    bases = [prose(rng, 400) for _ in range(8)]
+    near = [" ".join(w if k else "changed" for k, w in enumerate(b.split(" "))) for b in bases]
+    apart = [plain_fingerprint(a) ^ plain_fingerprint(b) for a, b in zip(bases, near)]
+    found = [i for i, x in enumerate(apart) if bin(x & (2**64 - 1)).count("1") <= 3]
+    assert found
+    lone = " ".join(f"w{k}" for k in range(100))
+    texts = [*bases, *near, lone, " ".join(f"v{k}" for k in range(100))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(similar, "bands", lambda held: np.arange(similar.BANDS, dtype=np.int64) * 1_000_003 + int(held.sum() >> np.uint64(2)) if len(held) else np.zeros(similar.BANDS, np.int64))
+    asked = []
+    monkeypatch.setattr(simhash, "fingerprint_roots", lambda prints, radius=3, f=simhash.fingerprint_roots, **o: asked.append(radius) or f(prints, radius, **o))
+    kept = {r.doc_id for r in simhash.without_near_duplicates(rows).collect()}
+    assert asked == [3]
+    assert kept == set(range(len(texts))) - {8 + i for i in found}
+    # Equal marks propose; the sets decide.
+    same = similar.without_near_duplicates(
+        rows, mark=lambda r: r.withColumn("__mark", F.lit(7).cast("bigint")), grouped=lambda m: m.select("node", "n", F.col("mark").alias("key"))
+    )
+    want = {tuple(t.split(" ")) for t in texts}
+    assert len(want) == len(texts) and {r.doc_id for r in same.collect()} == set(range(8)) | {16, 17}
