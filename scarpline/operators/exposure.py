@@ -116,6 +116,9 @@ def exposure_join_adaptive(
     keyed = _segment_buckets(parts, bucket_deg)
     left = _to_leaves(keyed, crowded, bucket_deg, depth, _segment_meets)
     right = _to_leaves(hot, crowded, bucket_deg, depth, _cell_meets)
+    # Merged even where the cells are few: a small file of segments is few tasks, and each would join
+    # all that its segments became on the way down. By leaf they are dealt out evenly.
+    left = left.hint("merge")
     return (
         left.join(right, ["level", "_by", "_bx"]).where(touching)
         .select("osm_id", "asset_name", "asset_type", "state", "cell_id", "hazard")

@@ -164,3 +164,13 @@ def test_one_group_of_most_rows_keeps_its_first(spark):
     assert first["hot"] == 1 and last["hot"] == (1999, 1999.0) and len(first) == len(last) == 201
     plan = catalog.first_rows(df, ["g"], "at")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_leaves_are_dealt_out_by_key_not_by_the_file_they_come_from(spark):
+    """Few hot cells: the join must not run in the few tasks that read the segments."""
+    parts = spark.createDataFrame([(i, "x", "road", 88.05, 27.0 + i / 600, 88.06, 27.001 + i / 600) for i in range(600)], "osm_id int, asset_name string, asset_type string, lon1 double, lat1 double, lon2 double, lat2 double").coalesce(1)
+    cells = spark.createDataFrame([("S", "a", 0.9, 27.0, 28.0, 88.0, 88.1)], "state string, cell_id string, hazard double, min_lat double, max_lat double, min_lon double, max_lon double")
+    found = exposure.exposure_join_adaptive(cells, parts, crowd=20)
+    assert found.count() == 600
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "SortMergeJoin" in next(x for x in plan if "Join [level" in x)  # the one of segments and cells stands first
