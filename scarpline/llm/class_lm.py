@@ -9,9 +9,9 @@ where the token before the first is an end. Everything is counted over all train
 * Texts are written once as codes: the place of each token in a dictionary of up to `frequent`
   words, drawn from about `drawn` texts, or else the word itself. The dictionary only says how
   texts are stored; all words are then counted over all texts. No later pass reads a text.
-* Exchange clustering. The `units` most frequent of its words (the end among them) are moved one by
-  one, round after round, to the class that raises the likelihood of the class transitions
-  most. Their bigram counts, at most units^2 numbers at any size of the corpus, are one table
+* Exchange clustering. The `units` most frequent words of all training texts (the end among them;
+  those the draw missed get a code, and the texts are coded anew) are moved one by one, round after
+  round, to the class that raises the likelihood of the class transitions most. Their bigram counts, at most units^2 numbers at any size of the corpus, are one table
   on the driver, so each move sees its neighbours' classes as they are; all other words are one
   more unit with a class of its own. The likelihood rises with every move, and rounds stop
   when a round moves nothing or hardly raises it.
@@ -332,23 +332,31 @@ def _ending(length: int) -> Column:
     return F.expr(f"substring(word, -{length}, {length})")
 
 
+def _written(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """All texts coded, each with a unique `__row`, as a table."""
+    path = scratch_path(texts.sparkSession, "coded")
+    codes = coded(texts.withColumn("__row", F.monotonically_increasing_id()), "__text", words)
+    codes.write.option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.schema(codes.schema).parquet(path)
+
+
 def _learn_classes(texts: DataFrame, *, frequent: int, drawn: int, classes: int, units: int, least: int, length: int, add: float, rounds: int) -> tuple[Model, DataFrame]:
     """A model without its log tables, and all of `texts` (__text, __train, other columns) coded."""
     spark = texts.sparkSession
     words = dictionary(texts.where("__train"), frequent, drawn)
-    path = scratch_path(spark, "coded")
-    codes = coded(texts.withColumn("__row", F.monotonically_increasing_id()), "__text", words)
-    codes.write.option("compression", "zstd").parquet(path)
-    codes = spark.read.schema(codes.schema).parquet(path)
+    codes = _written(texts, words)
     counts = through_table(word_counts(codes, words), "counts")
+    top = [bytes(r.word) for r in counts.where("c > 0").orderBy(F.desc("c"), "word").limit(units).collect()]
+    top = [END, *(w for w in top if w != END)][: min(units, frequent, RARE)]
+    held = set(words)
+    if not held.issuperset(top):
+        # The draw missed words that are among the most frequent of all texts: they get a code too.
+        words = list(dict.fromkeys([*top, *words]))[: min(frequent, RARE)]
+        codes = _written(texts, words)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     place = {w: i for i, w in enumerate(words)}
-    often = np.zeros(len(words), np.int64)
     within = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in words], "word binary"))  # at most RARE rows
-    for r in counts.join(within, "word", "left_semi").collect():
-        often[place[bytes(r.word)]] = r.c
-    often[0] = max(often.max(), 1)  # the end is a unit always
-    chosen = np.argsort(-often, kind="stable")[: min(units, len(words))]
+    chosen = np.array([place[w] for w in top])  # the end is a unit always, and the first
     unit_of = np.full(RARE + 1, len(chosen), np.int64)
     unit_of[chosen] = np.arange(len(chosen))
     learned = codes.where("__train")

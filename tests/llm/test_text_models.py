@@ -148,6 +148,20 @@ def test_other_words_get_the_class_of_their_contexts(learned):
     assert all(words[w][1] == int(score[w].argmax()) for w in tested)
 
 
+def test_units_are_the_most_frequent_words_of_all_texts(spark):
+    """Half of the texts are copies of one that the draw misses or alone holds: its words are units all the same."""
+    common = " ".join(f"c{i}" for i in range(8))
+    texts = [common] * 200 + [f"a{i} b{i % 50} a{i}" for i in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for drawn in (40, 400):
+        model = class_lm.train(rows, **SMALL | {"units": 9, "drawn": drawn})
+        assert sorted(model.units) == sorted([b"", *(f"c{i}".encode() for i in range(8))])
+        assert model.frequent[0] == b"" and set(model.units) <= set(model.frequent)
+        counted = {bytes(r.word): r.c for r in model.words.collect()}
+        want = collections.Counter(w for t in texts for w in tokens(t))
+        assert counted == want
+
+
 def test_probabilities_add_up(learned):
     """Over every next token, unseen ones included once per class, the model's chances sum to one."""
     model, _ = learned
