@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scarpline.session import through_table
+
 #: Identity terms by kind; a term is swapped for others of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "mothers", "fathers"),
@@ -53,37 +55,66 @@ class Model:
         return self.bias + sum(self.weights[w] for w in words & self.weights.keys())
 
 
+def counts(codes: np.ndarray, size: int) -> np.ndarray:
+    """How often each code occurs; piece by piece, as a count of all at once copies them twice as wide."""
+    found = np.zeros(size, np.int64)
+    for i in range(0, len(codes), Rows.PIECE):
+        found += np.bincount(codes[i : i + Rows.PIECE], minlength=size)
+    return found
+
+
 class Rows:
     """A sparse matrix by rows, of ones if no values are given: just the products a gradient needs.
 
-    Both products run over pieces of entries cut between rows, or between columns, so no temporary
-    is as long as the matrix, and every sum adds the same numbers in the same order.
+    Its entries, in the order of rows, and again in that of columns, are kept as one number each and
+    where each row or column begins. Both products run over pieces of entries cut between rows, or
+    between columns, so no temporary is as long as the matrix, and every sum adds the same numbers in
+    the same order.
     """
 
     PIECE = 1 << 18
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int, val: np.ndarray | float = 1.0):
-        self.n, self.width = n, width
-        self.by_row = self._ordered(row, col, val)
-        self.by_col = self._ordered(col, row, val)
+    def __init__(self, lengths: np.ndarray, col: np.ndarray, width: int, val: np.ndarray | float = 1.0):
+        self.n, self.width = len(lengths), width
+        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        self.by_row = starts, col.astype(np.int32, copy=False), val
+        self.by_col = self._turned(starts, self.by_row[1], width, val)
 
     @staticmethod
-    def _ordered(to: np.ndarray, of: np.ndarray, val: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-        at = None if (to[1:] >= to[:-1]).all() else np.argsort(to, kind="stable")
-        pick = lambda x: x if at is None or np.isscalar(x) else x[at]
-        return pick(to).astype(np.int32, copy=False), pick(of).astype(np.int32, copy=False), pick(val)
+    def _part(starts: np.ndarray, i: int, j: int) -> tuple[int, np.ndarray]:
+        """The first row of the entries i to j, and their rows counted from it."""
+        first, last = (int(np.searchsorted(starts, at, "right")) - 1 for at in (i, j - 1))
+        sizes = np.minimum(starts[first + 1 : last + 2], j) - np.maximum(starts[first : last + 1], i)
+        return first, np.repeat(np.arange(last + 1 - first), sizes)
+
+    def _turned(self, starts: np.ndarray, col: np.ndarray, width: int, val: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+        begin = np.concatenate([[0], np.cumsum(counts(col, width))])
+        free, of = begin[:-1].copy(), np.empty(len(col), np.int32)
+        out = val if np.isscalar(val) else np.empty(len(col))
+        for i in range(0, len(col), self.PIECE):
+            j = min(i + self.PIECE, len(col))
+            first, row = self._part(starts, i, j)
+            at = np.argsort(col[i:j], kind="stable")
+            to = col[i:j][at]
+            place = free[to] + np.arange(j - i) - np.searchsorted(to, to)
+            of[place] = first + row[at]
+            if not np.isscalar(val):
+                out[place] = val[i:j][at]
+            free += np.bincount(to, minlength=width)
+        return begin, of, out
 
     def _sums(self, entries: tuple, w: np.ndarray, size: int) -> np.ndarray:
-        to, of, val = entries
+        starts, of, val = entries
         out, i = np.zeros(size), 0
-        while i < len(to):
-            j = i + self.PIECE
-            if j < len(to):  # back to where its row begins, or on to the end of a longer one
-                first = np.searchsorted(to, to[j])
-                j = int(first if first > i else np.searchsorted(to, to[j], "right"))
+        while i < len(of):
+            j = min(i + self.PIECE, len(of))
+            if j < len(of):  # back to where its row begins, or on to the end of a longer one
+                row = int(np.searchsorted(starts, j, "right")) - 1
+                j = int(starts[row] if starts[row] > i else starts[row + 1])
             part = w[of[i:j]] if np.isscalar(val) and val == 1 else (val if np.isscalar(val) else val[i:j]) * w[of[i:j]]
-            found = np.bincount(to[i:j] - to[i], part)
-            out[to[i] : to[i] + len(found)] += found
+            first, to = self._part(starts, i, j)
+            found = np.bincount(to, part)
+            out[first : first + len(found)] += found
             i = j
         return out
 
@@ -124,29 +155,35 @@ def fit_codes(flat: np.ndarray, lengths: np.ndarray, words: list[str], labels, *
     """
     y = np.asarray(labels, dtype=float)
     prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5)))
-    found = np.bincount(flat, minlength=len(words)) if len(flat) else np.zeros(len(words), int)
+    found = counts(flat, len(words))
     used = sorted(np.flatnonzero(found >= least).tolist(), key=lambda c: (-found[c], words[c]))[:most_words]
     if not used or not 0 < y.sum() < len(y):
         return Model({}, prior)
     names, width = [words[c] for c in used], len(used)
     place = np.full(len(words), -1, np.int32)
     place[used] = np.arange(width)
-    row, col = np.repeat(np.arange(len(y), dtype=np.int32), lengths), place[flat]
-    x = Rows(row[col >= 0], col[col >= 0], len(y), width)
+    col, starts = place[flat], np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    if (col < 0).any():
+        row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+        x = Rows(counts(row[col >= 0], len(y)), col[col >= 0], width)
+        del row
+    else:
+        x = Rows(lengths, col, width)
+    del col
 
     # Only texts that name a group have counterfactuals.
     at = {n: i for i, n in enumerate(names)}
     terms = {t for kind in identity for t in kind}
     named = np.isin(flat, [c for c in range(len(words)) if words[c] in terms])
-    starts, parts = np.concatenate([[0], np.cumsum(lengths)]), []
-    for r in np.unique(row[named]):
+    parts = []
+    for r in np.unique(np.searchsorted(starts, np.flatnonzero(named), "right") - 1):
         own = {words[c] for c in flat[starts[r] : starts[r + 1]]}
         for other in swaps(own, identity):
             gone, come = ([at[w] for w in sorted(part) if w in at] for part in (own - other, other - own))
             if gone or come:
                 parts.append((gone + come, [1.0] * len(gone) + [-1.0] * len(come)))
     joined = lambda k, kind: np.array([v for p in parts for v in p[k]], dtype=kind)
-    d = Rows(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), joined(0, np.int64), len(parts), width, joined(1, float))
+    d = Rows(np.array([len(p[0]) for p in parts], np.int64), joined(0, np.int64), width, joined(1, float))
 
     pos, all_ = x.back(y), x.back(np.ones(len(y)))
     scale = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((all_ - pos + 0.5) / (len(y) - y.sum() + 1))
@@ -164,11 +201,35 @@ def fit_codes(flat: np.ndarray, lengths: np.ndarray, words: list[str], labels, *
     return Model({n: float(x) for n, x in zip(names, w * scale, strict=True) if abs(x) > 1e-6}, float(b))
 
 
+def known_words(found: DataFrame, *, identity=IDENTITY, least: int = 3, most_words: int = 100_000) -> list[str]:
+    """In order, the words of `found` (w: array of distinct words) that a fit may weigh, and the
+    identity terms however rare: these tell which texts have counterfactuals."""
+    counted = found.select(F.explode("w").alias("w")).groupBy("w").count()
+    weighed = counted.where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(most_words)
+    named = counted.where(F.col("w").isin([t for kind in identity for t in kind]))
+    return sorted(weighed.union(named).select("w").distinct().toArrow()["w"].to_pylist())
+
+
+def with_codes(found: DataFrame, names: list[str]) -> DataFrame:
+    """Add `codes`: the places in `names` of the words that are there, in the order of `w`."""
+    shared = found.sparkSession.sparkContext.broadcast(names)
+
+    @F.arrow_udf("array<int>")
+    def codes(words: pa.Array) -> pa.Array:
+        at = pc.index_in(words.flatten(), value_set=pa.array(shared.value, words.type.value_type)).fill_null(-1).to_numpy()
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(np.bincount(row[at >= 0], minlength=len(words)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(at[at >= 0], pa.int32()))
+
+    return found.withColumn("codes", codes("w"))
+
+
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, *, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 12_000, **options) -> Model:
     """Fit on labelled rows of `docs` for which `use` holds, `sample` at most.
 
     The drawn labels are bounded by `sample`, so they are broadcast to the texts; the texts stay
-    where they are and send the driver their distinct words.
+    where they are. Their distinct words are written once and counted there, and the driver gets the
+    words it may weigh and a number per text and such word, not the words of every text.
     """
     labels = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     if use is not None:
@@ -182,18 +243,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, *, id:
         return pa.array((sorted(distinct_words(x.as_py())) for x in texts), pa.list_(pa.string()))
 
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(drawn), "__id")
-    found = rows.select("__id", "__y", words("__text").alias("w")).toArrow()
-    order = pc.sort_indices(found, sort_keys=[("__id", "ascending"), ("__y", "ascending")]).to_numpy()
-    labelled, lists = found["__y"].to_numpy()[order], found["w"].chunks
-    del found
+    found = through_table(rows.select("__id", "__y", words("__text").alias("w")), "labelled-words")
+    names = known_words(found, **{k: options[k] for k in ("identity", "least", "most_words") if k in options})
+    table = with_codes(found, names).select("__id", "__y", "codes").toArrow()
+    order = pc.sort_indices(table, sort_keys=[("__id", "ascending"), ("__y", "ascending")]).to_numpy()
+    labelled, lists = table["__y"].to_numpy()[order], table["codes"].chunks
+    del table
     lengths = np.concatenate([np.zeros(0, np.int64), *(pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists)]).astype(np.int64)
-    # Words as numbers: the driver holds each word once, and the texts' own no longer than this.
-    coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode().unify_dictionaries().combine_chunks()
+    numbers = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)]).astype(np.int32, copy=False)
     del lists
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) and coded.num_chunks else coded
-    names = coded.dictionary.to_pylist() if isinstance(coded, pa.DictionaryArray) else []
-    numbers = coded.indices.to_numpy().astype(np.int32, copy=False) if names else np.zeros(0, np.int32)
-    del coded
     flat, starts, at = np.empty_like(numbers), np.concatenate([[0], np.cumsum(lengths)]), 0
     for row in order:
         flat[at : at + lengths[row]] = numbers[starts[row] : starts[row + 1]]

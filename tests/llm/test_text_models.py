@@ -54,6 +54,30 @@ def test_scores_of_edge_rows(docs, corpus, spark):
     assert toxicity.with_score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_driver_gets_only_words_that_are_weighed(spark, monkeypatch):
+    """Words of fewer texts than `least` stay on the workers, but for identity terms; the model is
+    that of the whole word sets."""
+    rng = random.Random(3)
+    kinds = (("women", "men"), ("gay", "straight"))
+    texts = [" ".join([*rng.choices([f"w{chr(97 + k)}" for k in range(20)], k=9), f"only{chr(97 + i % 26)}{chr(97 + i // 26)}", *(["bad"] if i % 3 == 0 else [])]) for i in range(300)]
+    texts[0] += " women"  # of one text: no weight, but its text has counterfactuals
+    texts[1:40] = [t + " men" for t in texts[1:40]]
+    labels = [int(i % 3 == 0) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    whole, seen = toxicity.fit_codes, []
+    monkeypatch.setattr(toxicity, "fit_codes", lambda flat, lengths, words, *a, **k: seen.append((len(flat), words)) or whole(flat, lengths, words, *a, **k))
+    table = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int")
+    for limit in (100_000, 7):
+        model = toxicity.train(docs, table, identity=kinds, most_words=limit)
+        n, words = seen.pop()
+        assert not [w for w in words if w.startswith("only")] and "women" in words and len(words) <= limit + 2
+        assert n == sum(len(toxicity.distinct_words(t) & set(words)) for t in texts)
+        monkeypatch.setattr(toxicity, "fit_codes", whole)
+        expected = toxicity.fit([toxicity.distinct_words(t) for t in texts], labels, identity=kinds, most_words=limit)
+        monkeypatch.setattr(toxicity, "fit_codes", lambda flat, lengths, words, *a, **k: seen.append((len(flat), words)) or whole(flat, lengths, words, *a, **k))
+        assert model == expected and "women" not in model.weights
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op1_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
