@@ -318,7 +318,8 @@ def without_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text
 
     The components of fingerprints within `radius` bits, found as in `near_duplicates`, are held
     against the sets themselves. Fingerprints alone miss a share of the texts at that ratio, so
-    `similar` proposes by MinHash bands besides; what either proposes links only if it is confirmed.
+    `similar` proposes by MinHash bands besides, and by prefixes of the sets what both leave out; what
+    any of them proposes links only if it is confirmed.
     `options` are those of `near_links`.
     """
 

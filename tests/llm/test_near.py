@@ -170,3 +170,48 @@ def test_stage_holds_fingerprint_components_against_the_sets(spark, monkeypatch)
     )
     want = {tuple(t.split(" ")) for t in texts}
     assert len(want) == len(texts) and {r.doc_id for r in same.collect()} == set(range(8)) | {16, 17}
+
+
+def test_stage_loses_no_pair_that_shares_neither_a_band_nor_a_fingerprint_component(spark):
+    """Found by search: nine shingles each, eight of them shared, yet no band of the forty is equal
+    and the fingerprints are six bits or more apart."""
+    from scarpline.llm import similar
+
+    line = " ".join(f"w{k}" for k in range(11))
+    pairs = [("x1775 a0", "y216"), ("x1723 a3", "y2875"), ("x2974 a3", "y509"), ("x1057 a5", "y1938")]
+    texts = [t for x, y in pairs for t in (f"{x} {line}", f"{x.split()[1]} {line} {y}")]
+    for a, b in zip(texts[::2], texts[1::2]):
+        one, two = (similar.shingles(t.encode()) for t in (a, b))
+        assert len(one) == len(two) == 9 and len(np.intersect1d(one, two)) == 8
+        assert not (similar.bands(one) == similar.bands(two)).any()
+        assert bin((plain_fingerprint(a) ^ plain_fingerprint(b)) & (2**64 - 1)).count("1") > 3
+    kept = {t: simhash.without_near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")).collect() for t, (a, b) in enumerate(zip(texts[::2], texts[1::2]))}
+    assert [[r.doc_id for r in rows] for rows in kept.values()] == [[1]] * 4
+
+
+@pytest.mark.parametrize("hot", [2, 5, 256])
+def test_all_links_without_bands(spark, monkeypatch, hot):
+    """Bands that never meet: what their pairs leave out must be found all the same, in small and
+    large buckets, by lists of pairs and in blocks, against all pairs."""
+    from scarpline.llm import similar
+
+    monkeypatch.setattr(similar, "HOT", hot)
+    monkeypatch.setattr(similar, "FLUSH", 3000)
+    rng = random.Random(hot)
+    common = [f"c{k}" for k in range(40)]
+    words = []
+    for g in range(6):
+        base = [f"g{g}.{k}" for k in range(60)] + common[: 8 * g]
+        for i in range(20):
+            cut = set(rng.sample(range(len(base)), rng.randint(0, 5)))
+            words.append([f"x{g}.{i}.{k}" if k in cut else w for k, w in enumerate(base)] + [f"e{g}.{i}.{k}" for k in range(rng.randint(0, 12))])
+    words += [[f"l{k}" for k in range(n)] for n in range(1, 30)] + [["one"], ["l0", "x"], common]
+    texts = list(dict.fromkeys(" ".join(w) for w in words))
+    held = [similar.shingles(t.encode()) for t in texts]
+    sizes, both = np.array([len(h) for h in held]), similar.overlaps(held, held)
+    links = [(a, b) for a, b in np.argwhere(both + 1e-9 >= 0.8 * (sizes[:, None] + sizes - both)) if a < b]
+    roots = plain_roots(links, len(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").repartition(3)
+    points = similar._with_sketch(rows, "text", 5).select("node", "__s.n", F.array(F.col("node") * 2 + 1_000_003).alias("bands"))
+    got = {r.node: r.root for r in similar.similar_roots(points, rows, 0.8, 5, block=8).collect()}
+    assert got == {i: r for i, r in enumerate(roots) if roots.count(r) > 1}
